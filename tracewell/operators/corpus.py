@@ -152,7 +152,7 @@ def rounds_distribution(rounds: DataFrame, keys: list[str]) -> DataFrame:
             "lo": lambda n: F.floor((n - 1) / 2),
             "hi": lambda n: F.floor(n / 2),
             "p90_rounds": lambda n: F.greatest(
-                F.lit(0).cast("long"), F.floor(n * F.lit(9) / F.lit(10)) - 1
+                F.lit(0).cast("long"), F.floor(F.lit(0.9) * n) - 1
             ),
         },
     )
@@ -162,7 +162,12 @@ def rounds_distribution(rounds: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("n_rounds").alias("mean_rounds"),
         F.max("n_rounds").alias("max_rounds"),
     )
-    middle = ranked.select(((F.col("lo") + F.col("hi")) / 2.0).alias("m"))
-    return plain.withColumn("median_rounds", middle.scalar()).withColumn(
-        "p90_rounds", ranked.select("p90_rounds").scalar()
+    picked = ranked.select(
+        F.struct(((F.col("lo") + F.col("hi")) / 2.0).alias("median"), "p90_rounds")
+    )
+    return (
+        plain.withColumn("_picked", picked.scalar())
+        .withColumn("median_rounds", F.col("_picked.median"))
+        .withColumn("p90_rounds", F.col("_picked.p90_rounds"))
+        .drop("_picked")
     )
