@@ -138,7 +138,7 @@ prev AS ({_WINDOW_SUMS} WHERE started_at >= TIMESTAMP '1996-07-03 23:59:59.999'
 SELECT """
     + ", ".join(
         (
-            f"round(cur.{n}, 4) AS current_{n}, round(prev.{n}, 4) AS previous_{n}"
+            f"round(cur.{n}, 6) AS current_{n}, round(prev.{n}, 6) AS previous_{n}"
             if n in ("total_cost_usd", "error_rate")
             else f"cur.{n} AS current_{n}, prev.{n} AS previous_{n}"
         )
@@ -155,7 +155,7 @@ def d5_period_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
         datetime(1997, 7, 1, tzinfo=timezone.utc),
     )
     plain = [f"{s}_{n}" for n in ("total_cost_usd", "error_rate") for s in ("current", "previous")]
-    return rounded(rounded(compared, *[f"delta_{n}" for n in _COMPARED]), *plain, places=4)
+    return rounded(rounded(compared, *[f"delta_{n}" for n in _COMPARED]), *plain)
 
 
 @query(

@@ -234,35 +234,41 @@ def _session_columns(df: DataFrame, mapping: Mapping) -> DataFrame:
     return df.withColumn("session_failure", failure).drop("_given", "_complete")
 
 
-def _child_rows(mapping: Mapping) -> Column:
-    """All child rows of a record in evaluation order: ``array<struct<ent, pos, row>>``."""
+def _numbered_items(items: Column, ent: int) -> Column:
+    return F.transform(
+        items,
+        lambda item, pos: F.struct(
+            F.lit(ent).alias("ent"), pos.cast("int").alias("pos"), item.alias("row")
+        ),
+    )
+
+
+def _candidate_rows(mapping: Mapping) -> Column:
+    """Session and child rows of a record in evaluation order: ``array<struct<ent,pos,row>>``.
+
+    A record whose session fails has no child rows.
+    """
+    root, nothing = F.col("payload"), F.array().cast("array<variant>")
+    own = _numbered_items(F.array(F.lit(None).cast("variant")), 0)
     groups = []
     for ent, rule in enumerate(mapping.children, start=1):
-        root = F.col("payload")
-        items = paths.rows_at(root, rule.iterate) if rule.iterate else F.array(root)
-        numbered = F.transform(
-            F.coalesce(items, F.array().cast("array<variant>")),
-            lambda item, pos, ent=ent: F.struct(
-                F.lit(ent).alias("ent"), pos.cast("int").alias("pos"), item.alias("row")
-            ),
-        )
+        found = F.array(root)
+        if rule.iterate:
+            found = F.coalesce(paths.rows_at(root, rule.iterate), nothing)
+        groups.append(_numbered_items(found, ent))
+    return F.when(F.col("session_failure").isNull(), F.concat(own, *groups)).otherwise(own)
 
-        def wanted(item: Column, rule: EntityRule = rule) -> Column:
-            keep = paths.is_object(item["row"])
-            for clause in rule.where:
-                keep = keep & paths.matches(item["row"], clause.field, clause.op, clause.value)
-            return keep
-
-        groups.append(F.filter(numbered, wanted))
-    own = F.array(
-        F.struct(
-            F.lit(0).alias("ent"),
-            F.lit(0).cast("int").alias("pos"),
-            F.lit(None).cast("variant").alias("row"),
-        )
-    )
-    reached = F.when(F.col("session_failure").isNull(), F.concat(own, *groups))
-    return F.coalesce(reached, own)
+
+def _is_wanted(mapping: Mapping) -> Column:
+    """Rows that are objects and pass every filter of their entity."""
+    row = F.col("row")
+    keep = F.col("ent") == 0
+    for ent, rule in enumerate(mapping.children, start=1):
+        passes = paths.is_object(row)
+        for clause in rule.where:
+            passes = passes & paths.matches(row, clause.field, clause.op, clause.value)
+        keep = keep | ((F.col("ent") == ent) & passes)
+    return keep
 
 
 def evaluate(raw: DataFrame, mapping: Mapping) -> DataFrame:
@@ -276,7 +282,7 @@ def evaluate(raw: DataFrame, mapping: Mapping) -> DataFrame:
     configure(raw.sparkSession)
     records = raw.where("parse_error IS NULL").select(*RECORD, "record_sha256", "payload")
     df = _session_columns(records, mapping)
-    df = df.select("*", F.inline(_child_rows(mapping)))
+    df = df.select("*", F.inline(_candidate_rows(mapping))).where(_is_wanted(mapping))
     children = list(enumerate(mapping.children, start=1))
     for ent, rule in children:
         df = _fields(df, rule, "row", F.col("ent") == ent)
