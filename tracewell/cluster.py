@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -14,6 +15,11 @@ def configure(spark: SparkSession) -> SparkSession:
     """Settings the semantics rely on: UTC instants, last key wins in JSON objects."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # Files are cut into the same splits for the whole session, also when executors come and
+    # go: line numbers are worked out per split and must fit the later read.
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
     return spark
 
 
@@ -62,3 +68,12 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A broadcast hint for ``df`` when it has at most ``max_rows`` rows, else ``df`` as it is.
+
+    The rows are counted up to the limit first, so the hint never ships unbounded data.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df

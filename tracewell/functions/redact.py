@@ -54,3 +54,27 @@ def redact_columns(df: DataFrame, *names: str) -> DataFrame:
     chosen = names or tuple(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     return df.withColumns({n: _redact_typed(F.col(n), types[n]) for n in chosen})
+
+
+# Raw control characters cannot occur in JSON text, so they can stand in for its escapes.
+_BACKSLASH, _QUOTE = "\u0002", "\u0001"
+
+
+def redact_json(json_text: Column) -> Column:
+    """JSON text with every string value redacted; keys, numbers and structure are kept."""
+    marked = F.replace(json_text, F.lit("\\\\"), F.lit(_BACKSLASH))
+    marked = F.replace(marked, F.lit('\\"'), F.lit(_QUOTE))
+    tokens = F.regexp_extract_all(marked, F.lit('"[^"]*":?|[^"]+'), F.lit(0))
+
+    def clean(token: Column) -> Column:
+        escaped = F.replace(F.replace(token, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH),
+                            F.lit("\\\\"))
+        listed = F.concat(F.lit("["), escaped, F.lit("]"))
+        text = F.element_at(F.from_json(listed, T.ArrayType(T.StringType())), 1)
+        quoted = F.to_json(F.array(redact(text)))
+        is_value = token.startswith('"') & ~token.endswith(":")
+        return F.when(
+            is_value, F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+        ).otherwise(escaped)
+
+    return F.array_join(F.transform(tokens, clean), "")
