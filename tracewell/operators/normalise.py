@@ -46,18 +46,16 @@ class Normalised:
 
 # ------------------------------------------------------------------ one field
 
-
-@dataclass(frozen=True)
-class _Outcome:
-    value: Column
-    missing: Column
-    failure: Column
+# Outcome codes of a field, in the order of their reject reasons.
+_FINE, _ABSENT, _BROKEN, _UNFIT = range(4)
+_REASONS = (MISSING_REQUIRED, TRANSFORM_FAILED, SCHEMA_VIOLATION)
 
 
-def _failure(reason: str, detail: str | Column, at: int) -> Column:
-    text = F.lit(detail) if isinstance(detail, str) else detail
+def _failure(reason: str, detail: str, at: int) -> Column:
     return F.struct(
-        F.lit(reason).alias("reason"), text.alias("detail"), F.lit(at).cast("int").alias("at")
+        F.lit(reason).alias("reason"),
+        F.lit(detail).alias("detail"),
+        F.lit(at).cast("int").alias("at"),
     )
 
 
@@ -83,37 +81,20 @@ def _coerce(cell: transforms.Cell, expected: str) -> Column:
     return F.when(text.isin(*allowed), text)
 
 
-def _produce(rule: FieldRule, entity: str, at: int, row: Column | None, root: Column) -> _Outcome:
-    """Value, missing flag and failure of one field of one row."""
-    label = f"{entity}.{rule.target}"
-    expected = TARGET_FIELDS[entity][rule.target]
-    sourced = rule.transform not in transforms.NO_SOURCE
-    source = paths.lookup(row, root, rule.source) if sourced else F.lit(None).cast("variant")
-    cell = transforms.TRANSFORMS[rule.transform].build(source, rule.args, root)
-    absent = source.isNull() if sourced else F.lit(False)
-    no_value = cell.value.isNull()
-    value = _coerce(cell, expected)
+def _judge(rule: FieldRule, expected: str, source: Column | None, cell: transforms.Cell,
+           value: Column) -> tuple[Column, Column]:
+    """(outcome code, counts as missing) of a field, from its already computed columns."""
+    absent = F.lit(False) if source is None else source.isNull()
     # A string target takes any value; the others must fit their type.
-    misfit = value.isNull() if expected != "string" else F.lit(False)
-
-    broken = _failure(TRANSFORM_FAILED, f"`{label}`: transform `{rule.transform}` failed", at)
-    unfit = _failure(SCHEMA_VIOLATION, f"`{label}`: not a valid {expected}", at)
+    misfit = F.lit(False) if expected == "string" else value.isNull()
     if rule.required:
-        needed = f"required field `{label}` is absent (source `{rule.source}`)"
-        failure = (
-            F.when(absent, _failure(MISSING_REQUIRED, needed, at))
-            .when(cell.failed, broken)
-            .when(misfit, unfit)
-        )
-        return _Outcome(value, F.lit(False), failure)
-    unusable = absent | cell.failed | no_value
+        code = F.when(absent, _ABSENT).when(cell.failed, _BROKEN).when(misfit, _UNFIT)
+        return code.otherwise(_FINE), F.lit(False)
+    unusable = absent | cell.failed | cell.value.isNull()
     if rule.on_error == "reject":
-        empty = _failure(TRANSFORM_FAILED, f"`{label}`: no usable value", at)
-        failure = F.when(cell.failed, broken).when(unusable, empty).when(misfit, unfit)
-        return _Outcome(value, F.lit(False), failure)
-    failure = F.when(~unusable & misfit, unfit)
-    missing = unusable if rule.on_error == "null" else F.lit(False)
-    return _Outcome(F.when(~unusable, value), missing, failure)
+        return F.when(unusable, _BROKEN).when(misfit, _UNFIT).otherwise(_FINE), F.lit(False)
+    code = F.when(~unusable & misfit, _UNFIT).otherwise(_FINE)
+    return code, unusable if rule.on_error == "null" else F.lit(False)
 
 
 # ---------------------------------------------------------------- one entity
@@ -162,38 +143,93 @@ def _invariants(entity: str, get: dict[str, Column], at: int) -> Column:
 
 
 def _fields(df: DataFrame, rule: EntityRule, row: str | None, on: Column) -> DataFrame:
-    """Add ``<entity>_v_*``, ``<entity>_missing``, ``<entity>_failure`` for rows where ``on``."""
+    """Add ``<entity>_v_*``, ``<entity>_missing``, ``<entity>_failure`` for rows where ``on``.
+
+    Sources, transformed cells, typed values and outcomes are separate projections, so each
+    expression is evaluated once and the generated methods stay small.
+    """
     entity, root = rule.name, F.col("payload")
     variant_row = F.col(row) if row else None
-    outcomes = [
-        (f, _produce(f, entity, i, variant_row, root)) for i, f in enumerate(rule.fields)
+    rules = list(enumerate(rule.fields))
+    types = {f.target: TARGET_FIELDS[entity][f.target] for f in rule.fields}
+
+    def name(part: str, i: int) -> str:
+        return f"{entity}_{part}_{i}"
+
+    sourced = {i for i, f in rules if f.transform not in transforms.NO_SOURCE}
+    df = df.withColumns(
+        {
+            name("s", i): F.when(on, paths.lookup(variant_row, root, f.source))
+            for i, f in rules
+            if i in sourced
+        }
+    )
+    cells: dict[int, transforms.Cell] = {}
+    computed: dict[str, Column] = {}
+    for i, f in rules:
+        source = F.col(name("s", i)) if i in sourced else F.lit(None).cast("variant")
+        cell = transforms.TRANSFORMS[f.transform].build(source, f.args, root)
+        if f.transform == "identity":
+            cells[i] = cell
+            continue
+        computed[name("c", i)] = F.when(on, cell.value)
+        computed[name("x", i)] = F.coalesce(on & cell.failed, F.lit(False))
+        cells[i] = transforms.Cell(cell.type, F.col(name("c", i)), F.col(name("x", i)))
+    df = df.withColumns(computed)
+    df = df.withColumns(
+        {f"{entity}_v_{f.target}": _coerce(cells[i], types[f.target]) for i, f in rules}
+    )
+    outcomes: dict[str, Column] = {}
+    for i, f in rules:
+        source = F.col(name("s", i)) if i in sourced else None
+        value = F.col(f"{entity}_v_{f.target}")
+        code, missing = _judge(f, types[f.target], source, cells[i], value)
+        outcomes[name("k", i)] = F.when(on, code).otherwise(_FINE)
+        outcomes[name("m", i)] = on & missing
+    df = df.withColumns(outcomes)
+
+    end = len(rules)
+    needed = [n for n in REQUIRED_FIELDS[entity] if n != "external_id"]
+    first_bad = [F.when(F.col(name("k", i)) > _FINE, F.lit(i)) for i, _ in rules]
+    first_bad += [
+        F.when(on & F.col(f"{entity}_v_{n}").isNull(), F.lit(end + k))
+        for k, n in enumerate(needed)
     ]
-    staged = {}
-    for i, (f, outcome) in enumerate(outcomes):
-        staged[f"{entity}_v_{f.target}"] = F.when(on, outcome.value)
-        staged[f"{entity}_m_{i}"] = F.when(on, outcome.missing)
-        staged[f"{entity}_f_{i}"] = F.when(on, outcome.failure)
-    df = df.withColumns(staged)
-    end = len(outcomes)
-    got = {f.target: F.col(f"{entity}_v_{f.target}") for f in rule.fields}
-    failures = [F.col(f"{entity}_f_{i}") for i in range(end)]
-    for name in REQUIRED_FIELDS[entity]:
-        if name != "external_id":
-            text = f"required field `{entity}.{name}` is absent"
-            absent = _failure(MISSING_REQUIRED, text, end)
-            failures.append(F.when(on & got[name].isNull(), absent))
-    df = df.withColumn(f"{entity}_failure", F.coalesce(*failures))
+    df = df.withColumn(f"{entity}_at", F.coalesce(*first_bad))
+    at = F.col(f"{entity}_at")
+    codes = F.array(*[F.col(name("k", i)) for i, _ in rules], *[F.lit(_ABSENT) for _ in needed])
+    labels = [f"{entity}.{f.target} (from {f.source or f.transform})" for f in rule.fields]
+    labels += [f"{entity}.{n}" for n in needed]
+    problems = F.array(
+        F.lit("required field is absent: "),
+        F.lit("value missing or not transformable: "),
+        F.lit("value does not fit its type: "),
+    )
+    # Both indexes stay valid (and not NULL) on rows without a failure too.
+    place = F.coalesce(at, F.lit(0)) + 1
+    code = F.greatest(F.element_at(codes, place), F.lit(_ABSENT))
+    label = F.element_at(F.array(*[F.lit(t) for t in labels]), place)
+    failure = F.when(
+        at.isNotNull(),
+        F.struct(
+            F.element_at(F.array(*[F.lit(r) for r in _REASONS]), code).alias("reason"),
+            F.concat(F.element_at(problems, code), label).alias("detail"),
+            at.alias("at"),
+        ),
+    )
     flags = [
         F.when(
-            F.col(f"{entity}_m_{i}")
-            & (F.coalesce(F.col(f"{entity}_failure.at"), F.lit(end)) > i),
-            F.lit(f"{entity}.{f.target}"),
+            F.col(name("m", i)) & (F.coalesce(at, F.lit(end)) > i), F.lit(f"{entity}.{f.target}")
         )
-        for i, (f, _) in enumerate(outcomes)
+        for i, f in rules
     ]
-    return df.withColumn(f"{entity}_missing", F.array_compact(F.array(*flags))).drop(
-        *[f"{entity}_{p}_{i}" for i in range(end) for p in ("m", "f")]
-    )
+    done = [name(p, i) for i, _ in rules for p in "scxkm"]
+    return df.withColumns(
+        {
+            f"{entity}_failure": failure,
+            f"{entity}_missing": F.array_compact(F.array(*flags)),
+        }
+    ).drop(f"{entity}_at", *done)
 
 
 def _session_columns(df: DataFrame, mapping: Mapping) -> DataFrame:
@@ -203,14 +239,13 @@ def _session_columns(df: DataFrame, mapping: Mapping) -> DataFrame:
     root = F.col("payload")
     mapped = [f for f in rule.fields if f.target == "external_id"]
     if mapped:
-        outcome = _produce(mapped[0], "session", 0, None, root)
         text = F.col("session_v_external_id")
         # An empty, zero or false id counts as none; the text "0" is an id.
         blank = text.isNull() | (text == "")
         if mapped[0].transform == "identity":
             raw = F.to_json(paths.path(root, mapped[0].source))
             blank = blank | F.coalesce(raw.isin("0", "false", "[]", "{}"), F.lit(False))
-        given = F.when(~blank, outcome.value)
+        given = F.when(~blank, text)
     else:
         given = F.lit(None).cast("string")
     parts = [paths.as_text(paths.path(root, k)) for k in rule.key_fields]
@@ -600,17 +635,12 @@ def preview(raw: DataFrame, mapping: Mapping, n: int = 50) -> Normalised:
 
 def link_repositories(sessions: DataFrame, repository: DataFrame) -> DataFrame:
     """Sessions keep the repository name only when it is registered for their source."""
-    known = repository.select("source_name", F.col("name").alias("_registered"))
-    joined = sessions.join(
-        known,
-        (sessions["source_name"] == known["source_name"])
-        & (sessions["repository_name"] == known["_registered"]),
-        "left",
-    )
-    return joined.select(
-        *[sessions[c] for c in sessions.columns if c != "repository_name"],
-        F.col("_registered").alias("repository_name"),
+    known = repository.select(
+        "source_name", F.col("name").alias("repository_name"), F.lit(True).alias("_registered")
     )
+    joined = sessions.join(known, ["source_name", "repository_name"], "left")
+    name = F.when(F.col("_registered"), F.col("repository_name"))
+    return joined.withColumn("repository_name", name).select(*sessions.columns)
 
 
 def link_sessions(calls: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
