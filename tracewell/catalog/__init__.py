@@ -6,7 +6,14 @@ import importlib
 
 from tracewell.catalog.registry import ORACLE, QUERIES, Query
 
-MODULES = ("metric_queries", "dashboard_queries", "mapping_queries", "corpus_queries")
+MODULES = (
+    "metric_queries",
+    "dashboard_queries",
+    "mapping_queries",
+    "corpus_queries",
+    "ledger_queries",
+    "file_queries",
+)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

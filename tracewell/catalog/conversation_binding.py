@@ -22,6 +22,7 @@ def turn_line() -> Column:
             F.length(line).alias("size"),
             F.when(F.length(line) > 60, "long").when(F.length(line) > 0, "short").alias("label"),
             (F.length(line) % 2 == 0).alias("ok"),
+            (F.col("turn") * 100000 + i).alias("place"),
         ),
     )
     return F.to_json(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,7 @@ from tracewell.operators.store import (
 )
 from tracewell.plans.mapping import Mapping
 from tracewell.sources.files import detect_format, file_fingerprints, list_files
-from tracewell.sources.readers import read_any
+from tracewell.sources.readers import READERS
 
 TABLES: dict[str, T.StructType] = {
     "session": schemas.SESSION,
@@ -179,9 +180,12 @@ def ingest(
     retention: str = "full",
     resolve_chains: bool = False,
     imported_at: datetime | None = None,
+    file_format: str | None = None,
 ) -> DataFrame:
     """Import files with one mapping; returns one report row per file.
 
+    The format of a file follows from its suffix unless ``file_format`` names it.
+
     Rows whose natural key is stored already, or came earlier in the batch, count as
     duplicates. ``resolve_chains`` first assigns sessions in event-chain exports.
     """
@@ -191,7 +195,8 @@ def ingest(
     known = ledger.collect()  # one row per file
     new = sorted(r.file_path for r in known if not r.already_imported)
     if new:
-        _import_files(spark, new, ledger, mapping, store, retention, resolve_chains, moment)
+        formats = {path: file_format or detect_format(path) for path in new}
+        _import_files(spark, formats, ledger, mapping, store, retention, resolve_chains, moment)
     batches = first_per_key(
         store.table("import_batch").where(F.col("source_name") == mapping.source_name),
         ["file_sha256"],
@@ -202,7 +207,7 @@ def ingest(
 
 def _import_files(
     spark: SparkSession,
-    new: list[str],
+    formats: dict[str, str],
     ledger: DataFrame,
     mapping: Mapping,
     store: Warehouse,
@@ -211,9 +216,8 @@ def _import_files(
     moment: datetime,
 ) -> None:
     import_id = uuid.uuid4().hex
-    order = {path: i for i, path in enumerate(new)}
     listed = spark.createDataFrame(
-        [(p, i, detect_format(p)) for p, i in order.items()],
+        [(path, i, kind) for i, (path, kind) in enumerate(formats.items())],
         "file_path string, file_order int, file_format string",
     )
     files = broadcast_if_small(
@@ -221,7 +225,11 @@ def _import_files(
         .join(listed, "file_path")
         .select("file_path", "file_sha256", "file_order", "file_format")
     )
-    raw = read_any(spark, new).join(
+    by_kind: dict[str, list[str]] = {}
+    for path, kind in formats.items():
+        by_kind.setdefault(kind, []).append(path)
+    scans = [READERS[kind](spark, paths) for kind, paths in by_kind.items()]
+    raw = reduce(DataFrame.unionByName, scans).join(
         files.select("file_path", F.col("file_sha256").alias("file_key")), "file_path"
     )
     if resolve_chains:

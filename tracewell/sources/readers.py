@@ -362,10 +362,12 @@ def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
 
 
-def read_any(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of all files below the paths, each read by its suffix."""
+def read_any(
+    spark: SparkSession, paths: list[str], file_format: str | None = None
+) -> DataFrame:
+    """Records of all files below the paths, each read by its suffix or as ``file_format``."""
     files = [r.file_path for r in list_files(spark, paths).collect()]  # names only
     groups: dict[str, list[str]] = {}
     for file in sorted(files):
-        groups.setdefault(detect_format(file), []).append(file)
+        groups.setdefault(file_format or detect_format(file), []).append(file)
     return _union(spark, [READERS[kind](spark, group) for kind, group in groups.items()])

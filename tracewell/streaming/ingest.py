@@ -19,6 +19,7 @@ def ingest_stream(
     store: Warehouse,
     checkpoint: str,
     files_per_batch: int = 1000,
+    file_format: str | None = None,
 ) -> StreamingQuery:
     """Import every file not seen yet, then stop.
 
@@ -37,7 +38,7 @@ def ingest_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         names = [r.file_path for r in batch.collect()]  # bounded by files_per_batch
         if names:
-            ingest(batch.sparkSession, names, mapping, store)
+            ingest(batch.sparkSession, names, mapping, store, file_format=file_format)
 
     return (
         arriving.writeStream.foreachBatch(handle)
