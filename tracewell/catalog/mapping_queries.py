@@ -19,6 +19,7 @@ from tracewell.functions.ranking import first_per_key
 from tracewell.operators import metrics as M
 from tracewell.operators.normalise import (
     backfill_sessions,
+    invariant_failure,
     link_model_calls,
     link_repositories,
     link_sessions,
@@ -304,8 +305,6 @@ SELECT CASE WHEN ended_at < started_at THEN 'schema_violation' END AS reason, co
 FROM c GROUP BY 1""",
 )
 def m17_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracewell.operators.normalise import _invariants
-
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem")
     calls = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -313,8 +312,7 @@ def m17_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("started_at"),
         F.col("l_shipdate").alias("ended_at"),
     )
-    got = {name: F.col(name) for name in calls.columns}
-    broken = _invariants("tool_call", got, 0)
+    broken = invariant_failure("tool_call", {name: name for name in calls.columns}, 0)
     return calls.groupBy(broken["reason"].alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -453,12 +451,13 @@ def m27_link_model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "m28_preview",
     f"""WITH {TURN_SQL}
+SELECT * FROM (
 SELECT 'session' AS entity, count(DISTINCT sid) AS n FROM turn_rec WHERE record_index < 50
 UNION ALL SELECT 'model_call', count(*) FROM kept_call WHERE record_index < 50
 UNION ALL SELECT 'tool_call', count(*) FROM kept_part WHERE record_index < 50
 UNION ALL SELECT 'reject', (SELECT count(*) FROM turn_rec
     WHERE call_problem IS NOT NULL AND record_index < 50)
-  + (SELECT count(*) FROM first_bad WHERE record_index < 50)""",
+  + (SELECT count(*) FROM first_bad WHERE record_index < 50)) WHERE n > 0""",
 )
 def m28_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50-record preview is the feature; its limit is the user's."""

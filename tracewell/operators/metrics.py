@@ -17,7 +17,12 @@ from tracewell.functions.measures import (
     utc_day,
 )
 from tracewell.functions.ranking import first_per_key, median
-from tracewell.operators.views import TraceTables, session_metrics, tool_usage_view
+from tracewell.operators.views import (
+    TraceTables,
+    priced_calls,
+    session_metrics,
+    tool_usage_view,
+)
 from tracewell.schemas import SESSION_KEY
 
 MAX_PAGE = 200
@@ -108,11 +113,69 @@ def with_rates(sums: DataFrame) -> DataFrame:
     )
 
 
+def _has_session_scope(scope: MetricFilter) -> bool:
+    """Whether the scope filters on anything but the source, which calls carry themselves."""
+    return bool(
+        scope.agents
+        or scope.models
+        or scope.repositories
+        or scope.date_from is not None
+        or scope.date_to is not None
+    )
+
+
+def _sums_without_sessions(tables: TraceTables) -> DataFrame:
+    """Indicator sums straight from the calls.
+
+    Every stored call has its session, so without a session filter the totals need no
+    grouping by session and no join: three scans, each reduced to one row by its tasks.
+    """
+    calls = priced_calls(tables.model_call, tables.pricing)
+    models = calls.agg(
+        F.struct(
+            F.count("*").alias("n"),
+            F.coalesce(error_count(F.col("status")), F.lit(0).cast("long")).alias("errors"),
+            F.sum("total_tokens").alias("total_tokens"),
+            F.sum("prompt_tokens").alias("prompt_tokens"),
+            F.sum("completion_tokens").alias("completion_tokens"),
+            F.sum("cached_tokens").alias("cached_tokens"),
+            F.sum("effective_cost_usd").alias("cost"),
+            F.coalesce(F.bool_or("is_estimated"), F.lit(False)).alias("is_estimated"),
+        ).alias("m")
+    )
+    tools = tables.tool_call.agg(
+        F.struct(
+            F.count("*").alias("n"),
+            F.coalesce(error_count(F.col("status")), F.lit(0).cast("long")).alias("errors"),
+        ).alias("t")
+    )
+    counted = tables.session.agg(F.count("*").alias("session_count"))
+    return (
+        counted.withColumn("m", models.scalar())
+        .withColumn("t", tools.scalar())
+        .select(
+            "session_count",
+            F.col("m.n").alias("model_call_count"),
+            F.col("t.n").alias("tool_call_count"),
+            (F.col("m.errors") + F.col("t.errors")).alias("error_count"),
+            "m.total_tokens",
+            "m.prompt_tokens",
+            "m.completion_tokens",
+            "m.cached_tokens",
+            F.col("m.cost").alias("total_cost_usd"),
+            F.col("m.is_estimated").alias("cost_is_estimated"),
+        )
+    )
+
+
 def indicators(tables: TraceTables, scope: MetricFilter = MetricFilter()) -> DataFrame:
     """All indicators of a scope in one row; an empty scope gives zero counts, NULL measures."""
-    metrics = session_metrics(scoped_tables(tables, scope))
-    sums = with_rates(metrics.agg(*_indicator_sums()))
-    return sums.withColumn(
+    scoped = scoped_tables(tables, scope)
+    if _has_session_scope(scope):
+        sums = session_metrics(scoped).agg(*_indicator_sums())
+    else:
+        sums = _sums_without_sessions(scoped)
+    return with_rates(sums).withColumn(
         "median_session_duration_ms", median_duration(tables, scope).scalar()
     )
 

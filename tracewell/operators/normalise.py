@@ -100,46 +100,65 @@ def _judge(rule: FieldRule, expected: str, source: Column | None, cell: transfor
 # ---------------------------------------------------------------- one entity
 
 
-def _invariants(entity: str, get: dict[str, Column], at: int) -> Column:
-    """First broken domain rule of a row whose fields are fine."""
-
-    def violation(text: str) -> Column:
-        return _failure(SCHEMA_VIOLATION, f"{entity}: {text}", at)
-
-    def value(name: str) -> Column:
-        return get.get(name, F.lit(None).cast(SPARK_TYPES[TARGET_FIELDS[entity][name]]))
-
-    checks: list[tuple[Column, str]] = []
-    start, end = value("started_at"), value("ended_at")
-    checks.append((end < start, "ended_at precedes started_at"))
-    if entity == "model_call":
-        for name in ("prompt_tokens", "completion_tokens", "cached_tokens"):
-            checks.append((value(name) < 0, f"{name} is negative"))
-        more = value("cached_tokens") > value("prompt_tokens")
-        checks.append((more, "cached_tokens exceeds prompt_tokens"))
-    if entity != "session":
-        name = f"{entity.removesuffix('_call')}_name"
-        checks.append((F.trim(value(name)) == "", f"{name} is empty"))
-        checks.append((value("sequence") < 0, "sequence is negative"))
-    else:
-        checks.append((F.trim(value("external_id")) == "", "external_id is empty"))
-    if entity == "model_call":
-        checks.append((value("cost_usd") < 0, "cost_usd is negative"))
-    if entity == "tool_call":
-        checks.append((value("model_call_sequence") < 0, "model_call_sequence is negative"))
-        for name in ("input_bytes", "output_bytes"):
-            checks.append((value(name) < 0, f"{name} is negative"))
-    if entity != "session":
-        status, error = value("status"), value("error_type")
-        said = (status == "success") & error.isNotNull()
-        checks.append((said, "error_type must be absent on success"))
-        unsaid = (status == "error") & error.isNull()
-        checks.append((unsaid, "error_type is required on error"))
-    result = F.lit(None).cast(_FAILURE)
-    for broken, text in reversed(checks):
-        # an unknown comparison (NULL) is not a violation
-        result = F.when(F.coalesce(broken, F.lit(False)), violation(text)).otherwise(result)
-    return result
+# Domain rules per entity: (fields it reads, condition that breaks it, message). A rule whose
+# fields are not all mapped cannot be broken, except the last one.
+_ENDS = (("started_at", "ended_at"), "{ended_at} < {started_at}", "ended_at precedes started_at")
+_STATUS = (
+    (("status", "error_type"), "{status} = 'success' AND {error_type} IS NOT NULL",
+     "error_type must be absent on success"),
+    (("status",), "{status} = 'error' AND {error_type} IS NULL",
+     "error_type is required on error"),
+)
+
+
+def _not_negative(*names: str) -> tuple:
+    return tuple(((n,), f"{{{n}}} < 0", f"{n} is negative") for n in names)
+
+
+def _not_blank(name: str) -> tuple:
+    return (((name,), f"trim({{{name}}}) = ''", f"{name} is empty"),)
+
+
+RULES: dict[str, tuple] = {
+    "session": (_ENDS, *_not_blank("external_id")),
+    "model_call": (
+        _ENDS,
+        *_not_negative("prompt_tokens", "completion_tokens", "cached_tokens"),
+        (("cached_tokens", "prompt_tokens"), "{cached_tokens} > {prompt_tokens}",
+         "cached_tokens exceeds prompt_tokens"),
+        *_not_blank("model_name"),
+        *_not_negative("sequence", "cost_usd"),
+        *_STATUS,
+    ),
+    "tool_call": (
+        _ENDS,
+        *_not_blank("tool_name"),
+        *_not_negative("sequence", "model_call_sequence", "input_bytes", "output_bytes"),
+        *_STATUS,
+    ),
+}
+
+
+def invariant_failure(entity: str, columns: dict[str, str], at: int) -> Column:
+    """First broken domain rule of a row, as a failure; NULL when it keeps them all.
+
+    ``columns`` names the column of each mapped field.
+    """
+    known = {"error_type": "CAST(NULL AS STRING)", **columns}
+    branches = [
+        f"WHEN {condition.format(**known)} THEN named_struct('reason', '{SCHEMA_VIOLATION}', "
+        f"'detail', '{entity}: {text}', 'at', {at})"
+        for fields, condition, text in RULES[entity]
+        if all(f in columns for f in fields)
+    ]
+    if not branches:
+        return F.lit(None).cast(_FAILURE)
+    return F.expr("CASE " + " ".join(branches) + " END").cast(_FAILURE)
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def _fields(df: DataFrame, rule: EntityRule, row: str | None, on: Column) -> DataFrame:
@@ -190,46 +209,46 @@ def _fields(df: DataFrame, rule: EntityRule, row: str | None, on: Column) -> Dat
 
     end = len(rules)
     needed = [n for n in REQUIRED_FIELDS[entity] if n != "external_id"]
-    first_bad = [F.when(F.col(name("k", i)) > _FINE, F.lit(i)) for i, _ in rules]
+    first_bad = [f"WHEN {name('k', i)} > {_FINE} THEN {i}" for i, _ in rules]
     first_bad += [
-        F.when(on & F.col(f"{entity}_v_{n}").isNull(), F.lit(end + k))
-        for k, n in enumerate(needed)
+        f"WHEN _on AND {entity}_v_{n} IS NULL THEN {end + k}" for k, n in enumerate(needed)
     ]
-    df = df.withColumn(f"{entity}_at", F.coalesce(*first_bad))
-    at = F.col(f"{entity}_at")
-    codes = F.array(*[F.col(name("k", i)) for i, _ in rules], *[F.lit(_ABSENT) for _ in needed])
+    df = df.withColumn("_on", on).withColumn(
+        f"{entity}_at", F.expr("CASE " + " ".join(first_bad) + " END")
+    )
+    codes = ", ".join([name("k", i) for i, _ in rules] + [str(_ABSENT)] * len(needed))
     labels = [f"{entity}.{f.target} (from {f.source or f.transform})" for f in rule.fields]
     labels += [f"{entity}.{n}" for n in needed]
-    problems = F.array(
-        F.lit("required field is absent: "),
-        F.lit("value missing or not transformable: "),
-        F.lit("value does not fit its type: "),
+    problems = (
+        "required field is absent: ",
+        "value missing or not transformable: ",
+        "value does not fit its type: ",
     )
+
+    def listed(texts) -> str:
+        return "array(" + ", ".join(_quoted(t) for t in texts) + ")"
+
     # Both indexes stay valid (and not NULL) on rows without a failure too.
-    place = F.coalesce(at, F.lit(0)) + 1
-    code = F.greatest(F.element_at(codes, place), F.lit(_ABSENT))
-    label = F.element_at(F.array(*[F.lit(t) for t in labels]), place)
-    failure = F.when(
-        at.isNotNull(),
-        F.struct(
-            F.element_at(F.array(*[F.lit(r) for r in _REASONS]), code).alias("reason"),
-            F.concat(F.element_at(problems, code), label).alias("detail"),
-            at.alias("at"),
-        ),
+    place = f"coalesce({entity}_at, 0) + 1"
+    code = f"greatest(element_at(array({codes}), {place}), {_ABSENT})"
+    failure = F.expr(
+        f"CASE WHEN {entity}_at IS NOT NULL THEN named_struct("
+        f"'reason', element_at({listed(_REASONS)}, {code}), "
+        f"'detail', concat(element_at({listed(problems)}, {code}), "
+        f"element_at({listed(labels)}, {place})), 'at', {entity}_at) END"
     )
-    flags = [
-        F.when(
-            F.col(name("m", i)) & (F.coalesce(at, F.lit(end)) > i), F.lit(f"{entity}.{f.target}")
-        )
+    flags = ", ".join(
+        f"CASE WHEN {name('m', i)} AND coalesce({entity}_at, {end}) > {i} "
+        f"THEN {_quoted(f'{entity}.{f.target}')} END"
         for i, f in rules
-    ]
+    )
     done = [name(p, i) for i, _ in rules for p in "scxkm"]
     return df.withColumns(
         {
             f"{entity}_failure": failure,
-            f"{entity}_missing": F.array_compact(F.array(*flags)),
+            f"{entity}_missing": F.expr(f"array_compact(array({flags}))"),
         }
-    ).drop(f"{entity}_at", *done)
+    ).drop("_on", f"{entity}_at", *done)
 
 
 def _session_columns(df: DataFrame, mapping: Mapping) -> DataFrame:
@@ -259,12 +278,12 @@ def _session_columns(df: DataFrame, mapping: Mapping) -> DataFrame:
         "external_id",
         F.coalesce(F.col("_given"), F.when(F.col("_complete"), F.sha1(seed))),
     )
-    got = {f.target: F.col(f"session_v_{f.target}") for f in rule.fields}
-    got["external_id"] = F.col("external_id")
+    got = {f.target: f"session_v_{f.target}" for f in rule.fields}
+    got["external_id"] = "external_id"
     failure = F.coalesce(
         F.col("session_failure"),
         F.when(F.col("external_id").isNull(), _failure(MISSING_REQUIRED, keyless, at)),
-        _invariants("session", got, at),
+        invariant_failure("session", got, at),
     )
     return df.withColumn("session_failure", failure).drop("_given", "_complete")
 
@@ -322,62 +341,59 @@ def evaluate(raw: DataFrame, mapping: Mapping) -> DataFrame:
     for ent, rule in children:
         df = _fields(df, rule, "row", F.col("ent") == ent)
 
-    def by_entity(pick, fallback: Column) -> Column:
-        chosen = fallback
-        for ent, rule in reversed(list(enumerate((mapping.session, *mapping.children)))):
-            chosen = F.when(F.col("ent") == ent, pick(rule)).otherwise(chosen)
-        return chosen
+    ranked = list(enumerate((mapping.session, *mapping.children)))
+
+    def by_entity(pick, fallback: str) -> Column:
+        """The column ``pick`` names for the row's entity."""
+        branches = [f"WHEN {ent} THEN {pick(rule)}" for ent, rule in ranked if pick(rule)]
+        return F.expr(f"CASE ent {' '.join(branches)} ELSE {fallback} END") if branches else F.expr(fallback)
 
     targets: dict[str, Column] = {}
     names = {t: TARGET_FIELDS[e][t] for e in TARGET_FIELDS for t in TARGET_FIELDS[e]}
     names.pop("external_id")
     for name, type_ in names.items():
-        none = F.lit(None).cast(SPARK_TYPES[type_])
 
-        def pick(rule: EntityRule, name: str = name, none: Column = none) -> Column:
+        def pick(rule: EntityRule, name: str = name) -> str:
             mapped = any(f.target == name for f in rule.fields)
-            return F.col(f"{rule.name}_v_{name}") if mapped else none
+            return f"{rule.name}_v_{name}" if mapped else ""
 
-        targets[name] = by_entity(pick, none)
+        targets[name] = by_entity(pick, f"CAST(NULL AS {SPARK_TYPES[type_].simpleString()})")
 
-    def broken(rule: EntityRule) -> Column:
-        if rule.name == "session":
-            return F.col("session_failure")
-        got = {f.target: F.col(f"{rule.name}_v_{f.target}") for f in rule.fields}
-        return F.coalesce(
-            F.col(f"{rule.name}_failure"), _invariants(rule.name, got, len(rule.fields) + 1)
-        )
-
-    def identity(rule: EntityRule) -> Column:
-        if rule.name == "session":
-            return F.lit("")
+    for ent, rule in children:
+        got = {f.target: f"{rule.name}_v_{f.target}" for f in rule.fields}
+        broken = invariant_failure(rule.name, got, len(rule.fields) + 1)
         keys = [
             F.coalesce(
                 paths.as_text(paths.lookup(F.col("row"), F.col("payload"), k)), F.lit("None")
             )
             for k in rule.key_fields
         ]
-        return F.to_json(F.array(*keys))
-
-    none = F.lit(None).cast(_FAILURE)
-    field_failed = by_entity(
-        lambda r: F.col(f"{r.name}_failure").isNotNull(), F.lit(False)
+        df = df.withColumns(
+            {
+                f"{rule.name}_broken": F.when(F.col("ent") == ent, broken),
+                f"{rule.name}_identity": F.when(F.col("ent") == ent, F.to_json(F.array(*keys))),
+            }
+        )
+    df = df.withColumn("session_broken", F.lit(None).cast(_FAILURE))
+    none = f"CAST(NULL AS {_FAILURE})"
+    field_failed = by_entity(lambda r: f"{r.name}_failure IS NOT NULL", "false")
+    failure = by_entity(
+        lambda r: f"CAST(coalesce({r.name}_failure, {r.name}_broken) AS {_FAILURE})", none
     )
-    failure = by_entity(broken, none)
     out = df.select(
         *RECORD,
         "record_sha256",
         "ent",
         "pos",
-        by_entity(lambda r: F.lit(r.name), F.lit("")).alias("entity"),
+        by_entity(lambda r: f"'{r.name}'", "''").alias("entity"),
         "external_id",
-        by_entity(identity, F.lit("")).alias("identity"),
+        by_entity(lambda r: "" if r.name == "session" else f"{r.name}_identity", "''").alias(
+            "identity"
+        ),
         *[value.alias(name) for name, value in targets.items()],
         field_failed.alias("field_failed"),
         failure.alias("failure"),
-        by_entity(lambda r: F.col(f"{r.name}_missing"), F.array().cast("array<string>")).alias(
-            "missing"
-        ),
+        by_entity(lambda r: f"{r.name}_missing", "CAST(array() AS array<string>)").alias("missing"),
         "payload",
     )
     return out.withColumn(
@@ -397,24 +413,24 @@ def _cutoffs(children: DataFrame) -> DataFrame | None:
     before it can fail, so failures and duplicates depend on each other. Each round decides
     the first copies among the rows reached so far and moves the cuts; every status depends
     on earlier rows only, so the cuts settle. Only keys that occur in a record with a
-    failing row take part, and a file without failing rows takes no round at all.
+    failing row take part, and no round is needed when none of them is repeated.
     """
-    bad = children.where("failure IS NOT NULL").select(*RECORD, *_KEY[1:]).distinct()
+    bad = children.where("failure IS NOT NULL")
     if bad.isEmpty():
         return None
-    suspects = bad.select(*RECORD).distinct()
-    touched = children.join(suspects, RECORD, "left_semi").select(*_KEY).distinct()
-    place = F.struct("record_index", "pos")
+    touched = (
+        children.join(bad.select(*RECORD).distinct(), RECORD, "left_semi").select(*_KEY).distinct()
+    )
     rows = cut_lineage(
         children.join(touched, _KEY, "left_semi").select(
-            *RECORD,
-            "pos",
-            *_KEY[1:],
-            F.col("failure").isNotNull().alias("bad"),
-            F.struct("ent", "pos").alias("order"),
+            *RECORD, "pos", *_KEY[1:], F.col("failure").isNotNull().alias("bad"), "order"
         ),
         "suspect-rows",
     )
+    first_bad = rows.where("bad").groupBy(*RECORD).agg(F.min("order").alias("cut"))
+    if rows.groupBy(*_KEY).count().where("count > 1").isEmpty():
+        return first_bad
+    place = F.struct("record_index", "pos")
     cuts: DataFrame | None = None
     while True:
         reached = rows if cuts is None else _until(rows, cuts)
@@ -426,16 +442,17 @@ def _cutoffs(children: DataFrame) -> DataFrame | None:
             .groupBy(*RECORD)
             .agg(F.min("order").alias("cut"))
         )
-        # Cuts of records that stopped earlier are recomputed from all rows up to them.
         latest = cut_lineage(failing, "cuts")
-        if cuts is not None and latest.count() == cuts.count():
-            if latest.exceptAll(cuts).isEmpty():
-                return latest
-        elif cuts is None and latest.isEmpty():
+        if cuts is not None and _same_rows(latest, cuts):
             return latest
         cuts = latest
 
 
+def _same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two sets of distinct rows are equal."""
+    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
 def _until(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Rows up to and including the cut of their record."""
     joined = rows.join(cuts, RECORD, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.cluster import broadcast_if_small
+from tracewell.cluster import broadcast_if_small, cut_lineage
 from tracewell.functions.ranking import top_n_per_group
 from tracewell.functions.redact import redact, redact_json
 
@@ -111,10 +111,12 @@ def profile(
         depth = readable.agg(F.max(_depth(F.to_json("payload"))).alias("d")).first().d or 0
     leaves = _leaves(raw, depth)
     digest = F.when(F.col("kind") != "null", F.sha2(F.concat_ws(":", "kind", "text"), 256))
-    per_value = (
+    # Written once: the counts, the descriptions and the samples all start from it.
+    per_value = cut_lineage(
         leaves.select("file_key", "path", "kind", digest.alias("digest"), "record_index")
         .groupBy("file_key", "path", "kind", "digest")
-        .agg(F.count("*").alias("c"), F.min("record_index").alias("first"))
+        .agg(F.count("*").alias("c"), F.min("record_index").alias("first")),
+        "profile-values",
     )
     present = F.col("digest").isNotNull()
     distinct = F.count(F.when(present, 1))
