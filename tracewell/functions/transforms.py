@@ -92,14 +92,24 @@ ISO_TIME = r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?"
 ISO_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2})?)"
 
 
+_ONE_OR_TWO_DIGITS = {"%m", "%d", "%H", "%I", "%M", "%S"}
+
+
 def spark_pattern(strptime: str) -> str:
-    """The datetime pattern that reads what a strptime format reads."""
+    """The datetime pattern that reads what a strptime format reads.
+
+    Numbers may have one digit or two, unless another number touches them.
+    """
+    tokens = re.findall(r"%.|[A-Za-z]+|'|[^%A-Za-z']+", strptime, flags=re.DOTALL)
     out: list[str] = []
-    for token in re.findall(r"%.|[A-Za-z]+|'|[^%A-Za-z']+", strptime, flags=re.DOTALL):
+    for i, token in enumerate(tokens):
+        around = tokens[max(0, i - 1) : i] + tokens[i + 1 : i + 2]
+        touching = any(t.startswith("%") and t not in ("%p", "%z", "%%") for t in around)
         if token.startswith("%"):
             if token not in STRPTIME_PARTS:
                 raise ValueError(f"unsupported date part {token}")
-            out.append(STRPTIME_PARTS[token])
+            part = STRPTIME_PARTS[token]
+            out.append(part[:1] if token in _ONE_OR_TWO_DIGITS and not touching else part)
         elif token == "'":
             out.append("''")
         else:
@@ -172,7 +182,7 @@ def _json_stringify(source: Column, args: dict, root: Column) -> Cell:
         lambda c: F.when(
             c.rlike(r"[^\x00-\x7f]"),
             F.regexp_replace(
-                F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\\\u$1"
+                F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1"
             ),
         ).otherwise(c),
     )

@@ -13,7 +13,7 @@ SESSION_TYPE = "session"
 
 
 def link_columns(raw: DataFrame) -> DataFrame:
-    """``(file_key, record_index, id, parent_id, is_session, payload)`` of readable records."""
+    """Readable records with ``id``, ``parent_id`` and ``is_session`` added."""
     payload = F.col("payload")
 
     def text(name: str) -> Column:
@@ -22,12 +22,10 @@ def link_columns(raw: DataFrame) -> DataFrame:
 
     typed = F.coalesce(text("type") == SESSION_TYPE, F.lit(False))
     return raw.where("parse_error IS NULL").select(
-        "file_key",
-        "record_index",
+        "*",
         text("id").alias("id"),
         text("parentId").alias("parent_id"),
         typed.alias("is_session"),
-        "payload",
     )
 
 
@@ -93,7 +91,11 @@ def resolve_ancestry(events: DataFrame) -> DataFrame:
     file; rows of a file without a session are dropped.
     """
     roots = _roots(events.select("file_key", "record_index", "id", "parent_id", "is_session"))
-    parents = roots.select("file_key", F.col("id").alias("parent_id"), "root")
+    parents = roots.select("file_key", F.col("id").alias("_link"), "root")
+    # Events without a parent get keys of their own, or they would all meet in one task.
+    orphan = F.concat(F.lit("\u0000"), F.col("record_index").cast("string"))
+    linked = events.withColumn("_link", F.coalesce("parent_id", orphan))
+    inherited = F.when(F.col("parent_id").isNotNull(), F.col("root"))
     first_session = (
         events.where("is_session AND id IS NOT NULL")
         .groupBy("file_key")
@@ -101,9 +103,9 @@ def resolve_ancestry(events: DataFrame) -> DataFrame:
     )
     own = F.when(F.col("is_session"), F.col("id"))
     return (
-        events.join(parents, ["file_key", "parent_id"], "left")
+        linked.join(parents, ["file_key", "_link"], "left")
         .join(broadcast_if_small(first_session), "file_key", "left")
-        .withColumn("session_id", F.coalesce(own, F.col("root"), F.col("fallback")))
+        .withColumn("session_id", F.coalesce(own, inherited, F.col("fallback")))
         .where("session_id IS NOT NULL")
         .select(*events.columns, "session_id")
     )
@@ -118,14 +120,13 @@ def with_session_ids(raw: DataFrame) -> DataFrame:
     exports = broadcast_if_small(detect_exports(raw).where("is_export").select("file_key"))
     chained = raw.join(exports, "file_key", "left_semi")
     others = raw.join(exports, "file_key", "left_anti")
-    resolved = resolve_ancestry(link_columns(chained)).select(
-        "file_key", "record_index", "session_id"
-    )
+    # The payload travels with its event, so it is moved at most once.
+    resolved = resolve_ancestry(link_columns(chained))
     body = F.to_json("payload")
-    tail = F.when(body == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substr(body, F.lit(2))))
+    tail = F.when(body == "{}", F.lit("}")).otherwise(
+        F.concat(F.lit(","), F.substr(body, F.lit(2)))
+    )
     named = F.to_json(F.struct("session_id"))
     head = F.substr(named, F.lit(1), F.length(named) - 1)  # without its closing brace
-    merged = chained.where("parse_error IS NULL").join(resolved, ["file_key", "record_index"])
-    return merged.withColumn("payload", F.parse_json(F.concat(head, tail))).select(
-        *raw.columns
-    ).unionByName(others)
+    merged = resolved.withColumn("payload", F.parse_json(F.concat(head, tail)))
+    return merged.select(*raw.columns).unionByName(others)

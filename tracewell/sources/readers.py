@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.cluster import configure, cut_lineage
+from tracewell.cluster import broadcast_if_small, configure, cut_lineage
 from tracewell.schemas import RAW_RECORD
 from tracewell.sources.files import detect_format, file_fingerprints, list_files, parquet_footers
 
@@ -25,6 +25,7 @@ BAD_HEADER = "CSV header is missing or contains an empty name"
 REPEATED_HEADER = "CSV header contains duplicate names"
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 _HEAD_ROWS = 20
+_MOST_SPLITS = 2_000_000
 
 
 def number_rows(scan: DataFrame, **per_split: Column) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +33,8 @@ def number_rows(scan: DataFrame, **per_split: Column) -> tuple[DataFrame, DataFr
 
     A file is read as splits by many tasks. Rows are counted per split, the counts are added
     up along the file, and each row gets its split's offset plus its place in the split. The
-    split table is written out; with its size known, Catalyst broadcasts it only when small.
+    split table has a row per 128 MB of input by default. It is written out, counted, and
+    broadcast up to two million rows, so that the text itself is never shuffled.
     Returns the numbered rows and the split table with the ``per_split`` aggregates.
     """
     tagged = scan.select(
@@ -50,8 +52,9 @@ def number_rows(scan: DataFrame, **per_split: Column) -> tuple[DataFrame, DataFr
     offsets = cut_lineage(
         splits.withColumn("_before", F.sum("_rows").over(along) - F.col("_rows")), "splits"
     )
+    starts = offsets.select("file_path", "_start", "_first", "_before")
     joined = tagged.join(
-        offsets.select("file_path", "_start", "_first", "_before"), ["file_path", "_start"], "left"
+        broadcast_if_small(starts, _MOST_SPLITS), ["file_path", "_start"], "left"
     )
     # A row whose split is unknown means the files changed between the two reads.
     changed = F.raise_error(F.lit("input files changed while they were read"))
