@@ -83,7 +83,7 @@ def s2_read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("s3_read_parquet", "SELECT doc_id, quality, doc_id % 1 = 0 AS has_index FROM labels")
+@query("s3_read_parquet", "SELECT doc_id, quality, true AS has_index FROM labels")
 def s3_read_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_parquet(spark, [f"{sf_dir}/labels.parquet"])
     return raw.select(

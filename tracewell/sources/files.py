@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +99,7 @@ def parquet_footers(files: DataFrame) -> DataFrame:
     return files.repartition("file_path").mapInPandas(
         _footer_batches, f"{schema}, error string, file_schema string"
     )
+
+
+# The batch functions travel with their tasks, so workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
