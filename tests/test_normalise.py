@@ -370,3 +370,62 @@ def test_all_problems_of_a_document_are_reported():
     for part in ("surprise", "source_name", "key_fields", "nonsense", "exec", "model_name", "from"):
         assert part in text
     assert len(caught.value.problems) >= 7
+
+
+def by_hand(records):
+    """Row-by-row application of the tool document below."""
+    seen, numbers, kept, rejected = set(), {}, [], []
+    for index, record in enumerate(records):
+        for act in record["acts"]:
+            key = (record["run"], str(act.get("no")))
+            if key in seen:
+                continue
+            seen.add(key)
+            if "label" not in act:
+                rejected.append((index, "missing_required_field"))
+                break
+            number = act.get("seq")
+            if number is None:
+                number = numbers.get(record["run"], 0)
+                numbers[record["run"]] = number + 1
+            if act["size"] < 0:
+                rejected.append((index, "schema_violation"))
+                break
+            kept.append((record["run"], number, act["label"], act["size"], index))
+    return sorted(kept), sorted(rejected)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_records_match_a_row_by_row_run(raw_of, seed):
+    import random
+
+    rng = random.Random(seed)
+    tool = {
+        "iterate": {"path": "acts"},
+        "identity": {"key_fields": ["no"]},
+        "fields": {
+            "tool_name": {"from": "label", "required": True},
+            "sequence": {"from": "seq"},
+            "input_bytes": {"from": "size"},
+        },
+    }
+
+    def act():
+        made = {"no": rng.randrange(25), "size": rng.choice([-1, 5, 6, 7, 8, 9])}
+        if rng.random() > 0.15:
+            made["label"] = rng.choice("abc")
+        if rng.random() < 0.2:
+            made["seq"] = 100 + rng.randrange(900)
+        return made
+
+    # one run holds most of the rows
+    records = [
+        {"run": rng.choice(["hot", "hot", "hot", "cold"]),
+         "acts": [act() for _ in range(rng.randrange(6))]}
+        for _ in range(60)
+    ]
+    out = run(raw_of, records, document(tool=tool))
+    kept, rejected = by_hand(records)
+    columns = ("external_id", "sequence", "tool_name", "input_bytes", "record_index")
+    assert sorted(values(out.tool_calls, *columns)) == kept
+    assert sorted(values(out.rejects, "record_index", "reason_code")) == rejected
