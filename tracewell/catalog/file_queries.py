@@ -349,7 +349,7 @@ missing AS (
         SELECT sid FROM made_call UNION ALL SELECT sid FROM made_part WHERE said_at IS NOT NULL))
     AS n),
 t AS (SELECT {_totals_sql('true')})
-SELECT records AS record_count, produced AS imported_count, 0 AS duplicate_count,
+SELECT records AS record_count, produced AS imported_count, CAST(0 AS BIGINT) AS duplicate_count,
   rejected AS rejected_count, n AS missing_info_count, 'partial' AS display_status
 FROM t, missing""",
 )
@@ -361,7 +361,7 @@ def r1_r4_import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     "s9_second_delivery",
     f"""WITH {_IMPORT_SQL},
 t AS (SELECT {_totals_sql("role = 'assistant'")})
-SELECT records AS record_count, 0 AS imported_count, produced AS duplicate_count,
+SELECT records AS record_count, CAST(0 AS BIGINT) AS imported_count, produced AS duplicate_count,
   rejected AS rejected_count FROM t""",
 )
 def s9_second_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:

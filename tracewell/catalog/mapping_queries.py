@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tracewell.catalog.bindings import STAR_CALL_SQL, STAR_SESSION_SQL, STAR_TOOL_SQL
 from tracewell.catalog.bindings import star_calls, star_sessions, star_tools, table
 from tracewell.catalog.conversation_binding import (
+    DOCUMENT,
+    PARENT,
     TURN_SQL,
     repeat_mapping,
     turn_mapping,
@@ -69,9 +71,10 @@ def m1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = paths.rows_at(F.col("payload"), "parts")
-    return turn_records(spark, sf_dir).select(
+    rows = turn_records(spark, sf_dir).select(
         "record_index", "payload", F.posexplode(items).alias("pos", "row")
     )
+    return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
@@ -118,22 +121,27 @@ _PREDICATES = {
 }
 
 
-@query(
-    "m4_m8_predicates",
-    f"WITH {TURN_SQL}\nSELECT "
-    + ", ".join(
-        f"count(*) FILTER (WHERE {sql}) AS {name}" for name, (_, _, _, sql) in _PREDICATES.items()
-    )
-    + " FROM part_row",
-)
-def m4_m8_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.col("row")
-    return _part_rows(spark, sf_dir).agg(
-        *[
-            F.count_if(paths.matches(row, field, op, value)).alias(name)
-            for name, (field, op, value, _) in _PREDICATES.items()
-        ]
+def _predicate(name: str, field: str, op: str, value, sql: str) -> None:
+    """Register a query that counts the rows passing one filter, per kind of turn."""
+
+    @query(
+        name,
+        f"""WITH {TURN_SQL}
+SELECT role, count(*) FILTER (WHERE {sql}) AS passing, count(*) AS n_rows
+FROM part_row GROUP BY 1""",
     )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        role = paths.as_text(paths.path(F.col("payload"), "role")).alias("role")
+        passes = paths.matches(F.col("row"), field, op, value)
+        return (
+            _part_rows(spark, sf_dir)
+            .groupBy(role)
+            .agg(F.count_if(passes).alias("passing"), F.count("*").alias("n_rows"))
+        )
+
+
+for _name, _spec in _PREDICATES.items():
+    _predicate(_name, *_spec)
 
 
 @query(
@@ -243,6 +251,28 @@ def m15_child_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "m11_required_after_fields",
+    f"""WITH {TURN_SQL}
+SELECT record_index, 'missing_required_field' AS reason_code FROM turn_rec
+WHERE role = 'assistant' AND engine IS NULL""",
+)
+def m11_required_after_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model name that may be NULL as a field still ends the record as an entity."""
+    from tracewell.plans.mapping import load_mapping
+
+    call = {
+        "iterate": {"path": "", "where": [["role", "eq", "assistant"]]},
+        "parent": PARENT,
+        "identity": {"key_fields": ["sid", "turn"]},
+        "fields": {"model_name": {"from": "engine", "on_error": "null"}},
+    }
+    entities = {"session": DOCUMENT["entities"]["session"], "model_call": call}
+    mapping = load_mapping({**DOCUMENT, "entities": entities})
+    rejects = normalise(turn_records(spark, sf_dir), mapping).rejects
+    return rejects.select("record_index", "reason_code")
+
+
 @query(
     "m12_coercion",
     f"""WITH {TURN_SQL}
