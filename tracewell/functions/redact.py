@@ -85,20 +85,39 @@ _BACKSLASH, _QUOTE = "\u0002", "\u0001"
 
 
 def redact_json(json_text: Column) -> Column:
-    """JSON text with every string value redacted; keys, numbers and structure are kept."""
+    """JSON text with every string value redacted; keys, numbers and structure are kept.
+
+    Text that holds nothing to redact is passed on as it is, and strings without escapes are
+    not decoded.
+    """
     marked = F.replace(json_text, F.lit("\\\\"), F.lit(_BACKSLASH))
     marked = F.replace(marked, F.lit('\\"'), F.lit(_QUOTE))
     tokens = F.regexp_extract_all(marked, F.lit('"[^"]*":?|[^"]+'), F.lit(0))
 
-    def clean(token: Column) -> Column:
-        escaped = F.replace(F.replace(token, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH),
-                            F.lit("\\\\"))
-        listed = F.concat(F.lit("["), escaped, F.lit("]"))
+    def decoded(token: Column) -> Column:
+        listed = F.concat(F.lit("["), _unmarked(token), F.lit("]"))
         text = F.element_at(F.from_json(listed, T.ArrayType(T.StringType())), 1)
         quoted = F.to_json(F.array(redact(text)))
-        is_value = token.startswith('"') & ~token.endswith(":")
-        return F.when(
-            is_value, F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-        ).otherwise(escaped)
+        return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
-    return F.array_join(F.transform(tokens, clean), "")
+    def clean(token: Column) -> Column:
+        inner = F.substring(token, F.lit(2), F.length(token) - 2)
+        plain = F.concat(F.lit('"'), redact(inner), F.lit('"'))
+        is_value = token.startswith('"') & ~token.endswith(":")
+        escaped = token.rlike(f"[\\\\{_BACKSLASH}{_QUOTE}]")
+        return (
+            F.when(is_value & escaped, decoded(token))
+            .when(is_value, plain)
+            .otherwise(_unmarked(token))
+        )
+
+    worth = json_text.contains("\\u")
+    for needed in _worth_trying(json_text):
+        worth = worth | needed
+    redacted = F.array_join(F.transform(tokens, clean), "")
+    return F.when(worth, redacted).otherwise(json_text)
+
+
+def _unmarked(text: Column) -> Column:
+    quoted = F.replace(text, F.lit(_QUOTE), F.lit('\\"'))
+    return F.replace(quoted, F.lit(_BACKSLASH), F.lit("\\\\"))

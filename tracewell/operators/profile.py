@@ -63,9 +63,8 @@ def flatten_paths(raw: DataFrame, depth: int | None = None) -> DataFrame:
     return df.where(F.col("path").isNotNull() & _members(F.col("leaf")).isNull())
 
 
-def leaf_type(leaf: Column) -> Column:
-    """null, bool, int, float, datetime, string, array or object."""
-    schema = F.schema_of_variant(leaf)
+def leaf_type(schema: Column) -> Column:
+    """null, bool, int, float, datetime, string, array or object, from a leaf's schema text."""
     whole = schema.rlike(r"^DECIMAL\((?:19|[2-9][0-9]),0\)$")  # integers beyond 64 bits
     return (
         F.when(schema.isNull() | (schema == "VOID"), "null")
@@ -79,18 +78,23 @@ def leaf_type(leaf: Column) -> Column:
     )
 
 
-def _leaf_text(leaf: Column, kind: Column) -> Column:
-    """Redacted text of a leaf: strings as they are, anything else as JSON."""
-    return (
-        F.when(kind == "string", redact(F.try_variant_get(leaf, "$", "string")))
-        .when(kind == "array", redact_json(F.to_json(leaf)))
-        .when(kind != "null", F.to_json(leaf))
-    )
-
-
 def _leaves(raw: DataFrame, depth: int | None) -> DataFrame:
-    typed = flatten_paths(raw, depth).withColumn("kind", leaf_type(F.col("leaf")))
-    text = _leaf_text(F.col("leaf"), F.col("kind"))
+    """Leaves with their kind and redacted text: strings as they are, anything else as JSON.
+
+    Schema, kind and plain text are projections of their own, so each is computed once.
+    """
+    leaf = F.col("leaf")
+    typed = flatten_paths(raw, depth).withColumn("schema", F.schema_of_variant(leaf))
+    typed = typed.withColumn("kind", leaf_type(F.col("schema")))
+    plain = F.when(F.col("kind") == "string", F.try_variant_get(leaf, "$", "string")).when(
+        F.col("kind") != "null", F.to_json(leaf)
+    )
+    typed = typed.withColumn("plain", plain)
+    text = (
+        F.when(F.col("kind") == "string", redact(F.col("plain")))
+        .when(F.col("kind") == "array", redact_json(F.col("plain")))
+        .otherwise(F.col("plain"))
+    )
     return typed.select(*_RECORD, "path", "kind", text.alias("text"))
 
 
