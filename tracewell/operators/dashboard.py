@@ -113,7 +113,10 @@ def relative_delta(current: Column, previous: Column) -> Column:
 
 
 def period_comparison(
-    tables: TraceTables, date_from: datetime, date_to: datetime, scope: MetricFilter = MetricFilter()
+    tables: TraceTables,
+    date_from: datetime,
+    date_to: datetime,
+    scope: MetricFilter = MetricFilter(),
 ) -> DataFrame:
     """Indicators of a window and of the preceding one, with deltas, in one scan.
 

@@ -346,7 +346,9 @@ def evaluate(raw: DataFrame, mapping: Mapping) -> DataFrame:
     def by_entity(pick, fallback: str) -> Column:
         """The column ``pick`` names for the row's entity."""
         branches = [f"WHEN {ent} THEN {pick(rule)}" for ent, rule in ranked if pick(rule)]
-        return F.expr(f"CASE ent {' '.join(branches)} ELSE {fallback} END") if branches else F.expr(fallback)
+        if not branches:
+            return F.expr(fallback)
+        return F.expr(f"CASE ent {' '.join(branches)} ELSE {fallback} END")
 
     targets: dict[str, Column] = {}
     names = {t: TARGET_FIELDS[e][t] for e in TARGET_FIELDS for t in TARGET_FIELDS[e]}
