@@ -387,7 +387,7 @@ def scored(
     rounds, large = _rounds(model, bound)
     parts = []
     for langs in rounds:
-        rows = model.where(_of_langs(model, langs)).toPandas()
+        rows = model.where(_of_langs(model, langs)).toArrow().to_pandas()
         kinds = rows.lang.where(rows.lang.notna(), None)
         models = {
             lang: Model(rows[kinds.isna() if lang is None else kinds == lang], order)
