@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
-from test_normalise import ROUND_MODEL, ROUND_TOOL, ROUNDS, document
+from test_normalise import TURN_MODEL, TURN_TOOL, TURNS, document, turn, walk
 
 from tracewell.operators import ingest as ingest_module
 from tracewell.operators.ancestry import detect_exports, resolve_ancestry, with_session_ids
@@ -98,6 +98,75 @@ def test_csv_bad_rows_and_headers(spark, tmp_path):
         assert sha == hashlib.sha256(path.read_bytes()).hexdigest()
 
 
+CSV_CASES = {
+    "surplus text behind a quote": b'id,name\n1,a "x, y" b\n2, "al, x"\n',
+    "literal quotes": b'id,x,y\n1,3" x,4" y\n',
+    "blanks after delimiters": b'id, name\n1, b\n\n2, "q\nr"\n',
+    "lone carriage returns": b"a\rb\r1\r2\r",
+    "malformed and unfinished quotes": b'id,n\n"1"x,2\n3,"4,5\n6,7\n',
+}
+
+
+def csv_by_hand(content):
+    """(index, record, fault) as the standard parser sees each record of well-read files."""
+    import csv
+    import io
+
+    text = content.decode()
+    try:
+        dialect = csv.Sniffer().sniff(text[:8192], delimiters=",;")
+    except csv.Error:
+        dialect = csv.excel
+    rows = csv.reader(io.StringIO(text), dialect, strict=True)
+    try:
+        names = next(rows)
+        out = [
+            (i, dict(zip(names, r)), False) if len(r) == len(names) else (i, None, True)
+            for i, r in enumerate(rows)
+        ]
+    except csv.Error:
+        return None
+    return out
+
+
+@pytest.mark.parametrize("name", CSV_CASES)
+def test_csv_keeps_every_cell_and_row(spark, tmp_path, name):
+    (tmp_path / "t.csv").write_bytes(CSV_CASES[name])
+    got = [(i, p, e is not None) for i, p, e, _ in shown(read_csv(spark, [str(tmp_path)]))]
+    want = csv_by_hand(CSV_CASES[name])
+    if want is not None:
+        assert got == want
+    elif name.startswith("lone"):
+        assert got == [(0, None, True)]
+    else:  # a malformed row ends with its line, an unfinished one with its file
+        assert got == [(0, None, True), (1, None, True)]
+
+
+def test_random_csv_over_many_splits(spark, tmp_path):
+    rng = random.Random(6)
+    whole = {}
+    for name, names, cut in (("a", "u,v,w", ","), ("b", "k;l", ";")):
+        width = names.count(cut) + 1
+        rows = [names] + [
+            cut.join(
+                rng.choice(["x", "", "7", 'p"q', '"a""b"', f'"l1\nl2{cut}"', '"\n\n"', "é"])
+                for _ in range(rng.choice([width] * 6 + [width + 1, 1]))
+            )
+            for _ in range(900)
+        ]
+        whole[name] = ("\n".join(rows) + "\n").encode()
+        (tmp_path / f"{name}.csv").write_bytes(whole[name])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        raw = read_csv(spark, [str(tmp_path)])
+        for name, content in whole.items():
+            own = raw.where(F.col("file_path").endswith(f"/{name}.csv"))
+            got = [(i, p, e is not None) for i, p, e, _ in shown(own)]
+            assert got == csv_by_hand(content)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
+
+
 def test_parquet_and_any(spark, tmp_path):
     pq.write_table(
         pa.table({"id": [1, 2], "score": [1.5, None], "ok": [True, False], "tags": [["a"], []]}),
@@ -135,24 +204,29 @@ def test_price_list(spark, tmp_path):
 
 def test_profile(spark, raw_of):
     records = [
-        {"id": 1, "user": {"name": "Ann", "email": None}, "tags": ["a"], "mix": 1, "none": {}},
-        {"id": 2, "user": {"name": "Bo", "email": "b@example.com"}, "tags": ["b"], "mix": "1"},
-        {"id": 1, "user": {"name": "Ann"}, "tags": None, "late": 1.5, "deep": {"a": {"b": True}}},
-        "bad line",
+        {"build": {"host": "h1", "mail": "ops@site.net"}, "exit": 0, "took": 2.5, "warn": ["w"]},
+        {"build": {"host": "h2"}, "exit": "0", "took": 2.25, "env": {"os": {"lts": False}}},
+        {"build": {"host": "h1", "mail": None}, "exit": 1, "took": None, "blank": {}},
+        "torn",
+        {"build": {"host": "h1"}, "exit": None, "took": 9.5, "warn": None},
     ]
-    rows = {r.path: r for r in profile(raw_of(records), sample_size=2).collect()}
-    assert sorted(rows) == ["deep.a.b", "id", "late", "mix", "tags", "user.email", "user.name"]
-    assert (rows["id"].inferred_type, rows["id"].distinct_count) == ("int", 2)
-    assert rows["id"].sample_values == ["1", "2"]
-    assert rows["user.email"].null_ratio == 3 / 4
-    assert rows["user.email"].sample_values == ["[REDACTED]"]
-    assert (rows["late"].null_ratio, rows["late"].inferred_type) == (0.5, "float")
-    assert (rows["mix"].inferred_type, rows["tags"].inferred_type) == ("mixed", "array")
-    assert rows["deep.a.b"].inferred_type == "bool"
+    rows = {r.path: r for r in profile(raw_of(records), sample_size=1).collect()}
+    kinds = {p: r.inferred_type for p, r in rows.items()}
+    assert kinds == {
+        "build.host": "string", "build.mail": "string", "env.os.lts": "bool",
+        "exit": "mixed", "took": "float", "warn": "array",
+    }
+    # absent or null records out of those since the path was first seen
+    absent = {"build.host": 1 / 5, "build.mail": 4 / 5, "env.os.lts": 3 / 4, "exit": 2 / 5}
+    absent |= {"took": 2 / 5, "warn": 4 / 5}
+    assert {p: r.null_ratio for p, r in rows.items()} == pytest.approx(absent)
+    assert (rows["build.host"].distinct_count, rows["took"].distinct_count) == (2, 3)
+    assert rows["build.host"].sample_values == ["h1"]
+    assert rows["build.mail"].sample_values == ["[REDACTED]"]
     with pytest.raises(ValueError):
         profile(raw_of(records), sample_size=-1)
-    first = sample_records(raw_of(records), 2).collect()
-    assert "b@example.com" not in first[1].payload_json and len(first) == 2
+    first = sample_records(raw_of(records), 1).collect()
+    assert len(first) == 1 and "ops@site.net" not in first[0].payload_json
 
 
 # -------------------------------------------------------------------- ancestry
@@ -239,45 +313,63 @@ def lines(path, rows):
 
 @pytest.fixture
 def mapping():
-    return load_mapping(document(model=ROUND_MODEL, tool=ROUND_TOOL))
+    return load_mapping(document(model=TURN_MODEL, tool=TURN_TOOL))
+
+
+COUNTERS = ("record_count", "imported_count", "duplicate_count", "rejected_count")
+
 
+def keys_of(turns):
+    sessions, models, tools, _ = walk(turns)
+    return {("s", k) for k in sessions} | {("m", k) for k in models} | {("t", k) for k in tools}
 
-def test_import_repeat_reorder_and_failure(spark, tmp_path, mapping, monkeypatch):
+
+def test_overlapping_files_import_each_row_once(spark, tmp_path, mapping):
     store = Warehouse(spark, str(tmp_path / "wh"))
-    first = lines(tmp_path / "a.jsonl", ROUNDS)
-    [report] = ingest(spark, [first], mapping, store).collect()
-    counters = ("record_count", "imported_count", "duplicate_count", "rejected_count")
-    assert tuple(report[c] for c in counters) == (4, 8, 0, 1)
-    assert (report.display_status, report.already_imported) == ("partial", False)
-    assert report.file_sha256 == hashlib.sha256(open(first, "rb").read()).hexdigest()
-
-    [again] = ingest(spark, [first], mapping, store).collect()
-    assert again.already_imported and again.imported_count == 8
-    assert len(store.commits()) == 1
-
-    turned = lines(tmp_path / "b.jsonl", ROUNDS[::-1])
-    copy = lines(tmp_path / "c.jsonl", ROUNDS[::-1])
-    reports = ingest(spark, [turned, copy], mapping, store)
-    total = total_report(reports.where("NOT already_imported")).first()
-    assert (total.files, total.imported_count, total.duplicate_count) == (1, 0, 8)
-    assert {n: store.table(n).count() for n in ("session", "model_call", "tool_call")} == {
-        "session": 2, "model_call": 3, "tool_call": 3
-    }
-    assert store.table("import_batch").count() == 2
+    stored = set()
+    for name, turns in (("p", TURNS[:3]), ("q", TURNS[2:]), ("r", TURNS[1:5])):
+        path = lines(tmp_path / f"{name}.jsonl", turns)
+        [report] = ingest(spark, [path], mapping, store).collect()
+        new = keys_of(turns) - stored
+        assert tuple(report[c] for c in COUNTERS) == (
+            len(turns), len(new), len(keys_of(turns) & stored), len(walk(turns)[3])
+        )
+        assert report.display_status == "partial" and not report.already_imported
+        assert report.file_sha256 == hashlib.sha256(open(path, "rb").read()).hexdigest()
+        stored |= new
+    counts = [store.table(n).count() for n in ("session", "model_call", "tool_call")]
+    assert counts == [len(part) for part in walk(TURNS)[:3]]
+
+
+def test_a_known_file_is_not_read_again(spark, tmp_path, mapping):
+    store = Warehouse(spark, str(tmp_path / "wh"))
+    one = lines(tmp_path / "one.jsonl", TURNS[2:4])
+    same = lines(tmp_path / "same.jsonl", TURNS[2:4])
+    fresh = ingest(spark, [one, same], mapping, store).where("NOT already_imported")
+    assert total_report(fresh).first().files == 1
+    [again] = ingest(spark, [one], mapping, store).collect()
+    assert again.already_imported and again.imported_count == len(keys_of(TURNS[2:4]))
+    assert (len(store.commits()), store.table("import_batch").count()) == (1, 1)
 
-    def broken(self, name, rows, import_id, _append=Warehouse.append):
-        if name == "tool_call":
-            raise RuntimeError("disk full")
-        return _append(self, name, rows, import_id)
 
-    monkeypatch.setattr(ingest_module.Warehouse, "append", broken)
-    more = lines(tmp_path / "d.jsonl", [{**ROUNDS[0], "run": "new"}])
-    with pytest.raises(RuntimeError, match="disk full"):
-        ingest(spark, [more], mapping, store)
-    assert store.table("session").count() == 2  # nothing of the failed import is visible
+@pytest.mark.parametrize("at", ["session", "model_call", "tool_call"])
+def test_a_failed_import_leaves_nothing_behind(spark, tmp_path, mapping, monkeypatch, at):
+    store = Warehouse(spark, str(tmp_path / "wh"))
+    path = lines(tmp_path / "x.jsonl", [turn("delta", 2, "cat", read=5)])
+    append = Warehouse.append
+
+    def full(self, name, rows, import_id):
+        if name == at:
+            raise RuntimeError("no space")
+        return append(self, name, rows, import_id)
+
+    monkeypatch.setattr(ingest_module.Warehouse, "append", full)
+    with pytest.raises(RuntimeError, match="no space"):
+        ingest(spark, [path], mapping, store)
+    assert [store.table(n).count() for n in ("session", "model_call", "tool_call")] == [0, 0, 0]
     monkeypatch.undo()
-    [fixed] = ingest(spark, [more], mapping, store).collect()
-    assert (fixed.imported_count, store.table("session").count()) == (3, 3)
+    [done] = ingest(spark, [path], mapping, store).collect()
+    assert (done.imported_count, store.table("tool_call").count()) == (3, 1)
 
 
 def test_retention_repositories_and_prices(spark, tmp_path):
@@ -310,10 +402,10 @@ def test_stream_imports_each_file_once(spark, tmp_path, mapping):
     arrivals.mkdir()
     store = Warehouse(spark, str(tmp_path / "wh"))
     state = str(tmp_path / "state")
-    for name, rows in (("a", ROUNDS[:2]), ("b", ROUNDS[2:])):
+    for name, rows in (("a", TURNS[:1]), ("b", TURNS[1:])):
         lines(arrivals / f"{name}.jsonl", rows)
         ingest_stream(spark, str(arrivals), mapping, store, state).awaitTermination()
-    assert store.table("session").count() == 2
+    assert store.table("session").count() == len(walk(TURNS)[0])
     assert store.table("import_batch").count() == 2
 
 

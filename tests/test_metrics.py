@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
@@ -15,8 +16,8 @@ from tracewell.operators import views as V
 from tracewell.operators.metrics import MetricFilter
 
 UTC = timezone.utc
-DAY1 = datetime(2026, 5, 1, 8, tzinfo=UTC)
-DAY2 = datetime(2026, 5, 2, 9, tzinfo=UTC)
+DAY1 = datetime(2027, 11, 28, 22, 15, tzinfo=UTC)
+DAY2 = datetime(2027, 11, 29, 0, 5, tzinfo=UTC)
 
 
 def ms(start, n):
@@ -28,29 +29,50 @@ def frame(spark, schema, rows):
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
 
 
+KEY = {"source_name": "farm"}
+# (id, agent, repository, start, length in ms)
+SESSIONS = [
+    ("k9", "carl", None, DAY2, 90_250),
+    ("k2", "ida", "api", DAY1, 7_125),
+    ("k5", "ida", "web", ms(DAY2, 60_000), None),
+    ("k7", None, None, None, None),
+    ("k4", "carl", "api", ms(DAY1, -5_000), 4_000),
+]
+# (session, number, model, read, wrote, cached, cost, start after session or None, failed)
+MODEL_CALLS = [
+    ("k2", 0, "deep", 830, 17, 415, 0.25, 0, False),
+    ("k2", 1, "deep", 1_900, None, None, None, 2_000, True),
+    ("k2", 2, "fast", None, 6, None, 0.125, None, False),
+    ("k9", 0, "fast", 12, 3, 0, None, 100, False),
+    ("k7", 0, "deep", 40, None, 10, None, None, False),
+]
+# (session, number, tool, start after session, failed)
+TOOL_CALLS = [("k9", 4, "fetch", 50, True), ("k2", 1, "patch", 3_000, False), ("k2", 0, "patch", 1_000, True)]
+STARTS = {s[0]: s[3] for s in SESSIONS}
+
+
+def plus(session, after, extra=0):
+    return None if after is None else ms(STARTS[session], after + extra)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
-    key = {"source_name": "lab"}
     session = [
-        {**key, "external_id": "A", "agent_name": "x", "repository_name": "repo",
-         "started_at": DAY1, "ended_at": ms(DAY1, 3000), "record_index": 0},
-        {**key, "external_id": "B", "agent_name": "y", "started_at": DAY2,
-         "ended_at": ms(DAY2, 1000), "record_index": 1},
-        {**key, "external_id": "C", "agent_name": "x"},
+        {**KEY, "external_id": i, "agent_name": a, "repository_name": r, "started_at": s,
+         "ended_at": None if n is None else ms(s, n), "record_index": k}
+        for k, (i, a, r, s, n) in enumerate(SESSIONS)
     ]
     model = [
-        {**key, "external_id": "A", "sequence": 0, "model_name": "m1", "prompt_tokens": 100,
-         "completion_tokens": 40, "cached_tokens": 20, "total_tokens": 140, "cost_usd": 0.5,
-         "started_at": DAY1, "ended_at": ms(DAY1, 1000), "status": "success"},
-        {**key, "external_id": "A", "sequence": 1, "model_name": "m1", "prompt_tokens": 50,
-         "total_tokens": 50, "status": "error", "error_type": "model_error"},
-        {**key, "external_id": "B", "sequence": 0, "model_name": "m2", "prompt_tokens": 200,
-         "completion_tokens": 60, "total_tokens": 260, "started_at": DAY2,
-         "ended_at": ms(DAY2, 1000), "status": "success"},
+        {**KEY, "external_id": i, "sequence": n, "model_name": m, "prompt_tokens": read,
+         "completion_tokens": wrote, "cached_tokens": cached, "cost_usd": cost,
+         "total_tokens": (read or 0) + (wrote or 0), "started_at": plus(i, at),
+         "ended_at": plus(i, at, 640), "status": "timeout" if bad else "success"}
+        for i, n, m, read, wrote, cached, cost, at, bad in MODEL_CALLS
     ]
     tool = [
-        {**key, "external_id": "A", "sequence": 0, "tool_name": "shell",
-         "started_at": ms(DAY1, 500), "ended_at": ms(DAY1, 1300), "status": "success"},
+        {**KEY, "external_id": i, "sequence": n, "tool_name": t, "started_at": plus(i, at),
+         "ended_at": plus(i, at, 35), "status": "error" if bad else "success"}
+        for i, n, t, at, bad in TOOL_CALLS
     ]
     return V.TraceTables(
         frame(spark, schemas.SESSION, session),
@@ -60,31 +82,59 @@ def tables(spark):
     )
 
 
-EXPECTED = {
-    "session_count": 3,
-    "model_call_count": 3,
-    "tool_call_count": 1,
-    "error_count": 1,
-    "total_tokens": 450,
-    "prompt_tokens": 350,
-    "completion_tokens": 100,
-    "cached_tokens": 20,
-    "total_cost_usd": 0.5,
-    "cost_is_estimated": False,
-    "error_rate": 1 / 4,
-    "cache_hit_ratio": 20 / 350,
-    "median_session_duration_ms": 2000.0,
-}
+def total(numbers):
+    known = [n for n in numbers if n is not None]
+    return sum(known) if known else None
+
+
+def expected(ids):
+    """The indicators of some sessions, added up in a plain loop."""
+    calls = [c for c in MODEL_CALLS if c[0] in ids]
+    tools = [t for t in TOOL_CALLS if t[0] in ids]
+    lengths = [s[4] for s in SESSIONS if s[0] in ids and s[4] is not None]
+    errors = sum(c[8] for c in calls) + sum(t[4] for t in tools)
+    read, cached = total(c[3] for c in calls), total(c[5] for c in calls)
+    return {
+        "session_count": len(ids),
+        "model_call_count": len(calls),
+        "tool_call_count": len(tools),
+        "error_count": errors,
+        "total_tokens": total((c[3] or 0) + (c[4] or 0) for c in calls),
+        "prompt_tokens": read,
+        "completion_tokens": total(c[4] for c in calls),
+        "cached_tokens": cached,
+        "total_cost_usd": total(c[6] for c in calls),
+        "cost_is_estimated": False,
+        "error_rate": errors / (len(calls) + len(tools)) if calls or tools else None,
+        "cache_hit_ratio": cached / read if read and cached is not None else None,
+        "median_session_duration_ms": statistics.median(lengths) if lengths else None,
+    }
 
 
-def test_indicators(tables):
-    assert M.indicators(tables).first().asDict() == pytest.approx(EXPECTED)
+EVERY = {s[0] for s in SESSIONS}
+
+
+@pytest.mark.parametrize(
+    ("scope", "ids"),
+    [
+        (MetricFilter(), EVERY),
+        (MetricFilter(sources=["farm"]), EVERY),
+        (MetricFilter(agents=["ida"]), {"k2", "k5"}),
+        (MetricFilter(repositories=["api"]), {"k2", "k4"}),
+        (MetricFilter(models=["fast"]), {"k2", "k9"}),
+        (MetricFilter(models=["fast", "deep"], agents=["carl"]), {"k9"}),
+        (MetricFilter(date_from=DAY1), {"k2", "k9", "k5"}),
+        (MetricFilter(date_to=DAY2), {"k2", "k4"}),
+        (MetricFilter(date_from=DAY1, date_to=DAY2, models=["deep"]), {"k2"}),
+    ],
+)
+def test_indicators(tables, scope, ids):
+    assert M.indicators(tables, scope).first().asDict() == pytest.approx(expected(ids))
 
 
-def test_both_indicator_paths_agree(tables):
-    # a filter that keeps everything takes the path through the session view
-    wide = MetricFilter(agents=["x", "y"])
-    assert M.indicators(tables, wide).first().asDict() == pytest.approx(EXPECTED)
+def test_scope_reaches_the_calls_before_they_are_aggregated(tables):
+    plan = M.indicators(tables, MetricFilter(agents=["ida"]))._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[0].count("LeftSemi") >= 2
 
 
 def test_empty_scope_keeps_null_and_zero_apart(tables):
@@ -97,56 +147,58 @@ def test_empty_scope_keeps_null_and_zero_apart(tables):
     assert (none.session_count, none.total_tokens, none.error_rate) == (0, None, None)
 
 
-def test_model_filter_is_on_the_session(tables):
-    row = M.indicators(tables, MetricFilter(models=["m2"])).first()
-    assert (row.session_count, row.total_tokens) == (1, 260)
-    both = M.indicators(tables, MetricFilter(models=["m1"])).first()
-    assert (both.session_count, both.total_tokens) == (1, 190)
-
-
 def test_session_view_nulls(tables):
     rows = {r.external_id: r for r in V.session_metrics(tables).collect()}
-    a, c = rows["A"], rows["C"]
-    assert (a.duration_ms, a.n_model_calls, a.n_tool_calls, a.n_errors) == (3000, 2, 1, 1)
-    assert a.cache_hit_ratio == pytest.approx(20 / 150)
-    assert (c.n_model_calls, c.total_tokens, c.duration_ms, c.cache_hit_ratio) == (
-        0, None, None, None
-    )
+    for i, _, _, _, length in SESSIONS:
+        want, row = expected({i}), rows[i]
+        assert row.duration_ms == length
+        assert (row.n_model_calls, row.n_tool_calls, row.n_errors, row.total_tokens) == (
+            want["model_call_count"], want["tool_call_count"], want["error_count"],
+            want["total_tokens"],
+        )
+        assert row.cache_hit_ratio == pytest.approx(want["cache_hit_ratio"])
 
 
 def test_timeseries(tables):
-    assert values(M.timeseries(tables, "sessions")) == [("2026-05-01", 1.0), ("2026-05-02", 1.0)]
-    assert values(M.timeseries(tables, "tokens")) == [("2026-05-01", 190.0), ("2026-05-02", 260.0)]
-    assert values(M.timeseries(tables, "cost")) == [("2026-05-01", 0.5), ("2026-05-02", None)]
-    for bad in (("odd", "day"), ("tokens", "week")):
+    days = {}
+    for i, _, _, start, _ in SESSIONS:
+        if start:
+            days.setdefault(start.date().isoformat(), set()).add(i)
+    for metric, name in (("sessions", "session_count"), ("tokens", "total_tokens"),
+                         ("cost", "total_cost_usd"), ("errors", "error_count")):
+        want = [(d, expected(ids)[name]) for d, ids in sorted(days.items())]
+        assert values(M.timeseries(tables, metric)) == want
+    for bad in (("weight", "day"), ("cost", "hour")):
         with pytest.raises(ValueError):
             M.timeseries(tables, bad[0], granularity=bad[1])
 
 
 def test_session_pages(tables):
-    first = M.sessions(tables, limit=2).collect()
-    assert [r.external_id for r in first] == ["B", "A"]
-    [last] = M.sessions(tables, limit=2, offset=2).collect()
-    assert (last.external_id, last.started_at, last.total_tokens) == ("C", None, None)
-    assert M.session_count(tables).first().total == 3
+    order = sorted((s for s in SESSIONS if s[3]), key=lambda s: s[3], reverse=True)
+    want = [s[0] for s in order] + ["k7"]
+    got = [
+        r.external_id for page in range(3) for r in M.sessions(tables, limit=2, offset=2 * page).collect()
+    ]
+    assert got == want and M.session_count(tables).first().total == len(want)
     dated = M.sessions(tables, MetricFilter(date_from=DAY2)).collect()
-    assert [r.external_id for r in dated] == ["B"]
-    until = M.sessions(tables, MetricFilter(date_to=DAY2)).collect()
-    assert [r.external_id for r in until] == ["A"]
-    with pytest.raises(ValueError):
-        M.sessions(tables, limit=201)
+    assert [r.external_id for r in dated] == ["k5", "k9"]
+    for wrong in ({"limit": 0}, {"limit": 201}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            M.sessions(tables, **wrong)
 
 
 def test_timeline_and_detail(tables):
-    events = M.timeline(tables, "lab", "A").collect()
+    events = M.timeline(tables, "farm", "k2").collect()
     assert [(e.kind, e.sequence) for e in events] == [
-        ("model_call", 0), ("tool_call", 0), ("model_call", 1)
+        ("model_call", 0), ("tool_call", 0), ("model_call", 1), ("tool_call", 1), ("model_call", 2)
     ]
-    assert (events[0].duration_ms, events[1].total_tokens) == (1000, None)
-    head = M.session_detail(tables, "lab", "A").first()
-    assert (head.duration_ms, head.total_tokens, head.error_count) == (3000, 190, 1)
-    assert head.total_cost_usd == pytest.approx(0.5) and head.has_raw_record
-    assert M.session_detail(tables, "lab", "unknown").count() == 0
+    assert [e.duration_ms for e in events] == [640, 35, 640, 35, None]
+    head, want = M.session_detail(tables, "farm", "k2").first(), expected({"k2"})
+    assert (head.duration_ms, head.total_tokens, head.error_count) == (
+        7_125, want["total_tokens"], want["error_count"]
+    )
+    assert head.total_cost_usd == pytest.approx(want["total_cost_usd"]) and head.has_raw_record
+    assert M.session_detail(tables, "farm", "k0").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -231,16 +283,17 @@ def test_previous_period_and_delta(spark):
 
 
 def test_period_comparison(tables):
-    start = ms(DAY2, -7_200_000)
-    row = D.period_comparison(tables, start, ms(start, 86_400_000)).first()
-    assert (row.current_session_count, row.previous_session_count) == (1, 1)
-    assert row.delta_total_tokens == pytest.approx((260 - 190) / 190)
+    now, before = expected({"k9", "k5"}), expected({"k2", "k4"})
+    row = D.period_comparison(tables, DAY2, ms(DAY2, 86_400_000)).first()
+    assert (row.current_session_count, row.previous_session_count) == (2, 2)
+    change = (now["total_tokens"] - before["total_tokens"]) / before["total_tokens"]
+    assert row.delta_total_tokens == pytest.approx(change)
     assert row.current_total_cost_usd is None and row.delta_total_cost_usd is None
 
 
 def test_day_scope(tables):
-    scope = D.day_scope(date(2026, 5, 1))
-    assert [r.external_id for r in M.sessions(tables, scope).collect()] == ["A"]
+    found = M.sessions(tables, D.day_scope(date(2027, 11, 28))).collect()
+    assert {r.external_id for r in found} == {"k2", "k4"}
 
 
 @pytest.mark.parametrize(

@@ -38,118 +38,121 @@ def document(session=None, model=None, tool=None, **top):
     }
 
 
-ROUND_MODEL = {
-    "identity": {"key_fields": ["run", "step"]},
+TURN_MODEL = {
+    "identity": {"key_fields": ["run", "turn"]},
     "fields": {
-        "sequence": {"from": "step", "transform": "to_int"},
-        "model_name": {"from": "engine", "required": True, "on_error": "reject"},
-        "prompt_tokens": {"from": "in", "transform": "to_int"},
-        "completion_tokens": {"from": "out", "transform": "to_int"},
+        "sequence": {"from": "turn", "transform": "to_int"},
+        "model_name": {"from": "llm.name", "required": True, "on_error": "reject"},
+        "prompt_tokens": {"from": "llm.usage.read", "transform": "to_int"},
+        "completion_tokens": {"from": "llm.usage.wrote", "transform": "to_int"},
     },
 }
-ROUND_TOOL = {
-    "iterate": {"path": "acts"},
-    "identity": {"key_fields": ["run", "step", "no"]},
+TURN_TOOL = {
+    "iterate": {"path": "uses"},
+    "identity": {"key_fields": ["run", "turn", "slot"]},
     "fields": {
-        "sequence": {"from": "no", "transform": "to_int"},
-        "tool_name": {"from": "label", "required": True, "on_error": "reject"},
+        "sequence": {"from": "slot", "transform": "to_int"},
+        "tool_name": {"from": "cmd", "required": True, "on_error": "reject"},
     },
 }
-ROUNDS = [
-    {"run": "r1", "who": "x", "engine": "e1", "step": 0, "in": 100, "out": 10,
-     "acts": [{"no": 0, "label": "shell"}]},
-    {"run": "r1", "who": "x", "engine": "e1", "step": 1, "in": 200, "out": 20, "acts": []},
-    {"run": "r2", "who": "y", "engine": "e2", "step": 0, "in": 50, "out": 5,
-     "acts": [{"no": 0, "label": "find"}, {"no": 1, "label": "open"}]},
-    {"who": "lost", "engine": "e3", "step": 0},
+
+
+def turn(run, number, *commands, name="m-small", read=None, wrote=None, **more):
+    """One turn of a run; a command is a text, or a whole use where a test needs odd ones."""
+    uses = [
+        c if isinstance(c, dict) else {"slot": 10 * number + i, "cmd": c}
+        for i, c in enumerate(commands)
+    ]
+    llm = {"name": name, "usage": {"read": read, "wrote": wrote}}
+    return {"run": run, "turn": number, "llm": llm, "uses": uses, **more}
+
+
+TURNS = [
+    turn("alpha", 3, "grep", "sed", name="m-large", read=1200, wrote=31, who="dev"),
+    {"turn": 1, "llm": {"name": "m-large"}, "uses": []},
+    turn("beta", 0, read=77, wrote=9, who="ops"),
+    turn("alpha", 4, "make", name="m-large", read=1499, wrote=0),
+    turn("gamma", 0, "ls", name=None),
+    turn("beta", 1, read=80),
 ]
 
 
+def walk(turns):
+    """Sessions, model calls, tool calls and rejected positions of turns, by a plain loop."""
+    sessions, models, tools, rejected, tried = {}, {}, {}, [], set()
+    for i, t in enumerate(turns):
+        if "run" not in t:
+            rejected.append(i)
+            continue
+        sessions.setdefault(t["run"], t.get("who"))
+        key = (t["run"], t["turn"])
+        if key not in tried:  # a copy is skipped before it can fail
+            tried.add(key)
+            if t["llm"]["name"] is None:
+                rejected.append(i)
+                continue
+            usage = [n for n in t["llm"]["usage"].values() if n is not None]
+            models[key] = (t["llm"]["name"], sum(usage))
+        for use in t["uses"]:
+            tools.setdefault((t["run"], t["turn"], use["slot"]), use["cmd"])
+    return sessions, models, tools, rejected
+
+
 def run(raw_of, records, doc):
     return normalise(raw_of(records), load_mapping(doc))
 
 
-def test_rounds_with_nested_tools(raw_of):
-    out = run(raw_of, ROUNDS, document(model=ROUND_MODEL, tool=ROUND_TOOL))
-    assert values(out.sessions, "external_id", "agent_name", "record_index") == [
-        ("r1", "x", 0),
-        ("r2", "y", 2),
-    ]
-    assert values(out.model_calls, "external_id", "sequence", "model_name", "total_tokens") == [
-        ("r1", 0, "e1", 110),
-        ("r1", 1, "e1", 220),
-        ("r2", 0, "e2", 55),
-    ]
-    assert values(out.tool_calls, "external_id", "sequence", "tool_name", "status") == [
-        ("r1", 0, "shell", "unknown"),
-        ("r2", 0, "find", "unknown"),
-        ("r2", 1, "open", "unknown"),
-    ]
-    [reject] = values(out.rejects, "record_index", "reason_code", "reason_detail", "payload_json")
-    assert reject[:2] == (3, "missing_required_field") and "run" in reject[2]
-    assert '"who":"lost"' in reject[3]
+BOTH = document(model=TURN_MODEL, tool=TURN_TOOL)
 
 
-def test_repeating_the_file_changes_nothing(raw_of):
-    doc = document(model=ROUND_MODEL, tool=ROUND_TOOL)
-    once, twice = run(raw_of, ROUNDS, doc), run(raw_of, ROUNDS + ROUNDS, doc)
-    for name in ("sessions", "model_calls", "tool_calls"):
-        a = values(getattr(once, name).drop("record_sha256"))
-        assert a == values(getattr(twice, name).drop("record_sha256"))
-    assert once.rejects.count() == 1 and twice.rejects.count() == 2
+@pytest.mark.parametrize("turns", [TURNS, TURNS[:4] + TURNS[1:] + TURNS[::-1]])
+def test_turns_equal_a_plain_walk(raw_of, turns):
+    out = run(raw_of, turns, BOTH)
+    sessions, models, tools, rejected = walk(turns)
+    assert dict(values(out.sessions, "external_id", "agent_name")) == sessions
+    found = values(out.model_calls, "external_id", "sequence", "model_name", "total_tokens")
+    assert {r[:2]: r[2:] for r in found} == models and len(found) == len(models)
+    found = values(out.tool_calls, "external_id", "sequence", "tool_name", "status")
+    assert found == sorted((run_, slot, cmd, "unknown") for (run_, _, slot), cmd in tools.items())
+    rejects = values(out.rejects, "record_index", "reason_code", "reason_detail", "payload_json")
+    assert [r[0] for r in rejects] == rejected
+    assert {r[1] for r in rejects} == {"missing_required_field"}
+    assert "run" in rejects[0][2] and '"turn":1' in rejects[0][3]
 
 
 def test_unreadable_records_are_rejected(raw_of):
-    out = run(raw_of, ["empty line", ROUNDS[0]], document(model=ROUND_MODEL))
+    out = run(raw_of, [TURNS[2], "cut off"], document(model=TURN_MODEL))
     assert values(out.rejects, "record_index", "reason_code", "reason_detail") == [
-        (0, "unparseable_record", "empty line")
+        (1, "unparseable_record", "cut off")
     ]
     assert out.sessions.count() == 1
 
 
-def test_rows_before_the_first_failure_stay(raw_of):
-    record = {"run": "r", "engine": "e", "step": 0,
-              "acts": [{"no": 0, "label": "a"}, {"no": 1}, {"no": 2, "label": "c"}]}
-    out = run(raw_of, [record], document(model=ROUND_MODEL, tool=ROUND_TOOL))
-    assert out.sessions.count() == 1 and out.model_calls.count() == 1
-    assert values(out.tool_calls, "tool_name") == [("a",)]
-    assert values(out.rejects, "reason_code") == [("missing_required_field",)]
+def used(*uses):
+    """A turn of one fixed run whose uses are ``(slot, command or None)``."""
+    return turn("r", 7, *[{"slot": s} if c is None else {"slot": s, "cmd": c} for s, c in uses])
 
 
-def test_a_repeated_bad_row_is_skipped_before_it_can_fail(raw_of):
-    bad = {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 1}]}
-    again = {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 1}, {"no": 2, "label": "c"}]}
-    out = run(raw_of, [bad, again], document(model=ROUND_MODEL, tool=ROUND_TOOL))
-    # the second record's first tool is a copy of the rejected one: skipped, so c is reached
-    assert values(out.tool_calls, "tool_name", "record_index") == [("c", 1)]
-    assert values(out.rejects, "record_index") == [(0,)]
-
-
-def test_a_good_copy_of_a_rejected_row_is_dropped_too(raw_of):
-    bad = {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 1}]}
-    good = {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 1, "label": "late"}]}
-    out = run(raw_of, [bad, good], document(model=ROUND_MODEL, tool=ROUND_TOOL))
-    assert out.tool_calls.count() == 0
-
-
-def test_unreached_rows_do_not_register(raw_of):
-    first = {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 1}, {"no": 2, "label": "x"}]}
-    second = {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 2, "label": "y"}]}
-    out = run(raw_of, [first, second], document(model=ROUND_MODEL, tool=ROUND_TOOL))
-    # row 2 of the first record is never reached, so its copy in the second one counts
-    assert values(out.tool_calls, "tool_name", "record_index") == [("y", 1)]
-
-
-def test_chained_failures_settle(raw_of):
-    # record 1 fails only because record 0 stopped before the copy it would have skipped
-    rows = [
-        {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 1}, {"no": 2}]},
-        {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 2}, {"no": 3, "label": "p"}]},
-        {"run": "r", "engine": "e", "step": 0, "acts": [{"no": 3, "label": "q"}]},
-    ]
-    out = run(raw_of, rows, document(model=ROUND_MODEL, tool=ROUND_TOOL))
-    assert values(out.rejects, "record_index") == [(0,), (1,)]
-    assert values(out.tool_calls, "tool_name", "record_index") == [("q", 2)]
+@pytest.mark.parametrize(
+    ("turns", "tools", "rejected"),
+    [
+        # rows before the first failure stay
+        ([used((5, "a"), (6, None), (8, "c"))], [("a", 0)], [0]),
+        # a copy of a rejected row is skipped before it can fail again, so c is reached
+        ([used((4, None)), used((4, None), (9, "c"))], [("c", 1)], [0]),
+        # a good copy of a rejected row is dropped too
+        ([used((4, None)), used((4, "late"))], [], [0]),
+        # a row that was never reached does not count as seen
+        ([used((4, None), (9, "x")), used((9, "y"))], [("y", 1)], [0]),
+        # the second turn fails only because the first stopped before the copy it would skip
+        ([used((1, None), (2, None)), used((2, None), (3, "p")), used((3, "q"))], [("q", 2)], [0, 1]),
+    ],
+)
+def test_failures_and_copies(raw_of, turns, tools, rejected):
+    out = run(raw_of, turns, BOTH)
+    assert values(out.tool_calls, "tool_name", "record_index") == tools
+    assert [i for (i,) in values(out.rejects, "record_index")] == rejected
+    assert (out.sessions.count(), out.model_calls.count()) == (1, 1)
 
 
 def test_positional_sequence_skips_failed_fields_but_not_broken_invariants(raw_of):
@@ -348,11 +351,13 @@ def test_array_index_paths(raw_of):
 
 
 def test_preview_takes_the_first_records(raw_of):
-    mapping = load_mapping(document(model=ROUND_MODEL))
-    out = preview(raw_of(ROUNDS), mapping, 2)
-    assert out.sessions.count() == 1 and out.model_calls.count() == 2
+    mapping = load_mapping(document(model=TURN_MODEL))
+    out = preview(raw_of(TURNS), mapping, 3)
+    sessions, models, _, rejected = walk(TURNS[:3])
+    found = (out.sessions.count(), out.model_calls.count(), out.rejects.count())
+    assert found == (len(sessions), len(models), len(rejected))
     with pytest.raises(ValueError):
-        preview(raw_of(ROUNDS), mapping, 501)
+        preview(raw_of(TURNS), mapping, 501)
 
 
 def test_all_problems_of_a_document_are_reported():

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -128,20 +130,31 @@ def _equals(actual: Column, expected: Any) -> Column:
         text = F.when(is_text(actual), F.try_variant_get(actual, "$", "string"))
         return F.coalesce(text == F.lit(expected), F.lit(False))
     if isinstance(expected, (bool, int, float)):
-        number = F.when(~is_text(actual), F.try_variant_get(actual, "$", "double"))
-        return F.coalesce(number == F.lit(float(expected)), F.lit(False))
+        return F.coalesce(_by_number(actual, expected, lambda a, b: a == b), F.lit(False))
     wanted = F.to_json(F.parse_json(F.lit(json.dumps(expected))))
     return F.coalesce(F.to_json(actual) == wanted, F.lit(False))
 
 
+def _by_number(actual: Column, expected: Any, compare: Callable) -> Column:
+    """``compare(number, expected)``; whole numbers of any size are compared exactly."""
+    inexact = compare(
+        F.when(~is_text(actual), F.try_variant_get(actual, "$", "double")), F.lit(float(expected))
+    )
+    if isinstance(expected, float) or abs(expected) >= 10**38:
+        return inexact
+    whole = F.schema_of_variant(actual).rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$")
+    exact = F.try_variant_get(actual, "$", "decimal(38,0)")
+    return F.when(whole, compare(exact, F.lit(Decimal(int(expected))))).otherwise(inexact)
+
+
 def _compares(actual: Column, op: str, expected: Any) -> Column:
     """Order comparison of like with like; other types never match."""
     if isinstance(expected, str):
         value = F.when(is_text(actual), F.try_variant_get(actual, "$", "string"))
         bound = F.lit(expected)
     elif isinstance(expected, (bool, int, float)):
-        value = F.when(~is_text(actual), F.try_variant_get(actual, "$", "double"))
-        bound = F.lit(float(expected))
+        order = (lambda a, b: a > b) if op == "gt" else (lambda a, b: a < b)
+        return F.coalesce(_by_number(actual, expected, order), F.lit(False))
     else:
         return F.lit(False)
     return F.coalesce(value > bound if op == "gt" else value < bound, F.lit(False))

@@ -17,6 +17,17 @@ HOME_DIRECTORY = r"(?:[A-Za-z]:\\Users\\[^\\\s]+|/home/[^/\s]+|/Users/[^/\s]+)"
 FAMILIES = (EMAIL, PROVIDER_KEY, ASSIGNED_SECRET, HOME_DIRECTORY)
 
 
+def _unicode(pattern: str) -> str:
+    """The pattern with blanks, words and cases of all scripts, as its source means it.
+
+    The separators 0x1c to 0x1f are blanks there too.
+    """
+    inside = pattern.replace(r"[^\s,;]", r"[^\s\x1c-\x1f,;]").replace(
+        r"[^\\\s]", r"[^\\\s\x1c-\x1f]"
+    ).replace(r"[^/\s]", r"[^/\s\x1c-\x1f]")
+    return "(?U)" + inside.replace(r"\s*", r"[\s\x1c-\x1f]*").replace(r"\s+", r"[\s\x1c-\x1f]+")
+
+
 def _worth_trying(text: Column) -> list[Column]:
     """Per family, a plain substring test that every match must pass.
 
@@ -43,7 +54,7 @@ def redact(text: Column) -> Column:
     """One string column with every sensitive span replaced."""
     clean = text
     for pattern, needed in zip(FAMILIES, _worth_trying(text)):
-        replaced = F.regexp_replace(clean, F.lit(pattern), F.lit(PLACEHOLDER))
+        replaced = F.regexp_replace(clean, F.lit(_unicode(pattern)), F.lit(PLACEHOLDER))
         clean = F.when(needed, replaced).otherwise(clean)
     return clean
 

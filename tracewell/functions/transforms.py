@@ -62,8 +62,19 @@ def _to_int(source: Column, args: dict, root: Column) -> Cell:
     return _cell("long", source, to_long(source))
 
 
+# Text that is a number; a cast alone would also take the type suffixes of literals.
+_FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
+def to_double(source: Column) -> Column:
+    """Floating-point value of a number, boolean or numeric text."""
+    value = F.try_variant_get(source, "$", "double")
+    text = _text_only(source)
+    return F.when(text.isNull() | text.rlike(_FLOAT_TEXT), value)
+
+
 def _to_float(source: Column, args: dict, root: Column) -> Cell:
-    return _cell("double", source, F.try_variant_get(source, "$", "double"))
+    return _cell("double", source, to_double(source))
 
 
 # First and last second of the years 1 to 9999.
@@ -246,6 +257,45 @@ def _check_split(args: dict) -> list[str]:
     return problems
 
 
+_UNKNOWN_GROUP = re.compile(r"\(\?(?:\(|[a-zA-Z]*[aL])")
+
+
+def java_pattern(compiled: re.Pattern) -> str:
+    """The pattern for Java's engine, with the same groups, classes and line ends.
+
+    Named groups become numbered ones and references to them numbers, classes cover all
+    scripts, only ``\\n`` ends a line, and brackets inside a class stand for themselves.
+    """
+    source, out, i, in_class = compiled.pattern, [], 0, False
+    while i < len(source):
+        rest = source[i:]
+        if source[i] == "\\":
+            out.append(r"\z" if rest.startswith(r"\Z") else rest[:2])
+            i += 2
+        elif in_class:
+            opened = source[i - 1] == "[" or source[i - 2 : i] == "[^"
+            in_class = source[i] != "]" or opened
+            out.append("\\" + source[i] if source[i] in "[&" or (source[i] == "]" and opened) else source[i])
+            i += 1
+        elif named := re.match(r"\(\?P<\w+>", rest):
+            out.append("(")
+            i += named.end()
+        elif known := re.match(r"\(\?P=(\w+)\)", rest):
+            out.append(f"(?:\\{compiled.groupindex[known.group(1)]})")
+            i += known.end()
+        elif flags := re.match(r"\(\?([a-zA-Z]*u[a-zA-Z]*)", rest):
+            out.append("(?" + flags.group(1).replace("u", ""))
+            i += flags.end()
+        elif upto := re.match(r"\{,(\d+)\}", rest):
+            out.append(f"{{0,{upto.group(1)}}}")
+            i += upto.end()
+        else:
+            in_class = source[i] == "["
+            out.append(source[i])
+            i += 1
+    return "(?Ud)" + "".join(out)
+
+
 def _regex_extract(source: Column, args: dict, root: Column) -> Cell:
     """A group of the first match; no match gives no result, a missing group is an error."""
     text = _text_only(source)
@@ -256,7 +306,7 @@ def _regex_extract(source: Column, args: dict, root: Column) -> Cell:
     except re.error:
         return Cell("string", none, source.isNotNull())
     group = args.get("group", 1)
-    pattern = re.sub(r"\(\?P<", "(?<", args["pattern"])
+    pattern = java_pattern(compiled)
     matched = text.rlike(pattern)
     index = compiled.groupindex.get(group) if isinstance(group, str) else group
     if index is None or not 0 <= index <= compiled.groups:
@@ -268,6 +318,8 @@ def _check_regex(args: dict) -> list[str]:
     problems = []
     if not isinstance(args.get("pattern"), str):
         problems.append("`regex_extract` needs args.pattern")
+    elif _UNKNOWN_GROUP.search(args["pattern"]):
+        problems.append("`regex_extract` takes no conditional groups and no ASCII or locale flag")
     if not isinstance(args.get("group", 1), (int, str)):
         problems.append("`regex_extract` needs a group number or name")
     return problems
@@ -279,7 +331,7 @@ def _cents_to_usd(source: Column, args: dict, root: Column) -> Cell:
 
 
 def _ms_to_s(source: Column, args: dict, root: Column) -> Cell:
-    return _cell("double", source, F.try_variant_get(source, "$", "double") / 1000)
+    return _cell("double", source, to_double(source) / 1000)
 
 
 TRANSFORMS: dict[str, Transform] = {

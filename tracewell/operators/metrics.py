@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.cluster import cut_lineage
 from tracewell.functions.measures import (
     duration_ms_rounded,
     duration_ms_truncated,
@@ -77,12 +78,19 @@ def filter_sessions(
 
 
 def scoped_tables(tables: TraceTables, scope: MetricFilter) -> TraceTables:
-    """Restrict the session side; calls of other sessions fall out in the metric joins.
+    """Restrict sessions and calls to the scope before anything is aggregated.
 
-    Source filters are pushed to the call tables too, since calls carry the source.
+    Source filters are pushed to the call tables, since calls carry the source. Any other
+    scope is resolved once, written, and semi-joined to the calls; the written size decides
+    whether the keys are broadcast.
     """
     session = filter_sessions(tables.session, scope, tables.model_call)
     model_call, tool_call = tables.model_call, tables.tool_call
+    if _has_session_scope(scope):
+        session = cut_lineage(session, "scope")
+        keys = session.select(*SESSION_KEY)
+        model_call = model_call.join(keys, SESSION_KEY, "left_semi")
+        tool_call = tool_call.join(keys, SESSION_KEY, "left_semi")
     if scope.sources:
         model_call = model_call.where(F.col("source_name").isin(*scope.sources))
         tool_call = tool_call.where(F.col("source_name").isin(*scope.sources))
@@ -176,7 +184,7 @@ def indicators(tables: TraceTables, scope: MetricFilter = MetricFilter()) -> Dat
     else:
         sums = _sums_without_sessions(scoped)
     return with_rates(sums).withColumn(
-        "median_session_duration_ms", median_duration(tables, scope).scalar()
+        "median_session_duration_ms", median_duration(scoped).scalar()
     )
 
 

@@ -307,7 +307,7 @@ def _records(files, begins):
                 continue
             inside, number = begins.value[(path, start)]
             index, held, rows = (None if inside else number), [], []
-            number -= not inside
+            number -= 1
             for text in _text_lines(start, lines, fact["encoding"]):
                 if not inside:
                     number += 1
