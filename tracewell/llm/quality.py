@@ -34,7 +34,9 @@ QUANTILE = 0.999
 #: Perplexities are compared by their logarithm in steps of this size.
 STEP = 1e-4
 START, END = "\x02", "\x03"
-_FLUSH = 1 << 20
+#: Distinct words a task holds while it counts, and scores at once.
+_FLUSH = 1 << 18
+_AT_ONCE = 1 << 15
 _MODEL_ROW_BYTES = 48
 
 
@@ -232,6 +234,8 @@ class Model:
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability and number of predicted characters of each word."""
+        if not words:
+            return np.empty(0), np.empty(0, np.int64)
         n = np.array([len(w) + 1 for w in words], np.int64)
         text = "".join(padded(w, self.order) for w in words)
         chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -270,16 +274,19 @@ def _scorer(sent):
         for i, lang in enumerate(langs):
             rows.setdefault(lang, []).append(i)
         for lang, own in rows.items():
+            if lang not in models:
+                continue
             number: dict[str, int] = {}
-            ids = []
+            waiting: list[tuple[int, list[int]]] = []
             for i in own:
                 words = (texts.iat[i] or "").split()
-                ids.append([number.setdefault(w, len(number)) for w in words])
-            if number and lang in models:
-                logs, sizes = models[lang].score(list(number))
-                for i, used in zip(own, ids):
-                    if used:
-                        nll[i], chars[i] = -logs[used].sum(), sizes[used].sum()
+                waiting.append((i, [number.setdefault(w, len(number)) for w in words]))
+                if len(number) >= _AT_ONCE or i == own[-1]:
+                    logs, sizes = models[lang].score(list(number))
+                    for k, used in waiting:
+                        if used:
+                            nll[k], chars[k] = -logs[used].sum(), sizes[used].sum()
+                    number, waiting = {}, []
         return pd.DataFrame({"nll": nll, "chars": chars})
 
     return run
