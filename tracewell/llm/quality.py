@@ -394,12 +394,10 @@ def scored(
     rounds, large = _rounds(model, bound)
     parts = []
     for langs in rounds:
-        rows = model.where(_of_langs(model, langs)).toArrow().to_pandas()
-        kinds = rows.lang.where(rows.lang.notna(), None)
-        models = {
-            lang: Model(rows[kinds.isna() if lang is None else kinds == lang], order)
-            for lang in langs
-        }
+        models = {}
+        for lang in langs:  # one by one: the driver holds the rows of a single language
+            rows = model.where(_of_langs(model, [lang])).drop("lang")
+            models[lang] = Model(rows.toArrow().to_pandas(), order)
         run = _scorer(send(spark, models))
         own = docs.where(_of_langs(docs, langs))
         parts.append(own.withColumn("_s", run("lang", "text")))
