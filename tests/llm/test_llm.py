@@ -402,7 +402,18 @@ def test_quality_edges(spark, odd_docs, no_docs):
     assert [c for c in odd_docs.columns if c != "kept"] == got.columns[:6]
     assert quality.judged(no_docs, trusted).count() == 0
     none = quality.judged(odd_docs, trusted.limit(0))
-    assert none.where("kept").count() == 12
+    assert none.where("kept").count() == 12 and none.where("suspect").count() == 0
+
+
+def test_thresholds_are_exact_quantiles(spark):
+    rows = [(lang, (i * 37) % 101) for lang in ("a", None) for i in range(101)] + [("b", 5)] * 3
+    df = spark.createDataFrame(rows, "lang string, _p long")
+    got = quality.thresholds(df, {"x": 0.5, "y": 0.98})
+    assert {r.lang: (r.x, r.y) for r in got.collect()} == {
+        "a": (50, 98),
+        None: (50, 98),
+        "b": (5, 5),
+    }
 
 
 @needs_tables
@@ -416,6 +427,17 @@ def test_quality_query_separates_labels(spark):
     assert clean_kept >= 0.97 and junk_kept <= 0.6
 
 
+@needs_tables
+def test_suspects_are_mostly_toxic_or_poor(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = QUERIES["op9_kneser_ney"](spark, sf).join(labels, "doc_id")
+    assert got.where("NOT kept AND NOT suspect").count() == 0
+    share = F.avg(F.col("suspect").cast("int"))
+    assert got.where("toxic = 1").agg(share).first()[0] >= 0.5
+    assert got.where("quality = 1 AND toxic = 0").agg(share).first()[0] <= 0.02
+
+
 # -- cleaning, revisits, dialogues ---------------------------------------------------------
 
 

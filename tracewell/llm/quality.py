@@ -10,7 +10,7 @@ Scoring sends the model to the tasks when its measured size allows, split into a
 of languages as the bound asks for.
 
 Defined cases: a document without words, or in a language without trusted text, has no
-perplexity and is kept; a NULL language is a language of its own; a document counts as trusted
+perplexity and is kept, not suspect; a NULL language is a language of its own; a document counts as trusted
 once per row of its id in the trusted table at most; repeated documents are trained on and
 scored like others; columns of the input named like a result are replaced.
 """
@@ -31,6 +31,8 @@ from tracewell.llm.shared import BROADCAST_BYTES, cut_lineage, maybe_broadcast,
 ORDER = 5
 #: Documents above this quantile of their language's trusted perplexities are rejected.
 QUANTILE = 0.999
+#: Documents above this one are suspect: insults lift the perplexity of fluent text only a little.
+SUSPECT_QUANTILE = 0.98
 #: Perplexities are compared by their logarithm in steps of this size.
 STEP = 1e-4
 START, END = "\x02", "\x03"
@@ -418,14 +420,17 @@ def judged(
     doc_id: str = "doc_id",
     order: int = ORDER,
     quantile: float = QUANTILE,
+    suspect_quantile: float = SUSPECT_QUANTILE,
     keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``trusted, n_scored, log_perplexity, threshold, kept``.
+    """``docs`` with ``trusted, n_scored, log_perplexity, threshold, kept, suspect``.
+
+    ``kept`` goes by ``quantile``, ``suspect`` by the stricter ``suspect_quantile``.
 
     ``docs`` needs ``doc_id``, ``lang`` and ``text``; ``trusted`` holds the ids of the trusted
     documents in its column ``doc_id``. Without ``keep_text`` the text is left out.
     """
-    results = ("trusted", "n_scored", "log_perplexity", "threshold", "kept", "_s")
+    results = ("trusted", "n_scored", "log_perplexity", "threshold", "kept", "suspect", "_s")
     own = docs.drop(*results)
     passed = [c for c in own.columns if keep_text or c != "text"]
     ids = cut_lineage(
@@ -448,8 +453,9 @@ def judged(
         ),
         "kn-scored",
     )
-    limits = thresholds(rows.where("trusted AND _p IS NOT NULL"), quantile)
-    limits = limits.select(F.col("lang").alias("_l"), "_limit")
+    known = rows.where("trusted AND _p IS NOT NULL")
+    limits = thresholds(known, {"_limit": quantile, "_strict": suspect_quantile})
+    limits = limits.withColumnRenamed("lang", "_l")
     return rows.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_l")), "left").select(
         *passed,
         "trusted",
@@ -457,23 +463,26 @@ def judged(
         (F.col("_p") * STEP).alias("log_perplexity"),
         (F.col("_limit") * STEP).alias("threshold"),
         F.coalesce(F.col("_p") <= F.col("_limit"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("_p") > F.col("_strict"), F.lit(False)).alias("suspect"),
     )
 
 
-def thresholds(rows: DataFrame, quantile: float) -> DataFrame:
-    """``lang, _limit``: the least step that at least ``quantile`` of the rows reach.
+def thresholds(rows: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """``lang`` and, by name, the least step that at least each quantile of the rows reach.
 
     Exact over all rows: they are counted by step first, and a language has few steps.
     """
     steps = rows.groupBy("lang", "_p").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("lang")
     upto = whole.orderBy("_p")
-    return (
-        steps.withColumn("_upto", F.sum("n").over(upto))
-        .withColumn("_all", F.sum("n").over(whole))
-        .where(F.col("_upto") >= F.col("_all") * quantile)
-        .groupBy("lang")
-        .agg(F.min("_p").alias("_limit"))
+    ranked = steps.withColumn("_upto", F.sum("n").over(upto)).withColumn(
+        "_all", F.sum("n").over(whole)
+    )
+    return ranked.groupBy("lang").agg(
+        *[
+            F.min(F.when(F.col("_upto") >= F.col("_all") * q, F.col("_p"))).alias(name)
+            for name, q in quantiles.items()
+        ]
     )
 
 
