@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.joins import join_spread
 from tracewell.functions.measures import ratio, sha1_mod
 from tracewell.functions.ranking import select_by_rank, top_n_per_group
 
@@ -31,7 +32,7 @@ def first_seen(rows: DataFrame, entity: str, group: str, position: str) -> DataF
 
 def keep_entities(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     """Every row of the chosen entities."""
-    return rows.join(chosen.select(*keys).distinct(), keys, "left_semi")
+    return join_spread(rows, chosen.select(*keys).distinct(), keys, "left_semi")
 
 
 def split_degenerate(
@@ -47,7 +48,7 @@ def denormalise(
 ) -> DataFrame:
     """Turns with the columns of their session and, where known, of its repository."""
     described = sessions.join(repositories, repo_key, "left")
-    return turns.join(described, key)
+    return join_spread(turns, described, [key])
 
 
 def extract_report(rows: DataFrame, kept: DataFrame, provider: str, entity: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewell.cluster import configure, cut_lineage
 from tracewell.functions import paths, transforms
+from tracewell.functions.joins import join_spread
 from tracewell.functions.measures import total_tokens
 from tracewell.functions.ranking import first_per_key, running_number
 from tracewell.plans.mapping import EntityRule, FieldRule, Mapping
@@ -657,14 +658,14 @@ def link_repositories(sessions: DataFrame, repository: DataFrame) -> DataFrame:
     known = repository.select(
         "source_name", F.col("name").alias("repository_name"), F.lit(True).alias("_registered")
     )
-    joined = sessions.join(known, ["source_name", "repository_name"], "left")
+    joined = join_spread(sessions, known, ["source_name", "repository_name"], "left")
     name = F.when(F.col("_registered"), F.col("repository_name"))
     return joined.withColumn("repository_name", name).select(*sessions.columns)
 
 
 def link_sessions(calls: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
     """Calls whose session exists."""
-    return calls.join(sessions.select(*keys), keys)
+    return join_spread(calls, sessions.select(*keys), keys)
 
 
 def orphan_calls(calls: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
@@ -682,5 +683,5 @@ def link_model_calls(
     named = model_calls.select(
         *keys, F.col("sequence").alias("model_call_sequence"), F.lit(True).alias("_found")
     )
-    joined = tool_calls.join(named, [*keys, "model_call_sequence"], "left")
+    joined = join_spread(tool_calls, named, [*keys, "model_call_sequence"], "left")
     return joined.withColumn("has_model_call", F.coalesce("_found", F.lit(False))).drop("_found")
