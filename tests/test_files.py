@@ -349,7 +349,7 @@ def test_a_known_file_is_not_read_again(spark, tmp_path, mapping):
     assert total_report(fresh).first().files == 1
     [again] = ingest(spark, [one], mapping, store).collect()
     assert again.already_imported and again.imported_count == len(keys_of(TURNS[2:4]))
-    assert (len(store.commits()), store.table("import_batch").count()) == (1, 1)
+    assert (store.commits().count(), store.table("import_batch").count()) == (1, 1)
 
 
 @pytest.mark.parametrize("at", ["session", "model_call", "tool_call"])

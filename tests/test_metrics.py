@@ -272,6 +272,14 @@ def test_breakdown_folds_the_tail(spark):
     assert nothing.count() == 0
 
 
+def test_category_named_like_the_fold(spark):
+    df = spark.createDataFrame([(D.OTHERS,), (D.OTHERS,), ("a",)], "agent_name string")
+    slices = D.breakdown(df, "agent_name").collect()
+    assert [(s.category, s.value, s.is_folded) for s in slices] == [
+        (D.OTHERS, 2, False), ("a", 1, False)
+    ]
+
+
 def test_previous_period_and_delta(spark):
     row = spark.createDataFrame([(DAY1, ms(DAY1, 1000))], "period_from timestamp, period_to timestamp")
     got = D.previous_period(row).first()

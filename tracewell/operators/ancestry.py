@@ -59,11 +59,11 @@ def _roots(events: DataFrame) -> DataFrame:
         ),
         "links",
     )
-    still_open = state.where("ptr IS NOT NULL").count()
+    settled, pending = state.where("ptr IS NULL"), state.where("ptr IS NOT NULL")
+    still_open = pending.count()
     while still_open:
-        pending = state.where("ptr IS NOT NULL")
-        settled = state.where("ptr IS NULL")
-        above = state.select(
+        # Only open pointers are written in a round; what is settled stays where it is.
+        above = settled.unionByName(pending).select(
             "file_key",
             F.col("id").alias("ptr"),
             F.col("root").alias("above_root"),
@@ -75,12 +75,14 @@ def _roots(events: DataFrame) -> DataFrame:
             F.col("above_root").alias("root"),
             F.col("above_ptr").alias("ptr"),
         )
-        state = cut_lineage(settled.unionByName(moved), "links")
-        left = state.where("ptr IS NOT NULL").count()
+        moved = cut_lineage(moved, "links")
+        settled = settled.unionByName(moved.where("ptr IS NULL"))
+        pending = moved.where("ptr IS NOT NULL")
+        left = pending.count()
         if left == still_open:
             break
         still_open = left
-    return state.where("root IS NOT NULL").select("file_key", "id", "root")
+    return settled.where("root IS NOT NULL").select("file_key", "id", "root")
 
 
 def resolve_ancestry(events: DataFrame) -> DataFrame:

@@ -47,18 +47,19 @@ def breakdown(
         totals.join(F.broadcast(head.select("category")), "category", "left_anti")
         .agg(F.sum("value").alias("value"))
         .where("value > 0")
-        .select(F.lit(OTHERS).alias("category"), "value")
+        .select(F.lit(OTHERS).alias("category"), "value", F.lit(True).alias("is_folded"))
     )
     grand_total = totals.agg(F.sum("value").alias("t")).scalar()
     return (
-        head.unionByName(tail)
+        head.withColumn("is_folded", F.lit(False))
+        .unionByName(tail)
         .withColumn("_total", grand_total)
         .where("_total > 0")
         .select(
             "category",
             "value",
             ratio(F.col("value"), F.col("_total")).alias("share"),
-            (F.col("category") == OTHERS).alias("is_folded"),
+            "is_folded",
         )
         .orderBy("is_folded", F.col("value").desc(), "category")
     )

@@ -65,15 +65,15 @@ class Warehouse:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def commits(self) -> list[str]:
-        """Ids of the visible imports, one per import run."""
-        return [r.import_id for r in self._stored("commit", _COMMIT).distinct().collect()]
+    def commits(self) -> DataFrame:
+        """Ids of the visible imports, one row per import run."""
+        return self._stored("commit", _COMMIT).distinct()
 
     def table(self, name: str) -> DataFrame:
-        """Committed rows of a table; the id list prunes partitions of unfinished imports."""
+        """Committed rows of a table. The imports are joined, so no list of them is collected."""
         schema = T.StructType([*TABLES[name].fields, T.StructField("import_id", T.StringType())])
         rows = self._stored(name, schema)
-        return rows.where(F.col("import_id").isin(self.commits())).drop("import_id")
+        return rows.join(self.commits(), "import_id", "left_semi").drop("import_id")
 
     def prices(self) -> DataFrame:
         """The current price list: the table named by the newest price commit."""
@@ -256,7 +256,9 @@ def _import_files(
         ("tool_call", result.tool_calls),
     ):
         placed = rows.join(files.select("file_sha256", "file_order"), "file_sha256")
-        added = insert_ignore(store.table(name), placed, FACT_KEYS[name], place)
+        # A mapping writes one source, and keys start with it: other sources are not read.
+        stored_rows = store.table(name).where(F.col("source_name") == mapping.source_name)
+        added = insert_ignore(stored_rows, placed, FACT_KEYS[name], place)
         produced.append(_per_file(rows, "n"))
         written.append(_per_file(store.append(name, added, import_id), "n"))
 
