@@ -43,6 +43,13 @@ def turn_line() -> Column:
             F.concat_ws("/", F.lit("c"), F.col("role"), F.lit("")).alias("trail"),
             F.concat(F.lit("  "), F.col("role"), F.lit(" \t")).alias("padded"),
             F.when(F.col("turn") > 2, F.concat(F.lit("run-"), F.col("turn"))).alias("tag"),
+            F.initcap("role").alias("title"),
+            # Numbers as text that a whole number, a decimal, or neither is read from.
+            F.when(size % 4 == 0, F.col("turn").cast("string"))
+            .when(size % 4 == 1, F.col("role"))
+            .when(size % 4 == 2, F.concat("turn", F.lit(".5")))
+            .otherwise(F.concat("turn", F.lit(".5d")))
+            .alias("code"),
             parts.alias("parts"),
         )
     )

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tracewell.catalog.bindings import (
     EVENT_CALL_SQL,
     EVENT_SQL,
+    STAR_SESSION_SQL,
     event_calls,
+    event_sessions,
     event_tables,
+    star_sessions,
     star_tables,
     table,
 )
@@ -25,20 +28,23 @@ from tracewell.operators import views as V
 
 def _breakdown_sql(source: str, dimension: str, measure: str) -> str:
     return f"""{source},
-totals AS (SELECT coalesce({dimension}, '{D.UNAVAILABLE}') AS category, sum({measure}) AS value
+totals AS (SELECT coalesce({dimension}, '—') AS category, sum({measure}) AS value
   FROM base WHERE ({measure}) IS NOT NULL GROUP BY 1),
 ranked AS (SELECT *, row_number() OVER (ORDER BY value DESC, category) AS rn FROM totals),
 folded AS (
-  SELECT category, value, false AS is_folded FROM ranked WHERE rn <= {D.MAX_SLICES}
+  SELECT category, value, false AS is_folded FROM ranked WHERE rn <= 6
   UNION ALL
-  SELECT '{D.OTHERS}', sum(value), true FROM ranked WHERE rn > {D.MAX_SLICES}
+  SELECT 'Autres', sum(value), true FROM ranked WHERE rn > 6
   HAVING sum(value) > 0)"""
 
 
 @query(
     "d1_breakdown_sessions",
     _breakdown_sql(
-        """WITH base AS (SELECT p_brand AS dim FROM lineitem JOIN part ON l_partkey = p_partkey)""",
+        f"""WITH {STAR_SESSION_SQL},
+{EVENT_SQL},
+base AS (SELECT agent_name AS dim FROM star_session
+  UNION ALL SELECT CASE WHEN ended_at IS NOT NULL THEN agent_name END FROM event_session)""",
         "dim",
         "1",
     )
@@ -48,9 +54,11 @@ SELECT category, CAST(value AS BIGINT) AS value,
 FROM folded""",
 )
 def d1_breakdown_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("dim"))
-    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return rounded(D.breakdown(lines, "dim"), "share")
+    """Sessions of both bindings by agent; users without an ended session have no agent."""
+    ended = F.when(F.col("ended_at").isNotNull(), F.col("agent_name"))
+    sessions = star_sessions(spark, sf_dir).select(F.col("agent_name").alias("dim"))
+    sessions = sessions.unionByName(event_sessions(spark, sf_dir).select(ended.alias("dim")))
+    return rounded(D.breakdown(sessions, "dim"), "share")
 
 
 @query(

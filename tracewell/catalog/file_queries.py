@@ -6,7 +6,6 @@ table; nothing is sampled.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,10 +129,23 @@ def s5_record_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.variant_get("payload", "$.id", "bigint").alias("id"), "record_sha256")
 
 
-@query("s6_file_fingerprint")
+@query(
+    "s6_file_fingerprint",
+    """WITH f AS (
+  SELECT c_nationkey, string_agg(c_custkey || ':' || c_mktsegment || chr(10), '' ORDER BY c_custkey)
+    AS body FROM customer GROUP BY 1)
+SELECT 'c_nationkey=' || c_nationkey AS folder, strlen(body) AS length, sha256(body) AS file_sha256
+FROM f""",
+)
 def s6_file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = list_files(spark, [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"])
-    return file_fingerprints(files).select("length", "file_sha256")
+    """A text file per nation, so that SQL can put the bytes of each together again."""
+    path = scratch_path(spark, "nations")
+    line = F.concat("c_custkey", F.lit(":"), "c_mktsegment").alias("value")
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", line)
+    ordered = customers.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    folder = F.element_at(F.split("file_path", "/"), -2).alias("folder")
+    return file_fingerprints(list_files(spark, [path])).select(folder, "length", "file_sha256")
 
 
 @query(
@@ -183,17 +195,6 @@ def s11_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------- imports
 
 
-@dataclass(frozen=True)
-class Deliveries:
-    """A warehouse after a delivery, the same delivery again, and a second one."""
-
-    store: Warehouse
-    first: DataFrame
-    again: DataFrame
-    second: DataFrame
-
-
-_DONE: dict[tuple[str, str], Deliveries] = {}
 _DAY = datetime(2026, 2, 1, tzinfo=timezone.utc)
 
 
@@ -205,31 +206,26 @@ def _mapping(name: str) -> Mapping:
     return load_mapping({**DOCUMENT, "name": name, "entities": entities})
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> Deliveries:
-    """Run the imports once per session and data folder; several queries read the result.
+def deliveries(spark: SparkSession, sf_dir: str, *runs: str) -> tuple[Warehouse, list[DataFrame]]:
+    """A new warehouse after the named imports, and the report of each.
 
-    The second delivery repeats the assistant turns in another file, so all of its rows are
-    stored already.
+    ``first`` and ``again`` bring all turns; ``second`` repeats the assistant turns in another
+    file, so all of its rows are stored already.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _DONE:
-        store = Warehouse(spark, scratch_path(spark, "warehouse"))
-        lines = delivered_lines(spark, sf_dir)
-        all_turns = _written(lines, "delivery-1")
-        answers = _written(lines.where("role = 'assistant'"), "delivery-2")
-        one, two = _mapping("turns-1"), _mapping("turns-2")
-
-        def run(path: str, mapping: Mapping, days: int) -> DataFrame:
-            moment = _DAY + timedelta(days=days)
-            return ingest(
-                spark, [path], mapping, store, "minimal", imported_at=moment, file_format="jsonl"
-            )
-
-        first = run(all_turns, one, 0)
-        again = run(all_turns, one, 1)
-        second = run(answers, two, 2)
-        _DONE[key] = Deliveries(store, first, again, second)
-    return _DONE[key]
+    store = Warehouse(spark, scratch_path(spark, "warehouse"))
+    lines = delivered_lines(spark, sf_dir)
+    all_turns = _written(lines, "delivery-1")
+    reports = []
+    for days, name in enumerate(runs):
+        path, mapping = all_turns, _mapping("turns-1")
+        if name == "second":
+            path = _written(lines.where("role = 'assistant'"), "delivery-2")
+            mapping = _mapping("turns-2")
+        moment = _DAY + timedelta(days=days)
+        reports.append(
+            ingest(spark, [path], mapping, store, "minimal", imported_at=moment, file_format="jsonl")
+        )
+    return store, reports
 
 
 _IMPORT_SQL = (
@@ -264,7 +260,7 @@ UNION ALL SELECT 'tool_call', count(*) FROM made_part""",
 )
 def k4_committed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible rows after three imports, next to an unfinished one that stays invisible."""
-    store = deliveries(spark, sf_dir).store
+    store, _ = deliveries(spark, sf_dir, "first", "again", "second")
     store.append("session", store.table("session"), "unfinished")
     counted = [
         store.table(name).select(F.lit(name).alias("name"))
@@ -281,7 +277,7 @@ t AS (SELECT {_totals_sql('true')})
 SELECT records AS record_count, produced AS imported_count, true AS already_imported FROM t""",
 )
 def k5_repeated_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = deliveries(spark, sf_dir).again
+    _, (_, again) = deliveries(spark, sf_dir, "first", "again")
     return again.agg(
         F.sum("record_count").alias("record_count"),
         F.sum("imported_count").alias("imported_count"),
@@ -291,9 +287,9 @@ def k5_repeated_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k6_reject_sink", f"WITH {_IMPORT_SQL}\nSELECT reason_code, count(*) AS n FROM bad GROUP BY 1")
 def k6_reject_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = deliveries(spark, sf_dir)
-    stored = done.store.table("import_reject").join(
-        done.first.select("file_sha256"), "file_sha256", "left_semi"
+    store, (first,) = deliveries(spark, sf_dir, "first")
+    stored = store.table("import_reject").join(
+        first.select("file_sha256"), "file_sha256", "left_semi"
     )
     return stored.groupBy("reason_code").agg(F.count("*").alias("n"))
 
@@ -305,9 +301,9 @@ SELECT count(*) AS n_records, (SELECT count(*) FROM bad) AS n_payloads FROM deli
 )
 def k7_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimal retention keeps the payload of rejected records only."""
-    done = deliveries(spark, sf_dir)
-    stored = done.store.table("raw_record").join(
-        done.first.select("file_sha256"), "file_sha256", "left_semi"
+    store, (first,) = deliveries(spark, sf_dir, "first")
+    stored = store.table("raw_record").join(
+        first.select("file_sha256"), "file_sha256", "left_semi"
     )
     return stored.agg(
         F.count("*").alias("n_records"), F.count("payload_json").alias("n_payloads")
@@ -354,7 +350,8 @@ SELECT records AS record_count, produced AS imported_count, CAST(0 AS BIGINT) AS
 FROM t, missing""",
 )
 def r1_r4_import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return total_report(deliveries(spark, sf_dir).first).drop("files")
+    _, (first,) = deliveries(spark, sf_dir, "first")
+    return total_report(first).drop("files")
 
 
 @query(
@@ -365,7 +362,8 @@ SELECT records AS record_count, CAST(0 AS BIGINT) AS imported_count, produced AS
   rejected AS rejected_count FROM t""",
 )
 def s9_second_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = total_report(deliveries(spark, sf_dir).second)
+    _, (_, second) = deliveries(spark, sf_dir, "first", "second")
+    total = total_report(second)
     return total.select("record_count", "imported_count", "duplicate_count", "rejected_count")
 
 

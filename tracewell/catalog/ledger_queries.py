@@ -146,10 +146,12 @@ REJECT_SQL = """rejects AS (
 
 @query(
     "q20_list_rejects",
-    f"WITH {REJECT_SQL}\nSELECT * FROM rejects WHERE file_sha256 = '7' ORDER BY record_index LIMIT 50",
+    f"WITH {REJECT_SQL}\nSELECT * FROM rejects WHERE file_sha256 = (SELECT max(file_sha256) "
+    "FROM rejects) ORDER BY record_index LIMIT 50",
 )
 def q20_list_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.list_rejects(rejects(spark, sf_dir), "7")
+    found = rejects(spark, sf_dir)
+    return M.list_rejects(found, found.agg(F.max("file_sha256")).first()[0])
 
 
 @query(

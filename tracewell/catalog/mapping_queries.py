@@ -346,6 +346,99 @@ def m17_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.groupBy(broken["reason"].alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _rules(name: str, entity: str, sound: dict[str, str], broken: list[tuple[str, dict]]) -> None:
+    """Register a query in which row ``k`` of every ``len(broken) + 1`` breaks rule ``k``.
+
+    ``broken`` holds each rule's message and the columns that break it, as SQL expressions.
+    """
+    turn = "(l_orderkey + l_linenumber)"
+    cases = " ".join(f"WHEN {k} THEN '{entity}: {text}'" for k, (text, _) in enumerate(broken))
+
+    @query(
+        name,
+        f"""SELECT CASE {turn} % {len(broken) + 1} {cases} END AS detail, count(*) AS n
+FROM lineitem GROUP BY 1""",
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        k = f"{turn} % {len(broken) + 1}"
+        columns = {}
+        for column, value in sound.items():
+            changes = [
+                f"WHEN {k} = {i} THEN {change[column]}"
+                for i, (_, change) in enumerate(broken)
+                if column in change
+            ]
+            expression = f"CASE {' '.join(changes)} ELSE {value} END" if changes else value
+            columns[column] = F.expr(expression).alias(column)
+        rows = table(spark, sf_dir, "lineitem").select(*columns.values())
+        failure = invariant_failure(entity, {c: c for c in columns}, 0)
+        return rows.groupBy(failure["detail"].alias("detail")).agg(F.count("*").alias("n"))
+
+
+_TIMES = {"started_at": "l_shipdate", "ended_at": "l_shipdate + INTERVAL 1 SECOND"}
+_EARLY = ("ended_at precedes started_at", {"ended_at": "l_shipdate - INTERVAL 1 SECOND"})
+_OUTCOMES = [
+    ("error_type must be absent on success", {"status": "'success'", "error_type": "'late'"}),
+    ("error_type is required on error", {"status": "'error'"}),
+]
+
+
+def _negative(*names: str) -> list[tuple[str, dict]]:
+    return [(f"{name} is negative", {name: "-1L"}) for name in names]
+
+
+_rules(
+    "m17_session_rules",
+    "session",
+    {**_TIMES, "external_id": "CAST(l_orderkey AS STRING)"},
+    [_EARLY, ("external_id is empty", {"external_id": "'  '"})],
+)
+_rules(
+    "m17_model_call_rules",
+    "model_call",
+    {
+        **_TIMES,
+        "prompt_tokens": "CAST(l_quantity AS BIGINT)",
+        "completion_tokens": "CAST(l_quantity AS BIGINT)",
+        "cached_tokens": "0L",
+        "model_name": "'m'",
+        "sequence": "CAST(l_linenumber AS BIGINT)",
+        "cost_usd": "CAST(l_tax AS DOUBLE)",
+        "status": "'unknown'",
+        "error_type": "CAST(NULL AS STRING)",
+    },
+    [
+        _EARLY,
+        *_negative("prompt_tokens", "completion_tokens", "cached_tokens"),
+        ("cached_tokens exceeds prompt_tokens", {"cached_tokens": "CAST(l_quantity AS BIGINT) + 1"}),
+        ("model_name is empty", {"model_name": "''"}),
+        *_negative("sequence"),
+        ("cost_usd is negative", {"cost_usd": "-0.5D"}),
+        *_OUTCOMES,
+    ],
+)
+_rules(
+    "m17_tool_call_rules",
+    "tool_call",
+    {
+        **_TIMES,
+        "tool_name": "'t'",
+        "sequence": "CAST(l_linenumber AS BIGINT)",
+        "model_call_sequence": "CAST(l_linenumber AS BIGINT)",
+        "input_bytes": "CAST(l_quantity AS BIGINT)",
+        "output_bytes": "0L",
+        "status": "'unknown'",
+        "error_type": "CAST(NULL AS STRING)",
+    },
+    [
+        _EARLY,
+        ("tool_name is empty", {"tool_name": "' '"}),
+        *_negative("sequence", "model_call_sequence", "input_bytes", "output_bytes"),
+        *_OUTCOMES,
+    ],
+)
+
+
 @query(
     "m19_parse_errors",
     f"""WITH {TURN_SQL}
@@ -551,8 +644,11 @@ SELECT record_index, {sql} AS value, {failed} AS failed FROM turn_rec""",
 
 
 _transform("f1_identity", "role", {}, "text", "role")
-_transform("f2_to_int", "role", {}, "long", "CAST(NULL AS BIGINT)", "true")
-_transform("f3_to_float", "usage.in", {}, "double", "CAST(size AS DOUBLE)")
+_transform("f2_to_int", "code", {}, "long",
+           "CASE WHEN size % 4 = 0 THEN CAST(turn AS BIGINT) END", "size % 4 <> 0")
+_transform("f3_to_float", "code", {}, "double",
+           "CASE size % 4 WHEN 0 THEN CAST(turn AS DOUBLE) WHEN 2 THEN turn + CAST(0.5 AS DOUBLE) END",
+           "size % 4 NOT IN (0, 2)")
 _transform(
     "f4_to_iso8601",
     "usage.in",
@@ -560,7 +656,7 @@ _transform(
     "timestamp",
     "TIMESTAMP '1970-01-01' + to_seconds(size)",
 )
-_transform("f5_lower", "trail", {}, "text", "'c/' || role || '/'")
+_transform("f5_lower", "title", {}, "text", "role")
 _transform("f6_upper", "role", {}, "text", "upper(role)")
 _transform("f7_trim", "padded", {}, "text", "role")
 _transform(
