@@ -82,6 +82,49 @@ def s2_read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "s2_csv_odd_rows",
+    """WITH c AS (
+  SELECT c_nationkey, c_custkey, c_nationkey % 2 = 0 AS wide, c_custkey % 5 AS k,
+    row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS record_index
+  FROM customer)
+SELECT 'c_nationkey=' || c_nationkey AS folder, record_index,
+  CASE WHEN k < 3 THEN CAST(c_custkey AS VARCHAR) END AS id,
+  CASE WHEN k < 3 AND wide THEN 'm' END AS mark,
+  CASE k WHEN 0 THEN 'say "hi", now' WHEN 1 THEN '5" wide' WHEN 2 THEN 'one' || chr(10) || 'two'
+  END AS note,
+  CASE WHEN k >= 3 THEN 'CSV row has ' || CASE WHEN k = 4 THEN 1 WHEN wide THEN 6 ELSE 5 END
+    || ' values but expected ' || CASE WHEN wide THEN 3 ELSE 2 END END AS parse_error
+FROM c""",
+)
+def s2_csv_odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per nation with one of two headers; of five rows one has quotes and a delimiter in
+    a quoted cell, one a bare quote, one a line break, one too many cells and one too few."""
+    path = scratch_path(spark, "odd-csv")
+    wide = F.col("c_nationkey") % 2 == 0
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    k = F.col("c_custkey") % 5
+    rest = (
+        F.when(k == 0, ',"say ""hi"", now"')
+        .when(k == 1, ',5" wide')
+        .when(k == 2, ',"one\ntwo"')
+        .when(k == 3, ",a,b,c,d")
+        .otherwise("")
+    )
+    mark = F.when(wide & (k < 4), ",m").otherwise("")
+    rows = customers.withColumn("value", F.concat("c_custkey", mark, rest))
+    header = F.when(wide, "id,mark,note").otherwise("id,note").alias("value")
+    heads = customers.select("c_nationkey", F.lit(-1).alias("c_custkey"), header).distinct()
+    ordered = rows.unionByName(heads).repartition("c_nationkey")
+    ordered = ordered.sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    cells = [
+        F.variant_get("payload", f"$.{c}", "string").alias(c) for c in ("id", "mark", "note")
+    ]
+    folder = F.element_at(F.split("file_path", "/"), -2).alias("folder")
+    return read_csv(spark, [path]).select(folder, "record_index", *cells, "parse_error")
+
+
 @query("s3_read_parquet", "SELECT doc_id, quality, true AS has_index FROM labels")
 def s3_read_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_parquet(spark, [f"{sf_dir}/labels.parquet"])
