@@ -251,7 +251,9 @@ def sessions(
         .offset(offset)
         .limit(limit)
     )
-    # The page is at most MAX_PAGE rows, so it is broadcast to prune both call scans.
+    # Written once, so that all sessions are sorted once and not per use of the page. It has at
+    # most MAX_PAGE rows and is broadcast to prune both call scans.
+    page = cut_lineage(page, "page")
     keys = F.broadcast(page.select(*SESSION_KEY))
     scoped = TraceTables(
         page,
