@@ -438,6 +438,19 @@ def test_suspects_are_mostly_toxic_or_poor(spark):
     assert got.where("quality = 1 AND toxic = 0").agg(share).first()[0] <= 0.02
 
 
+@needs_tables
+def test_clean_documents_that_no_model_has_read_pass(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = F.expr("pmod(xxhash64(doc_id, 7), 2) = 0")
+    got = quality.judged(docs, quality.trusted_ids(labels.where(known)), keep_text=False)
+    unread = got.join(quality.trusted_ids(labels.where(~known)), "doc_id")
+    rates = unread.agg(*[F.avg(F.expr(x).cast("int")) for x in ("NOT kept", "suspect")]).first()
+    assert unread.where("trusted").count() == 0 and unread.count() > 100
+    assert max(rates) <= 0.06
+
+
 # -- cleaning, revisits, dialogues ---------------------------------------------------------
 
 

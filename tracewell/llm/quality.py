@@ -3,14 +3,17 @@
 For every language a model of character n-grams inside words is trained on all trusted text:
 tasks count n-grams of their documents, the counts are sharded by n-gram and summed, and joins
 of the sharded counts with their contexts and shorter n-grams give discounted probabilities
-and back-off weights. Each document's perplexity per character is compared with a quantile of
-the perplexities of its language's trusted documents.
+and back-off weights. Documents are dealt into folds by their ids, and a fold is scored by the
+model of the trusted documents of the other folds, so no document is scored by a model that
+has read it. Each document's perplexity per character is compared with a quantile of the
+perplexities of its language's trusted documents, which are held out like all others.
 
 Scoring sends the model to the tasks when its measured size allows, split into as many rounds
 of languages as the bound asks for.
 
-Defined cases: a document without words, or in a language without trusted text, has no
-perplexity and is kept, not suspect; a NULL language is a language of its own; a document counts as trusted
+Defined cases: a document without words, or in a language without trusted text in the other
+folds, has no perplexity and is kept, not suspect; so is one whose language has no held-out
+perplexity of a trusted document; a NULL language is a language of its own; a document counts as trusted
 once per row of its id in the trusted table at most; repeated documents are trained on and
 scored like others; columns of the input named like a result are replaced.
 """
@@ -33,6 +36,9 @@ ORDER = 5
 QUANTILE = 0.999
 #: Documents above this one are suspect: insults lift the perplexity of fluent text only a little.
 SUSPECT_QUANTILE = 0.98
+#: Documents are scored by models of the other folds; each fold more costs the count of all trusted
+#: text once more.
+FOLDS = 2
 #: Perplexities are compared by their logarithm in steps of this size.
 STEP = 1e-4
 START, END = "\x02", "\x03"
@@ -414,6 +420,11 @@ def scored(
     return every
 
 
+def _tag(fold, lang):
+    """Name of the model for the documents of a fold and language; NULL is a language too."""
+    return F.concat(fold.cast("string"), F.coalesce(F.concat(F.lit("="), lang), F.lit("")))
+
+
 def judged(
     docs: DataFrame,
     trusted: DataFrame,
@@ -422,6 +433,7 @@ def judged(
     quantile: float = QUANTILE,
     suspect_quantile: float = SUSPECT_QUANTILE,
     keep_text: bool = True,
+    folds: int = FOLDS,
 ) -> DataFrame:
     """``docs`` with ``trusted, n_scored, log_perplexity, threshold, kept, suspect``.
 
@@ -430,17 +442,23 @@ def judged(
     ``docs`` needs ``doc_id``, ``lang`` and ``text``; ``trusted`` holds the ids of the trusted
     documents in its column ``doc_id``. Without ``keep_text`` the text is left out.
     """
-    results = ("trusted", "n_scored", "log_perplexity", "threshold", "kept", "suspect", "_s")
+    results = ("trusted", "n_scored", "log_perplexity", "threshold", "kept", "suspect", "_s", "_lang")
     own = docs.drop(*results)
     passed = [c for c in own.columns if keep_text or c != "text"]
     ids = cut_lineage(
         trusted.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL").distinct(), "kn-ids"
     )
     ids = maybe_broadcast(ids, 16)
-    text = own.join(ids, F.col(doc_id) == F.col("_id"), "left_semi").select("lang", "text")
+    fold = F.pmod(F.xxhash64(doc_id), F.lit(folds))
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), fold.cast("int"))
+    text = own.join(ids, F.col(doc_id) == F.col("_id"), "left_semi").select(
+        "lang", "text", F.explode(others).alias("_fold")
+    )
+    text = text.select(_tag(F.col("_fold"), F.col("lang")).alias("lang"), "text")
     counts = cut_lineage(gram_counts(text, order), "kn-counts")
     model = cut_lineage(train(counts, order), "kn-model")
-    rows = scored(own, model, order).withColumn(
+    tagged = own.withColumn("_lang", F.col("lang")).withColumn("lang", _tag(fold, F.col("lang")))
+    rows = scored(tagged, model, order).withColumn("lang", F.col("_lang")).withColumn(
         "_p", F.when(F.col("_s.chars") > 0, F.round(F.col("_s.nll") / F.col("_s.chars") / STEP).cast("long"))
     )
     rows = rows.join(ids.withColumn("_t", F.lit(True)), F.col(doc_id) == F.col("_id"), "left")
