@@ -15,8 +15,8 @@ from tracewell.llm.shared import cut_lineage, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like the trusted ones of their language; suspect ones go too."""
-    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality.judged(docs, trusted).where("NOT suspect").select(*docs.columns)
+    found = quality.verdicts(docs, table(spark, sf_dir, "labels"))
+    return found.where("NOT suspect").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

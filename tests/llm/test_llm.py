@@ -451,6 +451,25 @@ def test_clean_documents_that_no_model_has_read_pass(spark):
     assert max(rates) <= 0.06
 
 
+@needs_tables
+def test_verdict_of_query_and_pipeline_on_unread_labels(spark):
+    import corpus_pipeline as pipeline
+
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = F.expr("pmod(xxhash64(doc_id, 7), 2) = 0")
+    unread = quality.verdicts(docs, labels.where(known), keep_text=False).join(
+        labels.where(~known), "doc_id"
+    )
+    share = F.avg(F.col("suspect").cast("int"))
+    assert unread.where("quality = 1 AND toxic = 0").agg(share).first()[0] <= 0.06
+    assert unread.where("quality = 1 AND toxic = 1").agg(share).first()[0] >= 0.5
+    left = {r.doc_id for r in pipeline.quality_classifier(spark, docs, sf).collect()}
+    asked = QUERIES["op9_kneser_ney"](spark, sf).where("NOT suspect").collect()
+    assert left == {r.doc_id for r in asked}
+
+
 # -- cleaning, revisits, dialogues ---------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ of the sharded counts with their contexts and shorter n-grams give discounted pr
 and back-off weights. Documents are dealt into folds by their ids, and a fold is scored by the
 model of the trusted documents of the other folds, so no document is scored by a model that
 has read it. Each document's perplexity per character is compared with a quantile of the
-perplexities of its language's trusted documents, which are held out like all others.
+perplexities of its language's trusted documents, which are held out like all others. A second
+model also reads the rejected documents of the other folds; what it gains over the first is a
+contrast that single insults in fluent text raise, while they hardly move the perplexity.
 
 Scoring sends the model to the tasks when its measured size allows, split into as many rounds
 of languages as the bound asks for.
@@ -34,11 +36,10 @@ from tracewell.llm.shared import BROADCAST_BYTES, cut_lineage, maybe_broadcast,
 ORDER = 5
 #: Documents above this quantile of their language's trusted perplexities are rejected.
 QUANTILE = 0.999
-#: Documents above this one are suspect: insults lift the perplexity of fluent text only a little.
+#: This share of a language's trusted documents is not suspect, by perplexity and contrast together.
 SUSPECT_QUANTILE = 0.98
-#: Documents are scored by models of the other folds; each fold more costs the count of all trusted
-#: text once more.
-FOLDS = 2
+#: Documents are scored by models of the other folds; text is counted once, whatever their number.
+FOLDS = 4
 #: Perplexities are compared by their logarithm in steps of this size.
 STEP = 1e-4
 START, END = "\x02", "\x03"
@@ -425,6 +426,18 @@ def _tag(fold, lang):
     return F.concat(fold.cast("string"), F.coalesce(F.concat(F.lit("="), lang), F.lit("")))
 
 
+def held_out(counts: DataFrame, folds: int) -> DataFrame:
+    """For the model of each fold, the counts of the other folds; ``lang`` is a ``_tag``."""
+    fold = F.substring_index("lang", "=", 1)
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), fold.cast("int"))
+    rest = F.expr("substring(lang, length(substring_index(lang, '=', 1)) + 1)")
+    return (
+        counts.select(F.explode(others).alias("_fold"), rest.alias("_rest"), "g", "raw")
+        .groupBy(F.concat(F.col("_fold").cast("string"), "_rest").alias("lang"), "g")
+        .agg(F.sum("raw").alias("raw"))
+    )
+
+
 def judged(
     docs: DataFrame,
     trusted: DataFrame,
@@ -434,10 +447,14 @@ def judged(
     suspect_quantile: float = SUSPECT_QUANTILE,
     keep_text: bool = True,
     folds: int = FOLDS,
+    rejected: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with ``trusted, n_scored, log_perplexity, threshold, kept, suspect``.
 
-    ``kept`` goes by ``quantile``, ``suspect`` by the stricter ``suspect_quantile``.
+    ``kept`` goes by ``quantile`` of the perplexities alone. ``suspect`` goes by the stricter
+    ``suspect_quantile``, and with ids of ``rejected`` documents also by a contrast: how much
+    likelier, per character, a document gets when its model reads the rejected text as well.
+    Both are held against the trusted documents. ``suspect`` is the verdict to act on.
 
     ``docs`` needs ``doc_id``, ``lang`` and ``text``; ``trusted`` holds the ids of the trusted
     documents in its column ``doc_id``. Without ``keep_text`` the text is left out.
@@ -450,38 +467,59 @@ def judged(
     )
     ids = maybe_broadcast(ids, 16)
     fold = F.pmod(F.xxhash64(doc_id), F.lit(folds))
-    others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), fold.cast("int"))
-    text = own.join(ids, F.col(doc_id) == F.col("_id"), "left_semi").select(
-        "lang", "text", F.explode(others).alias("_fold")
-    )
-    text = text.select(_tag(F.col("_fold"), F.col("lang")).alias("lang"), "text")
-    counts = cut_lineage(gram_counts(text, order), "kn-counts")
-    model = cut_lineage(train(counts, order), "kn-model")
     tagged = own.withColumn("_lang", F.col("lang")).withColumn("lang", _tag(fold, F.col("lang")))
-    rows = scored(tagged, model, order).withColumn("lang", F.col("_lang")).withColumn(
-        "_p", F.when(F.col("_s.chars") > 0, F.round(F.col("_s.nll") / F.col("_s.chars") / STEP).cast("long"))
-    )
+
+    def counts_of(taught: DataFrame, label: str) -> DataFrame:
+        text = tagged.join(taught, F.col(doc_id) == F.col("_id"), "left_semi")
+        return cut_lineage(gram_counts(text, order), f"kn-{label}-counts")
+
+    def model_of(counts: DataFrame, label: str) -> DataFrame:
+        counts = cut_lineage(held_out(counts, folds), f"kn-{label}-others")
+        return cut_lineage(train(counts, order), f"kn-{label}-model")
+
+    counts = counts_of(ids, "good")
+    rows = scored(tagged, model_of(counts, "good"), order).withColumnRenamed("_s", "_good")
+    if rejected is None:
+        rows = rows.withColumn("_both", F.col("_good"))
+    else:
+        bad = rejected.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL")
+        bad = cut_lineage(bad.join(ids, "_id", "left_anti").distinct(), "kn-bad-ids")
+        counts = counts.unionByName(counts_of(maybe_broadcast(bad, 16), "bad"))
+        rows = scored(rows, model_of(counts, "both"), order).withColumnRenamed("_s", "_both")
+    rows = rows.withColumn("lang", F.col("_lang"))
     rows = rows.join(ids.withColumn("_t", F.lit(True)), F.col(doc_id) == F.col("_id"), "left")
+
+    def steps(nll):
+        return F.when(F.col("_good.chars") > 0, F.round(nll / F.col("_good.chars") / STEP).cast("long"))
+
     rows = cut_lineage(
         rows.select(
             *passed,
             F.coalesce("_t", F.lit(False)).alias("trusted"),
-            F.coalesce("_s.chars", F.lit(0)).alias("n_scored"),
-            "_p",
+            F.coalesce("_good.chars", F.lit(0)).alias("n_scored"),
+            steps(F.col("_good.nll")).alias("_p"),
+            steps(F.col("_good.nll") - F.col("_both.nll")).alias("_c"),
         ),
         "kn-scored",
     )
     known = rows.where("trusted AND _p IS NOT NULL")
-    limits = thresholds(known, {"_limit": quantile, "_strict": suspect_quantile})
+    # Two bounds share what one alone may cost of the trusted documents.
+    strict = suspect_quantile if rejected is None else (1 + suspect_quantile) / 2
+    limits = thresholds(known, {"_limit": quantile, "_strict": strict})
     limits = limits.withColumnRenamed("lang", "_l")
-    return rows.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_l")), "left").select(
+    gains = known.select("lang", F.col("_c").alias("_p")).where("_p IS NOT NULL")
+    gains = thresholds(gains, {"_most": strict}).withColumnRenamed("lang", "_m")
+    rows = rows.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_l")), "left")
+    rows = rows.join(F.broadcast(gains), F.col("lang").eqNullSafe(F.col("_m")), "left")
+    odd = F.coalesce(F.col("_p") > F.col("_strict"), F.lit(False))
+    return rows.select(
         *passed,
         "trusted",
         "n_scored",
         (F.col("_p") * STEP).alias("log_perplexity"),
         (F.col("_limit") * STEP).alias("threshold"),
         F.coalesce(F.col("_p") <= F.col("_limit"), F.lit(True)).alias("kept"),
-        F.coalesce(F.col("_p") > F.col("_strict"), F.lit(False)).alias("suspect"),
+        (odd | F.coalesce(F.col("_c") > F.col("_most"), F.lit(False))).alias("suspect"),
     )
 
 
@@ -507,3 +545,15 @@ def thresholds(rows: DataFrame, quantiles: dict[str, float]) -> DataFrame:
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids of documents labelled as good and not toxic."""
     return labels.where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def rejected_ids(labels: DataFrame) -> DataFrame:
+    """Ids of documents labelled as toxic."""
+    return labels.where("toxic = 1").select("doc_id")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:
+    """What the query reports and the pipeline acts on: ``judged`` by the given labels."""
+    return judged(
+        docs, trusted_ids(labels), keep_text=keep_text, rejected=rejected_ids(labels)
+    )

@@ -141,8 +141,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_kneser_ney")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    labels = quality.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality.judged(docs, labels, keep_text=False)
+    return quality.verdicts(docs, table(spark, sf_dir, "labels"), keep_text=False)
 
 
 @query("op10_simhash")
