@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, clean, decontam, packing, pii, quality, shards, simhash, tokens, warc
+from tracewell.llm import (
+    chat,
+    clean,
+    decontam,
+    lexical,
+    packing,
+    phrases,
+    pii,
+    quality,
+    shards,
+    simhash,
+    suffixes,
+    tokens,
+    warc,
+)
 from tracewell.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +266,123 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h
+  FROM documents
+), again AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY substr(h, 2 * s + 1, 200)
+      ORDER BY doc_id, s) AS nth
+    FROM d, unnest(range(0, n - 99)) AS w(s))
+  WHERE nth > 1
+), runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (
+    SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+      SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100
+        THEN 0 ELSE 1 END AS fresh FROM again))
+  GROUP BY doc_id, run
+), cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, min(a) AS first,
+    string_agg(substr(h, 2 * b + 1, 2 * (following - b)), '' ORDER BY a) AS rest
+  FROM (SELECT r.*, d.h, coalesce(lead(a) OVER (PARTITION BY r.doc_id ORDER BY a), n) AS following
+    FROM runs r JOIN d ON r.doc_id = d.doc_id)
+  GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN first IS NULL THEN h ELSE substr(h, 1, 2 * first) || rest END))
+    AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+"""
+
+
+@query("op11_repeated_windows", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), f AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM p, unnest(range(1, 5)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score
+  FROM c, unnest(range(1, c.k)) AS s(cut)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 : c.k], ' ')
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(f) AS most
+  FROM c, unnest(range(2, k)) AS s(size), unnest(range(1, k - size + 2)) AS t(i) GROUP BY 1, 2
+), ranked AS (
+  SELECT worst.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM worst LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), q AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark) GROUP BY 1, 2
+), s AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d
+), tf AS (
+  SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY 1, 2
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM tf, s GROUP BY 1
+), lengths AS (
+  SELECT doc_id, 100 - 25 + (25 * len(w) * n_docs) // n_terms AS m FROM d, s
+), scores AS (
+  SELECT item_id, doc_id, sum(times * weight
+    * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM tf JOIN weights USING (t) JOIN lengths USING (doc_id) JOIN q USING (t) GROUP BY 1, 2
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER
+  AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
