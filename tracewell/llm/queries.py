@@ -270,11 +270,14 @@ OP11_SQL = """
 WITH d AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h
   FROM documents
+), parts AS (
+  SELECT doc_id, c, substr(h, 2 * c + 1, 710) AS part, least(256, n - 99 - c) AS size
+  FROM d, unnest(range(0, n - 99, 256)) AS t(c)
 ), again AS (
   SELECT doc_id, s FROM (
-    SELECT doc_id, s, row_number() OVER (PARTITION BY substr(h, 2 * s + 1, 200)
-      ORDER BY doc_id, s) AS nth
-    FROM d, unnest(range(0, n - 99)) AS w(s))
+    SELECT doc_id, c + i AS s, row_number() OVER (PARTITION BY unhex(substr(part, 2 * i + 1, 200))
+      ORDER BY doc_id, c + i) AS nth
+    FROM parts, unnest(range(0, size)) AS w(i))
   WHERE nth > 1
 ), runs AS (
   SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (
