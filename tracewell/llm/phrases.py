@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.joins import join_spread
 from tracewell.llm.bytehash import Ranges, bytes_of, mixed
+from tracewell.llm.filters import FILTER_BITS, Filter
 from tracewell.llm.hot import first_rows
 from tracewell.llm.shared import cut_lineage, received, send
 
@@ -41,9 +42,6 @@ MAX_WORDS = 4
 MIN_COUNT = 30
 #: One of so many documents is in the sample.
 SAMPLE_OF = 16
-#: Size of the filter of proposed phrases: 2 ** 27 bits are 16 MB.
-FILTER_BITS = 27
-_SEGMENT_BITS = 21
 _PORTION = 1 << 22
 _HELD = 1 << 22  # occurrences combined at once
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,57 +132,6 @@ def _portions(batch: pa.RecordBatch) -> Iterator[_Words]:
         yield _Words(offsets, data, at, languages)
 
 
-# -- the filter of proposed phrases --------------------------------------------------------
-
-
-def _probes(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return key >> np.uint64(64 - bits), key & np.uint64((1 << bits) - 1)
-
-
-class Filter:
-    """A bit per probe; ``has`` may say yes to a phrase that was never added, never no."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits = bits
-        self.slots = np.zeros(1 << (bits - 6), np.uint64)
-
-    def has(self, key: np.ndarray) -> np.ndarray:
-        found = np.ones(len(key), bool)
-        for p in _probes(key, self.bits):
-            found &= (self.slots[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)) > 0
-        return found
-
-    def with_keys(self, phrases: DataFrame) -> Filter:
-        """A filter that has the keys ``a`` of ``phrases`` as well.
-
-        Bits are put together in tasks; the driver gets the filter in pieces of 256 KB.
-        """
-        high = F.shiftrightunsigned("a", 64 - self.bits)
-        low = F.col("a").bitwiseAND((1 << self.bits) - 1)
-        probe = phrases.select(F.explode(F.array(high, low)).alias("p"))
-        bit = F.expr("shiftleft(1L, CAST(p & 63 AS INT))")
-        words = probe.groupBy(F.shiftright("p", 6).alias("slot")).agg(F.bit_or(bit).alias("bits"))
-        size = 1 << min(self.bits, _SEGMENT_BITS) - 6
-
-        def build(table: pa.Table) -> pa.Table:
-            slots = table.column("slot").to_numpy()
-            piece = np.zeros(size, np.int64)
-            piece[slots % size] = table.column("bits").to_numpy()
-            return pa.table({"segment": [int(slots[0]) // size], "bits": [piece.tobytes()]})
-
-        pieces = (
-            words.withColumn("segment", F.expr(f"slot DIV {size}"))
-            .groupBy("segment")
-            .applyInArrow(build, "segment long, bits binary")
-        )
-        joined = Filter(self.bits)
-        joined.slots = self.slots.copy()
-        for row in pieces.toLocalIterator():
-            mine = slice(row["segment"] * size, (row["segment"] + 1) * size)
-            joined.slots[mine] |= np.frombuffer(row["bits"], np.uint64)
-        return joined
-
-
 # -- passes --------------------------------------------------------------------------------
 
 
@@ -272,7 +219,7 @@ def frequent(
     now, before = Filter(filter_bits), None
     known = proposed
     if known is not None:
-        now = now.with_keys(known)
+        now = now.with_keys(known.select("a"))
     sent, sent_before, found = send(spark, now), None, []
     while True:
         counted = (
@@ -289,13 +236,13 @@ def frequent(
         if failed.where(_length() < MAX_WORDS).isEmpty():
             return reduce(DataFrame.union, found)
         known = failed if known is None else known.union(failed)
-        now, before, sent_before = now.with_keys(failed), now, sent
+        now, before, sent_before = now.with_keys(failed.select("a")), now, sent
         sent = send(spark, now)
 
 
 def _named(docs: DataFrame, keys: DataFrame, filter_bits: int, label: str) -> DataFrame:
     """``keys`` found in ``docs`` with ``lang`` and ``phrase``."""
-    sent = send(docs.sparkSession, Filter(filter_bits).with_keys(keys))
+    sent = send(docs.sparkSession, Filter(filter_bits).with_keys(keys.select("a")))
     names = docs.mapInArrow(_namer(sent), "a long, b long, lang string, phrase string")
     one = names.groupBy("a", "b").agg(F.min(F.struct("lang", "phrase")).alias("name"))
     named = keys.join(one, ["a", "b"]).select("a", "b", "n", "name.lang", "name.phrase")

@@ -9,12 +9,13 @@ digit is the window's *anchor*: the ``k`` bytes with the smallest hash inside it
 ties). Some 70 suffixes in a row share an anchor and make one row, a piece. The next digits
 widen the anchor to both sides, for blocks of ever fewer offsets, until one offset is left and
 the digit is the whole window. In every group pieces that agree as a whole are settled at once:
-all but the first are repeated, and only the first goes on to the next digit. Before the first
-digit the same is done for long content-defined pieces, so copies of documents cost little.
+all but the first are repeated, and only the first goes on to the next digit.
 
-Digits are 64-bit hashes; pieces agree if 64 bits of another hash agree as well. Text travels
-with documents only. Digits of most documents are combined on the map side, and digits with
-many rows are dealt over sub-keys.
+Digits are 64-bit hashes; pieces agree if 64 bits of another hash agree as well. Which anchors
+are repeated, and which pieces go on, is told to tasks by filters of a fixed size, so text is
+shuffled once only, at the end; a false hit costs a row and changes nothing. Digits are counted
+with map-side combining, and digits with many rows are dealt over sub-keys. The removed
+stretches of a document are gathered by document; there are no more of them than it has bytes.
 
 Defined cases: a NULL text is empty; texts shorter than the threshold have no windows; ids that
 are NULL, repeated or no whole numbers are ordered as ``hot.numbered`` says, and rows alike in
@@ -28,129 +29,130 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytehash import Ranges, bytes_of, mixed, spread
+from tracewell.llm.filters import FILTER_BITS, Filter
 from tracewell.llm.hot import meet, numbered
-from tracewell.llm.shared import cut_lineage
+from tracewell.llm.shared import cut_lineage, received, send
 
 THRESHOLD = 100
 _PORTION = 1 << 18  # window starts hashed at once; positions in a portion need 20 bits
 _LOW = np.uint64((1 << 20) - 1)
-_CUT_BITS = 9  # long pieces hold 512 suffixes on average
-_CUT_BYTES = 16
 _DIGIT, _WHOLE = 1, 2  # seeds
 
 _PIECES = "core long, whole long, doc long, at long"
-_NAMES = ["core", "whole", "doc", "at"]
 
 
 def _anchor_bytes(threshold: int) -> int:
     return max(1, threshold * 32 // 100)
 
 
-def _batch(core: np.ndarray, whole: np.ndarray, doc: np.ndarray, at: np.ndarray):
-    arrays = [pa.array(a.astype(np.int64, copy=False)) for a in (core.view(np.int64),
-              whole.view(np.int64), doc, at)]
-    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
-
-
-def _windows(offsets: np.ndarray, flagged: pa.Array | None, threshold: int):
-    """``(document, first, end)`` of runs of window starts, without the ``flagged`` ones."""
-    first, end = offsets[:-1], offsets[1:] - threshold + 1
-    document = np.arange(len(first))
-    if flagged is not None and len(flagged.flatten()):
-        counts = np.diff(flagged.offsets.to_numpy())
-        own = np.repeat(document, counts)
-        packed = flagged.flatten().to_numpy()
-        lo = (packed >> 20) + first[own]
-        # Flagged pieces are sorted and apart; what lies between them is left.
-        first = np.concatenate([first, lo + (packed & int(_LOW))])
-        end = np.concatenate([end, lo])
-        document = np.concatenate([document, own])
-        order = np.lexsort([first, document])
-        document, first = document[order], first[order]
-        order = np.lexsort([end, np.concatenate([np.arange(len(offsets) - 1), own])])
-        end = end[order]
-    real = end > first
-    return document[real], first[real], end[real]
-
-
-def _portions(offsets, data, flagged, threshold):
-    """Portions of a batch: ``(start, bytes, window starts, their documents)``."""
-    document, first, end = _windows(offsets, flagged, threshold)
-    at = 0
-    while at < len(data):
-        a, b = np.searchsorted(end, at, "right"), np.searchsorted(first, at + _PORTION, "left")
-        if a == b:
-            if a == len(first):
-                return
-            at = int(first[a])
-            continue
-        lo = np.maximum(first[a:b], at)
-        n = np.minimum(end[a:b], at + _PORTION) - lo
-        yield at, data[at : at + _PORTION + threshold - 1], spread(lo, n) - at, np.repeat(
-            document[a:b], n
-        )
-        at += _PORTION
-
-
-def _breaks(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each stretch of equal values."""
-    change = np.zeros(len(values[0]), bool)
-    change[:1] = True
-    for v in values:
-        change[1:] |= v[1:] != v[:-1]
-    first = np.flatnonzero(change)
-    return first, np.append(first[1:], len(change)) - 1
-
-
-def _long_pieces(threshold: int):
-    """Stretches of suffixes between content-defined cuts; both hashes are of the whole."""
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    signed = [pa.array(c.view(np.int64)) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(signed, names=list(columns))
 
+
+class _Portion:
+    """The pieces of one portion of a batch: stretches of window starts with one anchor.
+
+    ``core`` is the anchor's hash, ``place`` its position, ``high`` and ``low`` how far the
+    first and the last window start lie before it.
+    """
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, at: int, threshold: int) -> None:
+        k = _anchor_bytes(threshold)
+        width = threshold - k + 1
+        first = np.maximum(offsets[:-1], at)
+        n = np.maximum(np.minimum(offsets[1:] - threshold + 1, at + _PORTION) - first, 0)
+        starts, doc = spread(first, n) - at, np.repeat(np.arange(len(n)), n)
+        self.threshold = threshold
+        self.bytes = data[at : at + _PORTION + threshold - 1]
+        digits = Ranges(self.bytes, _DIGIT).every(k)
+        least = digits & ~_LOW | np.arange(len(digits), dtype=np.uint64)
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        anchor = (least[starts] & _LOW).astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(new))[: len(begin)] - 1
+        self.place, self.doc = anchor[begin], doc[begin]
+        self.high, self.low = self.place - starts[begin], self.place - starts[end]
+        self.core = digits[self.place]
+        self.at = (self.place + at - offsets[self.doc]) << 20 | self.high << 10 | self.low
+
+    def keep(self, chosen: np.ndarray) -> None:
+        for name in ("place", "doc", "high", "low", "core", "at"):
+            setattr(self, name, getattr(self, name)[chosen])
+
+    def whole(self) -> np.ndarray:
+        """Hash of all bytes of a piece and of where its anchor lies in it."""
+        ends = self.place - self.low + self.threshold
+        shape = (self.at & int(_LOW)).view(np.uint64)
+        return mixed(Ranges(self.bytes, _WHOLE).of(self.place - self.high, ends) ^ mixed(shape))
+
+    def bodies(self) -> pa.Array:
+        start = self.place - self.high
+        size = self.place - self.low + self.threshold - start
+        bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        body = self.bytes[spread(start, size)]
+        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(body)]
+        return pa.Array.from_buffers(pa.binary(), len(size), buffers)
+
+
+def _portions(batches: Iterator[pa.RecordBatch], threshold: int):
+    """``(ids of the batch, portion)`` for documents given as ``doc, text``."""
+    for batch in batches:
+        offsets, data = bytes_of(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        for at in range(0, len(data) - threshold + 1, _PORTION):
+            yield ids, _Portion(offsets, data, at, threshold)
+
+
+def _anchors(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = bytes_of(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for at, part, starts, doc in _portions(offsets, data, None, threshold):
-                hashes = Ranges(part, _DIGIT)
-                cuts = hashes.every(min(_CUT_BYTES, threshold)) >> np.uint64(64 - _CUT_BITS) == 0
-                group = np.cumsum(cuts)[starts]
-                first, last = _breaks(doc, group)
-                reach = starts[first], starts[last] + threshold
-                lo = starts[first] + at - offsets[doc[first]]
-                place = lo << 20 | last - first + 1
-                yield _batch(hashes.of(*reach), Ranges(part, _WHOLE).of(*reach), ids[doc[first]], place)
+        for _, portion in _portions(batches, threshold):
+            yield _batch(core=portion.core)
 
     return run
 
 
-def _anchored_pieces(threshold: int):
-    """Stretches of suffixes with one anchor; ``at`` packs its place and the offsets in it."""
-    k = _anchor_bytes(threshold)
-    width = threshold - k + 1
+def _anchored_pieces(threshold: int, repeated):
+    """Pieces whose anchor is (but for false hits) repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = bytes_of(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for at, part, starts, doc in _portions(offsets, data, batch.column(2), threshold):
-                digits = Ranges(part, _DIGIT).every(k)
-                least = digits & ~_LOW | np.arange(len(digits), dtype=np.uint64)
-                have = 1
-                while have < width:
-                    step = min(have, width - have)
-                    least = np.minimum(least[:-step], least[step:])
-                    have += step
-                anchor = (least[starts] & _LOW).astype(np.int64)
-                first, last = _breaks(doc, anchor)
-                place, high, low = anchor[first], starts[first], starts[last]
-                whole = Ranges(part, _WHOLE).of(high, low + threshold)
-                shape = (place - high) << 10 | (place - low)
-                whole = mixed(whole ^ mixed(shape.astype(np.uint64)))
-                here = place + at - offsets[doc[first]]
-                yield _batch(digits[place], whole, ids[doc[first]], here << 20 | shape)
+        among: Filter = received(repeated)
+        for ids, portion in _portions(batches, threshold):
+            portion.keep(among.has(portion.core))
+            doc = ids[portion.doc]
+            yield _batch(core=portion.core, whole=portion.whole(), doc=doc, at=portion.at)
+
+    return run
+
+
+def _place_key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mixed(mixed(doc.view(np.uint64)) ^ at.view(np.uint64))
+
+
+def _place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch(key=_place_key(*(batch.column(c).to_numpy() for c in ("doc", "at"))))
+
+
+def _bytes_of_pieces(threshold: int, wanted):
+    """Pieces that stand in the filter, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among: Filter = received(wanted)
+        for ids, portion in _portions(batches, threshold):
+            portion.keep(among.has(_place_key(ids[portion.doc], portion.at)))
+            columns = _batch(core=portion.core, doc=ids[portion.doc], at=portion.at)
+            yield columns.append_column("body", portion.bodies())
 
     return run
 
@@ -177,38 +179,9 @@ def _narrower_pieces(threshold: int, width: int):
             shape = top << 10 | bottom
             whole = wholes.of(place[piece] - top, place[piece] + threshold - bottom)
             whole = mixed(whole ^ mixed(shape.astype(np.uint64)))
-            yield _batch(digit, whole, doc[piece], at[piece] >> 20 << 20 | shape)
-
-    return run
-
-
-def _bytes_of_pieces(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = bytes_of(batch.column(1))
-            lists = batch.column(2)
-            counts = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(counts)), counts)
-            pieces = lists.flatten()
-            at, core = (pieces.field(n).to_numpy() for n in ("at", "core"))
-            place = (at >> 20) + offsets[doc]
-            start, end = place - (at >> 10 & 1023), place - (at & 1023) + threshold
-            for a in range(0, len(at), 1 << 16):
-                b = min(a + (1 << 16), len(at))
-                ends = np.cumsum(end[a:b] - start[a:b])
-                body = data[spread(start[a:b], end[a:b] - start[a:b])]
-                bounds = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(core[a:b]),
-                        pa.array(batch.column(0).to_numpy()[doc[a:b]]),
-                        pa.array(at[a:b]),
-                        pa.Array.from_buffers(
-                            pa.binary(), b - a, [None, bounds, pa.py_buffer(body)]
-                        ),
-                    ],
-                    names=["core", "doc", "at", "body"],
-                )
+            yield _batch(
+                core=digit, whole=whole, doc=doc[piece], at=at[piece] >> 20 << 20 | shape
+            )
 
     return run
 
@@ -248,16 +221,16 @@ def _cut(threshold: int):
     return run
 
 
-def _settle(pieces: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+def _settle(cores: DataFrame, pieces: Callable, label: str) -> tuple[DataFrame, DataFrame]:
     """``(copies, open)`` after one digit.
 
-    ``copies`` are pieces that agree as a whole with an earlier one; ``open`` are the first of
-    their kind in groups that hold several kinds. Pieces alone in their group are gone.
+    ``cores`` holds the digit of every piece; ``pieces`` gives the pieces, those with a digit
+    found once need not be among them. ``copies`` agree as a whole with an earlier piece;
+    ``open`` are the first of their kind in groups that hold several kinds.
     """
-    groups = cut_lineage(
-        pieces.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-digits"
-    )
-    together = meet(pieces, groups, ["core"], "n")
+    groups = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    groups = cut_lineage(groups, f"{label}-digits")
+    together = meet(pieces(groups), groups, ["core"], "n")
     # A kind is numbered within its sub-key first, so no kind is too large for a task.
     nth = F.row_number().over(Window.partitionBy("core", "_salt", "whole").orderBy("doc", "at"))
     staged = together.withColumn("repeat", nth > 1).select(
@@ -291,18 +264,9 @@ def _ranges(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc", (F.shiftleft(lo, 20) + high - low + 1).alias("flagged"))
 
 
-def _per_document(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """Rows gathered by document; there are no more of them than the document has bytes."""
-    value = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
-    return df.groupBy("doc").agg(F.sort_array(F.collect_list(value)).alias("list"))
-
-
-def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Documents with their list; a plain join, as the list of a document is one row."""
-    return docs.join(lists.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"), how)
-
-
-def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def repeated_windows(
+    docs: DataFrame, threshold: int = THRESHOLD, filter_bits: int = FILTER_BITS
+) -> DataFrame:
     """``doc, flagged``: stretches of windows with an equal window earlier on.
 
     ``docs`` has ``doc`` (a whole number that orders the documents) and ``text``. ``flagged``
@@ -310,32 +274,27 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     if not 2 <= threshold <= 1000:
         raise ValueError("threshold must lie between 2 and 1000 bytes")
+    spark = docs.sparkSession
+    texts = docs.select("doc", "text")
 
-    def mapped(df: DataFrame, run: Callable) -> DataFrame:
-        return df.mapInArrow(run, _PIECES)
+    def sent(keys: DataFrame):
+        return send(spark, Filter(filter_bits).with_keys(keys))
 
-    texts = docs.select("doc", "text")
-    long = mapped(texts, _long_pieces(threshold))
-    copies, _ = _settle(long, "suffixes-long")
-    found = cut_lineage(copies.select("doc", F.col("at").alias("flagged")), "suffixes-long-copies")
-    flagged = cut_lineage(_per_document(found, "flagged"), "suffixes-long-lists")
-    none = F.array().cast("array<long>")
-    left = _with_lists(texts, flagged, "left").select(
-        "doc", "text", F.coalesce("list", none).alias("list")
-    )
-    copies, still = _settle(mapped(left, _anchored_pieces(threshold)), "suffixes-1")
-    found = found.union(_ranges(copies))
-    lists = cut_lineage(_per_document(still, "at", "core"), "suffixes-1-lists")
+    def anchored(groups: DataFrame) -> DataFrame:
+        return texts.mapInArrow(_anchored_pieces(threshold, sent(groups.select("core"))), _PIECES)
+
+    anchors = texts.mapInArrow(_anchors(threshold), "core long")
+    copies, still = _settle(anchors, anchored, "suffixes-1")
+    found = _ranges(copies)
+    keys = still.select("doc", "at").mapInArrow(_place_keys, "key long")
+    with_bytes = _bytes_of_pieces(threshold, sent(keys))
     pieces = cut_lineage(
-        _with_lists(texts, lists, "inner")
-        .select("doc", "text", "list")
-        .mapInArrow(_bytes_of_pieces(threshold), "core long, doc long, at long, body binary"),
+        texts.mapInArrow(with_bytes, "core long, doc long, at long, body binary"),
         "suffixes-1-bytes",
     )
     for depth, width in enumerate(_widths(threshold), 2):
-        copies, still = _settle(
-            mapped(pieces, _narrower_pieces(threshold, width)), f"suffixes-{depth}"
-        )
+        narrow = pieces.mapInArrow(_narrower_pieces(threshold, width), _PIECES)
+        copies, still = _settle(narrow.select("core"), lambda _: narrow, f"suffixes-{depth}")
         found = found.union(_ranges(copies))
         if width > 1:
             pieces = _narrowed(pieces, still, threshold, f"suffixes-{depth}-bytes")
@@ -368,9 +327,10 @@ def without_repeats(
     """
     rows = numbered(docs, doc_id, text)
     found = cut_lineage(repeated_windows(rows, threshold), "suffixes-flagged")
-    lists = cut_lineage(_per_document(found, "flagged"), "suffixes-lists")
+    lists = found.groupBy("doc").agg(F.collect_list("flagged").alias("list"))
+    lists = cut_lineage(lists.withColumnRenamed("doc", "_doc"), "suffixes-lists")
     none = F.array().cast("array<long>")
-    marked = _with_lists(rows, lists, "left").select(
+    marked = rows.join(lists, F.col("doc") == F.col("_doc"), "left").select(
         "doc_id", "text", F.coalesce("list", none).alias("flagged")
     )
     id_type = rows.schema["doc_id"].dataType.simpleString()
