@@ -2,141 +2,29 @@
 
 An import writes all its rows under its own ``import_id`` partition and adds one row to the
 ``commit`` table last. Readers look at committed imports only, so a failed import leaves
-nothing visible. One writer per warehouse is assumed.
+nothing visible.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracewell import schemas
 from tracewell.cluster import broadcast_if_small, configure, cut_lineage
+from tracewell.functions.joins import join_spread
 from tracewell.functions.ranking import first_per_key
 from tracewell.operators.ancestry import with_session_ids
 from tracewell.operators.normalise import link_repositories, normalise
-from tracewell.operators.store import (
-    insert_ignore,
-    register_dimension,
-    retain_payloads,
-    upsert_overwrite,
-)
+from tracewell.operators.store import retain_payloads
+from tracewell.operators.warehouse import FACT_KEYS, TABLES, Warehouse
 from tracewell.plans.mapping import Mapping
 from tracewell.sources.files import detect_format, file_fingerprints, list_files
 from tracewell.sources.readers import READERS
 
-TABLES: dict[str, T.StructType] = {
-    "session": schemas.SESSION,
-    "model_call": schemas.MODEL_CALL,
-    "tool_call": schemas.TOOL_CALL,
-    "raw_record": schemas.RAW_STORED,
-    "import_reject": schemas.REJECT,
-    "import_batch": schemas.IMPORT_BATCH,
-    "field_profile": schemas.FIELD_PROFILE,
-    "repository": schemas.REPOSITORY,
-}
-_COMMIT = T.StructType([T.StructField("import_id", T.StringType())])
-FACT_KEYS = {
-    "session": schemas.SESSION_KEY,
-    "model_call": schemas.CALL_KEY,
-    "tool_call": schemas.CALL_KEY,
-}
-
-
-@dataclass(frozen=True)
-class Warehouse:
-    """Tables below one folder that every executor can reach."""
-
-    spark: SparkSession
-    path: str
-
-    def _stored(self, name: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def commits(self) -> DataFrame:
-        """Ids of the visible imports, one row per import run."""
-        return self._stored("commit", _COMMIT).distinct()
-
-    def table(self, name: str) -> DataFrame:
-        """Committed rows of a table. The imports are joined, so no list of them is collected."""
-        schema = T.StructType([*TABLES[name].fields, T.StructField("import_id", T.StringType())])
-        rows = self._stored(name, schema)
-        return rows.join(self.commits(), "import_id", "left_semi").drop("import_id")
-
-    def prices(self) -> DataFrame:
-        """The current price list: the table named by the newest price commit."""
-        named = self._stored("price_version", T.StructType([
-            T.StructField("version", T.LongType()), T.StructField("folder", T.StringType())
-        ])).orderBy(F.col("version").desc()).first()
-        if named is None:
-            return self.spark.createDataFrame([], schemas.MODEL_PRICING)
-        return self.spark.read.schema(schemas.MODEL_PRICING).parquet(
-            f"{self.path}/{named.folder}"
-        )
-
-    def put_prices(self, batch: DataFrame) -> DataFrame:
-        """Insert or replace prices by model name; the new list is written beside the old."""
-        merged = upsert_overwrite(self.prices(), batch, ["model_name"])
-        folder = f"model_pricing/{uuid.uuid4().hex}"
-        merged.write.parquet(f"{self.path}/{folder}")
-        versions = self._stored("price_version", T.StructType([
-            T.StructField("version", T.LongType()), T.StructField("folder", T.StringType())
-        ]))
-        newest = versions.agg(F.max("version").alias("v")).first().v or 0
-        row = self.spark.createDataFrame([(newest + 1, folder)], versions.schema)
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/price_version")
-        return self.prices()
-
-    def append(self, name: str, rows: DataFrame, import_id: str) -> DataFrame:
-        """Write rows under an import; they stay invisible until it is committed."""
-        columns = [f.name for f in TABLES[name].fields]
-        target = f"{self.path}/{name}/import_id={import_id}"
-        rows.select(*columns).write.mode("overwrite").parquet(target)
-        return self.spark.read.schema(TABLES[name]).parquet(target)
-
-    def commit(self, import_id: str) -> None:
-        row = self.spark.createDataFrame([(import_id,)], _COMMIT)
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commit")
-
-    def register_repositories(self, batch: DataFrame) -> DataFrame:
-        """Idempotent registration; returns total, registered and skipped."""
-        wide = batch
-        for column in ("url", "language"):
-            if column not in batch.columns:
-                wide = wide.withColumn(column, F.lit(None).cast("string"))
-        new, counts = register_dimension(
-            self.table("repository"), wide, ["source_name", "name"]
-        )
-        counts = cut_lineage(counts, "registration")
-        import_id = uuid.uuid4().hex
-        self.append("repository", new, import_id)
-        self.commit(import_id)
-        return counts
-
-    def put_profile(self, profile: DataFrame) -> None:
-        """Store field profiles, first one wins per file and path."""
-        batch = profile.select(
-            F.col("file_key").alias("file_sha256"), *[c for c in profile.columns if c != "file_key"]
-        )
-        new = insert_ignore(
-            self.table("field_profile"), batch, ["file_sha256", "path"], [F.col("inferred_type")]
-        )
-        import_id = uuid.uuid4().hex
-        self.append("field_profile", new, import_id)
-        self.commit(import_id)
-
 
 def file_ledger(spark: SparkSession, paths: list[str], store: Warehouse, source: str) -> DataFrame:
     """``file_path, file_sha256, file_order, already_imported`` of the incoming files.
@@ -181,6 +69,7 @@ def ingest(
     resolve_chains: bool = False,
     imported_at: datetime | None = None,
     file_format: str | None = None,
+    sequence_scope: str = "file",
 ) -> DataFrame:
     """Import files with one mapping; returns one report row per file.
 
@@ -188,7 +77,13 @@ def ingest(
 
     Rows whose natural key is stored already, or came earlier in the batch, count as
     duplicates. ``resolve_chains`` first assigns sessions in event-chain exports.
+
+    Calls without a mapped sequence are numbered per file and session, so those of a session's
+    second file have the numbers of the first and count as duplicates. With ``sequence_scope``
+    "table" the numbers go on where the stored ones and those of earlier files end.
     """
+    if sequence_scope not in ("file", "table"):
+        raise ValueError('sequence_scope must be "file" or "table"')
     configure(spark)
     moment = imported_at or datetime.now(timezone.utc)
     ledger = cut_lineage(file_ledger(spark, paths, store, mapping.source_name), "ledger")
@@ -196,7 +91,10 @@ def ingest(
     new = sorted(r.file_path for r in known if not r.already_imported)
     if new:
         formats = {path: file_format or detect_format(path) for path in new}
-        _import_files(spark, formats, ledger, mapping, store, retention, resolve_chains, moment)
+        _import_files(
+            spark, formats, ledger, mapping, store, retention, resolve_chains, moment,
+            sequence_scope,
+        )
     batches = first_per_key(
         store.table("import_batch").where(F.col("source_name") == mapping.source_name),
         ["file_sha256"],
@@ -205,6 +103,32 @@ def ingest(
     return report(ledger.join(batches, "file_sha256"))
 
 
+_SESSION = ["source_name", "external_id"]
+
+
+def _numbered_on(calls: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Calls whose own numbering goes on after the stored rows and the batch's earlier files.
+
+    A session costs a row per file: the numbers it used there are its high-water mark.
+    """
+    used = (
+        calls.where("auto_sequence")
+        .groupBy(*_SESSION, "file_sha256")
+        .agg((F.max("sequence") + 1).alias("used"))
+        .join(files.select("file_sha256", "file_order"), "file_sha256")
+    )
+    marks = stored.groupBy(*_SESSION).agg((F.max("sequence") + 1).alias("mark"))
+    along = Window.partitionBy(*_SESSION).orderBy("file_order")
+    shift = F.sum("used").over(along) - F.col("used") + F.coalesce("mark", F.lit(0))
+    shifts = used.join(marks, _SESSION, "left").select(
+        *_SESSION, "file_sha256", shift.alias("shift")
+    )
+    shifts = cut_lineage(shifts, "sequence-shifts")
+    moved = join_spread(calls, shifts, [*_SESSION, "file_sha256"], "left")
+    number = F.when(F.col("auto_sequence"), F.col("sequence") + F.col("shift"))
+    return moved.withColumn("sequence", F.coalesce(number, "sequence")).drop("shift")
+
+
 def _import_files(
     spark: SparkSession,
     formats: dict[str, str],
@@ -214,6 +138,7 @@ def _import_files(
     retention: str,
     resolve_chains: bool,
     moment: datetime,
+    sequence_scope: str,
 ) -> None:
     import_id = uuid.uuid4().hex
     listed = spark.createDataFrame(
@@ -234,7 +159,8 @@ def _import_files(
     )
     if resolve_chains:
         raw = with_session_ids(raw)
-    result = normalise(raw, mapping)
+    in_table = sequence_scope == "table"
+    result = normalise(raw, mapping, mark_auto=in_table)
     rejects = store.append("import_reject", result.rejects, import_id)
     stored = raw.select(
         F.col("file_key").alias("file_sha256"),
@@ -249,18 +175,22 @@ def _import_files(
     sessions = link_repositories(result.sessions, store.table("repository"))
     produced: list[DataFrame] = []
     written: list[DataFrame] = []
+    facts: list[tuple[str, DataFrame]] = []
     place = [F.col("file_order"), F.col("record_index")]
     for name, rows in (
         ("session", sessions),
         ("model_call", result.model_calls),
         ("tool_call", result.tool_calls),
     ):
+        if in_table and name != "session":
+            rows = _numbered_on(rows, files, store.rows_of_sessions(name, rows))
         placed = rows.join(files.select("file_sha256", "file_order"), "file_sha256")
-        # A mapping writes one source, and keys start with it: other sources are not read.
-        stored_rows = store.table(name).where(F.col("source_name") == mapping.source_name)
-        added = insert_ignore(stored_rows, placed, FACT_KEYS[name], place)
+        added = store.not_stored(name, placed, place)
+        stored_rows = store.append(name, added, import_id)
+        facts.append((name, stored_rows))
         produced.append(_per_file(rows, "n"))
-        written.append(_per_file(store.append(name, added, import_id), "n"))
+        written.append(_per_file(stored_rows, "n"))
+    store.index_sessions(facts, import_id)
 
     def total(parts: list[DataFrame], name: str) -> DataFrame:
         counted = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -338,3 +268,6 @@ def total_report(reports: DataFrame) -> DataFrame:
         .otherwise("completed")
     )
     return reports.agg(F.count("*").alias("files"), *sums, status.alias("display_status"))
+
+
+__all__ = ["FACT_KEYS", "TABLES", "Warehouse", "file_ledger", "ingest", "report", "total_report"]

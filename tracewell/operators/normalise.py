@@ -491,7 +491,10 @@ def _numbered(registered: DataFrame) -> DataFrame:
         [F.col("record_index"), F.col("pos")],
         "sequence",
     )
-    return mapped.unionByName(auto).where("failure IS NULL")
+    numbered = mapped.withColumn("auto_sequence", F.lit(False)).unionByName(
+        auto.withColumn("auto_sequence", F.lit(True))
+    )
+    return numbered.where("failure IS NULL")
 
 
 def backfill_sessions(sessions: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -518,8 +521,13 @@ def backfill_sessions(sessions: DataFrame, calls: DataFrame, keys: list[str]) ->
     )
 
 
-def normalise(raw: DataFrame, mapping: Mapping) -> Normalised:
-    """Apply a mapping to raw records; files are deduplicated separately."""
+def normalise(raw: DataFrame, mapping: Mapping, mark_auto: bool = False) -> Normalised:
+    """Apply a mapping to raw records; files are deduplicated separately.
+
+    With ``mark_auto`` calls carry ``auto_sequence``: their sequence is their place among the
+    calls of the session in the file, not a mapped value.
+    """
+    marks = ["auto_sequence"] if mark_auto else []
     outcome = cut_lineage(evaluate(raw, mapping), "evaluated")
     session_rows = outcome.where("ent = 0")
     children = outcome.where("ent > 0").withColumn("order", F.struct("ent", "pos"))
@@ -585,6 +593,7 @@ def normalise(raw: DataFrame, mapping: Mapping) -> Normalised:
                 "ended_at",
                 "status",
                 "error_type",
+                *marks,
             ],
         ),
         tool_calls=_renamed(
@@ -602,6 +611,7 @@ def normalise(raw: DataFrame, mapping: Mapping) -> Normalised:
                 "error_type",
                 "input_bytes",
                 "output_bytes",
+                *marks,
             ],
         ),
         rejects=rejects,
