@@ -33,23 +33,27 @@ def _constants(seed: int) -> tuple[int, np.ndarray]:
     return base, rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 
 
-@cache
-def _powers(seed: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _constants(seed)[0]
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(1 << bits, b & _MASK, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least; a worker keeps the longest."""
+    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
+        base = _constants(seed)[0]
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(n + n // 8, b & _MASK, np.uint64)
+            steps[0] = 1
+            out.append(np.cumprod(steps))
+        _POWERS[seed] = (out[0], out[1])
+    return _POWERS[seed]
 
 
 class Ranges:
     """Hashes of ranges of ``data`` (uint8) under one seed."""
 
     def __init__(self, data: np.ndarray, seed: int) -> None:
-        # Powers are kept for sizes in steps of two, so few sizes are ever made.
-        up, self._down = _powers(seed, max(10, len(data).bit_length()))
+        up, self._down = _powers(seed, len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
         terms = _constants(seed)[1][data]
         terms *= up[: len(data)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,14 @@ class Filter:
         self.bits = bits
         self.slots = np.zeros(1 << (bits - 6), np.uint64)
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        # Sent compressed: most bits of a filter are zero until it is nearly full.
+        return self.bits, zlib.compress(self.slots.tobytes(), 1)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.bits = state[0]
+        self.slots = np.frombuffer(zlib.decompress(state[1]), np.uint64)
+
     def has(self, key: np.ndarray) -> np.ndarray:
         found = np.ones(len(key), bool)
         for p in _probes(key, self.bits):

@@ -42,8 +42,8 @@ MAX_WORDS = 4
 MIN_COUNT = 30
 #: One of so many documents is in the sample.
 SAMPLE_OF = 16
-_PORTION = 1 << 22
-_HELD = 1 << 22  # occurrences combined at once
+_PORTION = 1 << 19
+_HELD = 1 << 20  # occurrences combined at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -90,7 +90,7 @@ class _Words:
             ends[:1] = False
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
-        if before and is_word[0] and not border[1]:
+        if before and is_word[:2].all() and not border[1]:
             self.end = self.end[1:]
         self.data = _LOWER[part]
         turn = border[:-1] | (kind == _BREAK)
@@ -229,11 +229,14 @@ def frequent(
             .where(F.col("n") >= min_count)
         )
         counted = cut_lineage(counted, f"{label}-counted")
+        if sent_before is not None:
+            sent_before.destroy()  # what needed it is written
         found.append(counted)
         failed = counted if known is None else counted.join(known, ["a", "b"], "left_anti")
         failed = cut_lineage(failed.select("a", "b"), f"{label}-failed")
         # Phrases of the full length have no longer ones that could be missing.
         if failed.where(_length() < MAX_WORDS).isEmpty():
+            sent.destroy()
             return reduce(DataFrame.union, found)
         known = failed if known is None else known.union(failed)
         now, before, sent_before = now.with_keys(failed.select("a")), now, sent
@@ -246,7 +249,9 @@ def _named(docs: DataFrame, keys: DataFrame, filter_bits: int, label: str) -> Da
     names = docs.mapInArrow(_namer(sent), "a long, b long, lang string, phrase string")
     one = names.groupBy("a", "b").agg(F.min(F.struct("lang", "phrase")).alias("name"))
     named = keys.join(one, ["a", "b"]).select("a", "b", "n", "name.lang", "name.phrase")
-    return cut_lineage(named, f"{label}-named")
+    named = cut_lineage(named, f"{label}-named")
+    sent.destroy()
+    return named
 
 
 def phrase_counts(
