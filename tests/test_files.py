@@ -19,6 +19,7 @@ from tracewell.operators.ancestry import detect_exports, resolve_ancestry, with_
 from tracewell.operators.ingest import Warehouse, ingest, total_report
 from tracewell.operators.profile import profile, sample_records
 from tracewell.plans.mapping import load_mapping
+from tracewell.sources import csv_scan
 from tracewell.sources.files import UnsupportedFormat, detect_format, file_fingerprints, list_files
 from tracewell.sources.lookup import read_prices
 from tracewell.sources.readers import read_any, read_csv, read_jsonl, read_parquet
@@ -107,42 +108,64 @@ CSV_CASES = {
 }
 
 
-def csv_by_hand(content):
-    """(index, record, fault) as the standard parser sees each record of well-read files."""
-    import csv
-    import io
-
-    text = content.decode()
-    try:
-        dialect = csv.Sniffer().sniff(text[:8192], delimiters=",;")
-    except csv.Error:
-        dialect = csv.excel
-    rows = csv.reader(io.StringIO(text), dialect, strict=True)
-    try:
-        names = next(rows)
-        out = [
-            (i, dict(zip(names, r)), False) if len(r) == len(names) else (i, None, True)
-            for i, r in enumerate(rows)
-        ]
-    except csv.Error:
-        return None
+def cells_of(text, cut):
+    """Records of a text, one character at a time; a record is None where it is malformed.
+
+    States: at the start of a cell, in a bare cell, in quotes, after a quote that may close.
+    """
+    out, record, cell, state = [], [], "", "start"
+    for c in text:
+        if state == "quoted":
+            if c == '"':
+                state = "closing"
+            else:
+                cell += c
+        elif state == "closing" and c == '"':
+            cell, state = cell + '"', "quoted"
+        elif c == cut:
+            record.append(cell)
+            cell, state = "", "start"
+        elif c == "\n":
+            blank = state == "start" and not record
+            out.append([] if blank else [*record, cell])
+            record, cell, state = [], "", "start"
+        elif state == "start" and c == '"':
+            state = "quoted"
+        else:
+            assert state != "closing", "not made by these tests"
+            cell, state = cell + c, "bare"
     return out
 
 
+def expected(text, cut):
+    """(index, record, fault) of every row below the header."""
+    names, *rows = cells_of(text, cut)
+    return [
+        (i, dict(zip(names, r)) if len(r) == len(names) else None, len(r) != len(names))
+        for i, r in enumerate(rows)
+    ]
+
+
+#: What each of the files above holds, row by row; None is a row with a fault.
+CSV_ROWS = {
+    "surplus text behind a quote": [None, None],
+    "literal quotes": [{'id': '1', 'x': '3" x', 'y': '4" y'}],
+    "blanks after delimiters": [{'id': '1', 'name': 'b'}, None, {'id': '2', 'name': 'q\nr'}],
+    "lone carriage returns": [None],
+    "malformed and unfinished quotes": [None, None],
+}
+
+
 @pytest.mark.parametrize("name", CSV_CASES)
 def test_csv_keeps_every_cell_and_row(spark, tmp_path, name):
     (tmp_path / "t.csv").write_bytes(CSV_CASES[name])
     got = [(i, p, e is not None) for i, p, e, _ in shown(read_csv(spark, [str(tmp_path)]))]
-    want = csv_by_hand(CSV_CASES[name])
-    if want is not None:
-        assert got == want
-    elif name.startswith("lone"):
-        assert got == [(0, None, True)]
-    else:  # a malformed row ends with its line, an unfinished one with its file
-        assert got == [(0, None, True), (1, None, True)]
+    assert got == [(i, row, row is None) for i, row in enumerate(CSV_ROWS[name])]
 
 
-def test_random_csv_over_many_splits(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [1 << 25, 0])
+def test_random_csv_over_many_splits(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(csv_scan, "BROADCAST_BYTES", broadcast)
     rng = random.Random(6)
     whole = {}
     for name, names, cut in (("a", "u,v,w", ","), ("b", "k;l", ";")):
@@ -154,17 +177,41 @@ def test_random_csv_over_many_splits(spark, tmp_path):
             )
             for _ in range(900)
         ]
-        whole[name] = ("\n".join(rows) + "\n").encode()
-        (tmp_path / f"{name}.csv").write_bytes(whole[name])
+        whole[name] = "\n".join(rows) + "\n", cut
+        (tmp_path / f"{name}.csv").write_bytes(whole[name][0].encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     try:
         raw = read_csv(spark, [str(tmp_path)])
-        for name, content in whole.items():
+        for name, (text, cut) in whole.items():
             own = raw.where(F.col("file_path").endswith(f"/{name}.csv"))
             got = [(i, p, e is not None) for i, p, e, _ in shown(own)]
-            assert got == csv_by_hand(content)
+            assert got == expected(text, cut)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
+
+
+def test_stray_quote_ends_in_one_error_record(spark, tmp_path, monkeypatch):
+    """The rest of the file is one record; no more of it than the limit is held or stitched."""
+    monkeypatch.setattr(csv_scan, "RECORD_CHARS", 2000)
+    rows = "".join(f"{i},x\n" for i in range(2000))
+    (tmp_path / "stray.csv").write_text('a,b\n1,2\n3,"open\n' + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        first, fault = shown(read_csv(spark, [str(tmp_path)]))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
+    assert first[:3] == (0, {"a": "1", "b": "2"}, None)
+    assert fault[:2] == (1, None) and "longer than 2000" in fault[2]
+
+
+def test_long_names_and_long_headers(spark, tmp_path):
+    """A name no payload can have refuses its file only; a header is read to its end."""
+    (tmp_path / "name.csv").write_text("a," + "n" * 60_000 + "\n1,2\n")
+    header = ",".join(f'"c{i}\n{"z" * 40}"' for i in range(9000))
+    (tmp_path / "header.csv").write_text(header + "\n" + ",".join(["1"] * 9000) + "\n")
+    rows = read_csv(spark, [str(tmp_path)]).select("file_path", "record_index", "parse_error")
+    got = {r.file_path.rsplit("/", 1)[1]: tuple(r)[1:] for r in rows.collect()}
+    assert got == {"name.csv": (0, csv_scan.LONG_HEADER), "header.csv": (0, None)}
 
 
 def test_parquet_and_any(spark, tmp_path):

@@ -6,28 +6,23 @@ per physical record, bad ones included, numbered from 0 inside their file.
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.cluster import configure, cut_lineage
 from tracewell.schemas import RAW_RECORD
+from tracewell.sources.csv_scan import BOM, scan_csv
 from tracewell.sources.files import detect_format, file_fingerprints, list_files, parquet_footers
 
-# Functions that run in Python workers travel with their code.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 COLUMNS = [f.name for f in RAW_RECORD.fields]
-BOM = "﻿"
+#: What a broadcast split table may weigh.
+BROADCAST_BYTES = 32 << 20
 # Texts of parse errors, and the fingerprint of no bytes at all.
 EMPTY_LINE = "empty JSONL line"
 INVALID_JSON = "invalid JSON"
 NOT_AN_OBJECT = "JSONL record must be an object"
-BAD_HEADER = "CSV header is missing or contains an empty name"
-REPEATED_HEADER = "CSV header contains duplicate names"
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -36,8 +31,8 @@ def number_rows(scan: DataFrame, **per_split: Column) -> tuple[DataFrame, DataFr
 
     A file is read as splits by many tasks. Rows are counted per split, the counts are added
     up along the file, and each row gets its split's offset plus its place in the split. The
-    split table has a row per 128 MB of input by default and is broadcast, so that the text
-    itself is never shuffled.
+    split table has a row per 128 MB of input by default. It is broadcast, so that the text
+    itself is never shuffled, if its measured bytes allow, and joined otherwise.
     Returns the numbered rows and the split table with the ``per_split`` aggregates.
     """
     tagged = scan.select(
@@ -56,7 +51,9 @@ def number_rows(scan: DataFrame, **per_split: Column) -> tuple[DataFrame, DataFr
         splits.withColumn("_before", F.sum("_rows").over(along) - F.col("_rows")), "splits"
     )
     starts = offsets.select("file_path", "_start", "_first", "_before")
-    joined = tagged.join(F.broadcast(starts), ["file_path", "_start"], "left")
+    weight = starts.agg(F.sum(F.length("file_path") + 64).alias("w")).first().w or 0
+    small = F.broadcast(starts) if weight <= BROADCAST_BYTES else starts
+    joined = tagged.join(small, ["file_path", "_start"], "left")
     # A row whose split is unknown means the files changed between the two reads.
     changed = F.raise_error(F.lit("input files changed while they were read"))
     index = F.coalesce(F.col("_before") + F.col("_id") - F.col("_first"), changed.cast("long"))
@@ -105,326 +102,22 @@ def read_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------------- CSV
 
-# A CSV record may reach over several lines, and whether a line begins inside quotes depends
-# on all lines before it. So each split is first summed up as a function of the state it begins
-# in: the state it ends in and the records that begin in it. Along a file these sums give each
-# split its state and first record number, and one parser then reads every split on its own.
-# The record that a split's edge cuts is put together from its pieces.
-
-_HEAD_CHARS = 1 << 16
-#: Fixed value: characters the dialect is guessed from.
-_SNIFFED = 8192
-_PIECE = "file_path string, start long, record_index long, sha string, body string, error string"
-
-
-def _split_rows(batches):
-    """``(file_path, start, [lines])`` of each split of a task, in order, in portions."""
-    for batch in batches:
-        table = batch.to_pydict()
-        at, paths, starts = 0, table["file_path"], table["start"]
-        for i in range(1, len(paths) + 1):
-            if i == len(paths) or (paths[i], starts[i]) != (paths[at], starts[at]):
-                yield paths[at], starts[at], table["line"][at:i]
-                at = i
-
-
-def _by_split(batches):
-    """Splits with an iterator over all their lines."""
-    import itertools
-
-    for key, portions in itertools.groupby(_split_rows(batches), key=lambda p: p[:2]):
-        yield *key, (line for portion in portions for line in portion[2])
-
-
-def _facts_of_splits(batches):
-    """What a split says about its file: encodings that fit, any text, the first characters."""
-    import pyarrow as pa
-
-    for path, start, lines in _by_split(batches):
-        utf8 = cp1252 = True
-        filled, head, held = False, [], 0
-        for line in lines:
-            if utf8:
-                try:
-                    line.decode("utf-8")
-                except UnicodeDecodeError:
-                    utf8 = False
-            if cp1252:
-                try:
-                    line.decode("cp1252")
-                except UnicodeDecodeError:
-                    cp1252 = False
-            filled = filled or bool(line.strip())
-            if start == 0 and held < 4 * _HEAD_CHARS:
-                head.append(line)
-                held += len(line) + 1
-        yield pa.RecordBatch.from_pydict(
-            {
-                "file_path": [path],
-                "start": pa.array([start], pa.int64()),
-                "utf8": [utf8],
-                "cp1252": [cp1252],
-                "filled": [filled],
-                "head": pa.array([b"\n".join(head) if start == 0 else None], pa.binary()),
-            }
-        )
-
-
-def _dialect_of(fact) -> dict:
-    """Encoding, dialect and header of a file, or the problem that makes it unreadable."""
-    import csv
-    import io
-
-    encoding = "utf-8" if fact.utf8 else "cp1252" if fact.cp1252 else "latin-1"
-    text = bytes(fact.head or b"").decode(encoding, "ignore").removeprefix(BOM)
-    try:
-        guess = csv.Sniffer().sniff(text[:_SNIFFED], delimiters=",;")
-    except csv.Error:
-        guess = csv.excel
-    options = {
-        "delimiter": guess.delimiter,
-        "quotechar": guess.quotechar,
-        "doublequote": bool(guess.doublequote),
-        "skipinitialspace": bool(guess.skipinitialspace),
-    }
-    found = {"encoding": encoding, "options": options, "names": None, "problem": None}
-    try:
-        names = next(csv.reader(io.StringIO(text), strict=True, **options), None)
-    except csv.Error as error:
-        return found | {"problem": f"invalid CSV: {error}"}
-    if not names or any(not n.strip() for n in names):
-        return found | {"problem": BAD_HEADER}
-    if len(set(names)) != len(names):
-        return found | {"problem": REPEATED_HEADER}
-    return found | {"names": names}
-
-
-def _ends_inside(line: str, inside: bool, options: dict) -> bool:
-    """Whether a line that begins in or outside quotes ends inside them.
-
-    After a quote that neither closes a cell nor is doubled the record is malformed; it ends
-    with its line.
-    """
-    quote, delimiter = options["quotechar"], options["delimiter"]
-    if not quote or quote not in line:
-        return inside
-    i = 0
-    while True:
-        if inside:
-            i = line.find(quote, i) + 1
-            if not i:
-                return True
-            if options["doublequote"] and line[i : i + 1] == quote:
-                i += 1
-                continue
-            inside = False
-            if line[i : i + 1] != delimiter:
-                return False
-            i += 1
-        while options["skipinitialspace"] and line[i : i + 1] == " ":
-            i += 1
-        if line[i : i + 1] == quote:
-            inside = True
-            i += 1
-        else:
-            i = line.find(delimiter, i) + 1
-            if not i:
-                return False
-
-
-def _text_lines(start: int, lines, encoding: str):
-    for i, line in enumerate(lines):
-        text = line.decode(encoding)
-        yield text.removeprefix(BOM) if start == 0 and i == 0 else text
-
-
-def _effects(files):
-    """Per split and state at its begin: the state at its end, and records that begin in it."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for path, start, lines in _by_split(batches):
-            fact = files.value.get(path)
-            if fact is None:
-                continue
-            states, begun = [False, True], [0, 0]
-            for text in _text_lines(start, lines, fact["encoding"]):
-                for k in (0, 1):
-                    begun[k] += not states[k]
-                    states[k] = _ends_inside(text, states[k], fact["options"])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "file_path": [path],
-                    "start": pa.array([start], pa.int64()),
-                    "ends": [states],
-                    "begun": pa.array([begun], pa.list_(pa.int64())),
-                }
-            )
-
-    return run
-
-
-def _parsed(text: str, fact: dict) -> tuple[str, str | None, str | None]:
-    """(fingerprint, JSON object, error) of one record's text."""
-    import csv
-    import hashlib
-    import io
-    import json
-
-    names = fact["names"]
-    try:
-        row = next(csv.reader(io.StringIO(text), strict=True, **fact["options"]), [])
-    except csv.Error as error:
-        return hashlib.sha256(text.encode()).hexdigest(), None, f"invalid CSV: {error}"
-    cells = json.dumps(row, ensure_ascii=False, separators=(",", ":"))
-    sha = hashlib.sha256(cells.encode()).hexdigest()
-    if len(row) != len(names):
-        return sha, None, f"CSV row has {len(row)} values but expected {len(names)}"
-    return sha, json.dumps(dict(zip(names, row)), ensure_ascii=False), None
-
-
-def _pieces_batch(rows):
-    import pyarrow as pa
-
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    names = [c.split()[0] for c in _PIECE.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(names)
-    arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def _records(files, begins):
-    """Records of each split; pieces of a record cut by an edge have no fingerprint.
-
-    A piece that ends a record begun earlier has no number either.
-    """
-
-    def run(batches):
-        for path, start, lines in _by_split(batches):
-            fact = files.value.get(path)
-            if fact is None:
-                continue
-            inside, number = begins.value[(path, start)]
-            index, held, rows = (None if inside else number), [], []
-            number -= 1
-            for text in _text_lines(start, lines, fact["encoding"]):
-                if not inside:
-                    number += 1
-                    index = number
-                held.append(text)
-                inside = _ends_inside(text, inside, fact["options"])
-                if not inside:
-                    whole = "\n".join(held)
-                    held = []
-                    if index is None:
-                        rows.append((path, start, None, None, whole, None))
-                    elif index > 0:  # the header is number 0
-                        sha, body, error = _parsed(whole, fact)
-                        rows.append((path, start, index - 1, sha, body, error))
-                    if len(rows) >= 4096:
-                        yield _pieces_batch(rows)
-                        rows = []
-            if held:
-                own = None if index is None else index - 1
-                rows.append((path, start, own, None, "\n".join(held), None))
-            yield _pieces_batch(rows)
-
-    return run
-
-
-def _stitched(files):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["record_index"] is not None and r["record_index"] >= 0:
-                    done = _parsed("\n".join(r["texts"]), files.value[r["file_path"]])
-                    rows.append((r["file_path"], 0, r["record_index"], *done))
-            yield _pieces_batch(rows)
-
-    return run
-
 
 def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """CSV with a header per file; all values are strings; a bad row is an error record.
 
     Every file has its own dialect, guessed from its first characters, and all files are read
     by the same three scans of their splits, whatever their headers. Blank lines are rows
-    without values and keep their number. What reaches the driver is a row per file with the
-    file's first characters, and a row per split (128 MB of input by default).
+    without values and keep their number. Files and splits are tables, never driver lists.
     """
     configure(spark)
-    scan = (
-        spark.read.option("lineSep", "\n")
-        .text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.col("value").cast("binary").alias("line"),
-        )
-    )
-    facts = (
-        scan.mapInArrow(
-            _facts_of_splits,
-            "file_path string, start long, utf8 boolean, cp1252 boolean, filled boolean, "
-            "head binary",
-        )
-        .groupBy("file_path")
-        .agg(
-            F.bool_and("utf8").alias("utf8"),
-            F.bool_and("cp1252").alias("cp1252"),
-            F.bool_or("filled").alias("filled"),
-            F.max("head").alias("head"),
-        )
-        .where("filled")
-        .collect()
-    )
-    files = {f.file_path: _dialect_of(f) for f in facts}
-    refused = [(p, f["problem"]) for p, f in files.items() if f["problem"]]
-    good = {p: f for p, f in files.items() if not f["problem"]}
-    parts = []
-    if good:
-        sent = spark.sparkContext.broadcast(good)
-        effects = scan.mapInArrow(
-            _effects(sent),
-            "file_path string, start long, ends array<boolean>, begun array<long>",
-        ).collect()
-        begins, path, inside, number = {}, None, False, 0
-        for e in sorted(effects, key=lambda e: (e.file_path, e.start)):
-            if e.file_path != path:
-                path, inside, number = e.file_path, False, 0
-            begins[(path, e.start)] = (inside, number)
-            number += e.begun[inside]
-            inside = e.ends[inside]
-        records = scan.mapInArrow(_records(sent, spark.sparkContext.broadcast(begins)), _PIECE)
-        whole = records.where("sha IS NOT NULL")
-        before = Window.partitionBy("file_path").orderBy("start", F.col("record_index").isNotNull())
-        cut = (
-            records.where("sha IS NULL")
-            .withColumn("record_index", F.last("record_index", ignorenulls=True).over(before))
-            .groupBy("file_path", "record_index")
-            .agg(F.sort_array(F.collect_list(F.struct("start", "body")))["body"].alias("texts"))
-        )
-        for part in (whole, cut.mapInArrow(_stitched(sent), _PIECE)):
-            parts.append(
-                part.select(
-                    "file_path",
-                    "record_index",
-                    F.col("sha").alias("record_sha256"),
-                    F.parse_json("body").alias("payload"),
-                    F.col("error").alias("parse_error"),
-                )
-            )
-    if refused:
-        parts.append(_refused(spark, refused))
-    return _union(spark, parts)
+    records, refused = scan_csv(spark, paths)
+    return _union(spark, [records, _refused(refused)])
 
 
-def _refused(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """One error record for each file that cannot be read as a whole."""
-    listed = spark.createDataFrame(files, "file_path string, parse_error string")
-    return file_fingerprints(listed).select(
+def _refused(files: DataFrame) -> DataFrame:
+    """One error record for each file (``file_path, parse_error``) that cannot be read."""
+    return file_fingerprints(files).select(
         "file_path",
         F.lit(0).cast("long").alias("record_index"),
         F.col("file_sha256").alias("record_sha256"),
