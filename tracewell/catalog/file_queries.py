@@ -15,7 +15,7 @@ from tracewell.catalog.bindings import STAR_PRICING_SQL, star_pricing, table
 from tracewell.catalog.conversation_binding import DOCUMENT, TURN_SQL, turn_line
 from tracewell.catalog.registry import query
 from tracewell.cluster import scratch_path
-from tracewell.operators.ingest import Warehouse, ingest, total_report
+from tracewell.operators.ingest import TABLES, Warehouse, ingest, total_report
 from tracewell.operators.profile import profile
 from tracewell.operators.store import export_jsonl
 from tracewell.plans.mapping import Mapping, load_mapping
@@ -27,9 +27,11 @@ from tracewell.streaming.ingest import ingest_stream
 # ----------------------------------------------------------------------- scans
 
 
-def delivered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def delivered_lines(
+    spark: SparkSession, sf_dir: str, some: DataFrame | None = None
+) -> DataFrame:
     """A JSON line per turn: system turns are cut off, short user turns are blank lines."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations") if some is None else some
     line = turn_line()
     damaged = (
         F.when(F.col("role") == "system", F.substring(line, F.lit(1), F.length(line) - 1))
@@ -328,6 +330,64 @@ def k5_repeated_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _calls_of(spark: SparkSession, sf_dir: str, part: int) -> DataFrame:
+    """A model call per turn of every fourth conversation."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("conv_id") % 4 == part)
+    own = turns.select(
+        F.lit("talks").alias("source_name"),
+        F.concat(F.lit("c"), "conv_id").alias("external_id"),
+        F.col("turn").cast("long").alias("sequence"),
+    )
+    missing = [
+        F.lit(None).cast(f.dataType).alias(f.name)
+        for f in TABLES["model_call"].fields
+        if f.name not in own.columns
+    ]
+    return own.select("*", *missing)
+
+
+@query(
+    "k1_rows_of_a_batch",
+    """SELECT step, 'c' || conv_id AS external_id, CAST(turn AS BIGINT) AS sequence
+FROM conversations, (VALUES ('before'), ('after')) AS s(step) WHERE conv_id % 4 = 1""",
+)
+def k1_rows_of_a_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four imports with a quarter of the sessions each: the stored rows that a batch of one
+    quarter's sessions has to be compared with, before and after the imports are compacted."""
+    store = Warehouse(spark, scratch_path(spark, "members"))
+    for part in range(4):
+        facts = [("model_call", _calls_of(spark, sf_dir, part))]
+        store.append("model_call", facts[0][1], f"import-{part}")
+        store.index_sessions(facts, f"import-{part}")
+        store.commit(f"import-{part}")
+    columns = ["external_id", "sequence"]
+    found = []
+    for step in ("before", "after"):
+        rows = store.rows_of_sessions("model_call", _calls_of(spark, sf_dir, 1))
+        found.append(rows.select(F.lit(step).alias("step"), *columns))
+        store.compact()
+    return found[0].union(found[1])
+
+
+@query(
+    "k4_compacted_rows",
+    """SELECT 'c' || conv_id AS external_id, CAST(count(*) AS BIGINT) AS n, 1::BIGINT AS imports
+FROM conversations GROUP BY 1""",
+)
+def k4_compacted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows once, in one import, after a compaction beside an unfinished import."""
+    store = Warehouse(spark, scratch_path(spark, "compacted"))
+    for part in range(4):
+        store.append("model_call", _calls_of(spark, sf_dir, part), f"import-{part}")
+        store.commit(f"import-{part}")
+    store.append("model_call", _calls_of(spark, sf_dir, 0), "unfinished")
+    store.compact()
+    per_session = store.table("model_call").groupBy("external_id").agg(F.count("*").alias("n"))
+    return per_session.withColumn(
+        "imports", store.commits().agg(F.count("*").alias("imports")).scalar()
+    )
+
+
 @query("k6_reject_sink", f"WITH {_IMPORT_SQL}\nSELECT reason_code, count(*) AS n FROM bad GROUP BY 1")
 def k6_reject_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, (first,) = deliveries(spark, sf_dir, "first")
@@ -410,6 +470,31 @@ def s9_second_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("record_count", "imported_count", "duplicate_count", "rejected_count")
 
 
+@query(
+    "m16_sequence_over_files",
+    f"""WITH {_IMPORT_SQL}
+SELECT sid AS external_id, count(*) AS n, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last,
+  count(*) AS numbers FROM made_part GROUP BY 1""",
+)
+def m16_sequence_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions split over two files, imported one after the other: one gapless sequence."""
+    store = Warehouse(spark, scratch_path(spark, "split-sessions"))
+    turns = table(spark, sf_dir, "conversations")
+    for parity in (0, 1):
+        lines = delivered_lines(spark, sf_dir, turns.where(F.col("turn") % 2 == parity))
+        path = _written(lines, f"turns-{parity}")
+        ingest(
+            spark, [path], load_mapping(DOCUMENT), store, "minimal", imported_at=_DAY,
+            file_format="jsonl", sequence_scope="table",
+        )
+    return store.table("tool_call").groupBy("external_id").agg(
+        F.count("*").alias("n"),
+        F.min("sequence").alias("first"),
+        F.max("sequence").alias("last"),
+        F.count_distinct("sequence").alias("numbers"),
+    )
+
+
 @query("stream_ingest", f"WITH {_IMPORT_SQL}\nSELECT count(*) AS n FROM made_call")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same delivery arriving as a stream of files."""
