@@ -43,7 +43,8 @@ MIN_COUNT = 30
 #: One of so many documents is in the sample.
 SAMPLE_OF = 16
 _PORTION = 1 << 19
-_HELD = 1 << 20  # occurrences combined at once
+_HELD = 1 << 21  # occurrences combined at once
+_SENT = 1 << 16  # rows handed to Spark at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -148,7 +149,7 @@ def _candidates(words: _Words, k: int, now: Filter | None, before: Filter | None
     return at[now.has(parts[at + 1])]
 
 
-def _combined(a: list, b: list) -> pa.RecordBatch:
+def _combined(a: list, b: list) -> Iterator[pa.RecordBatch]:
     first, second = np.concatenate(a), np.concatenate(b)
     order = np.argsort(first)
     first, second = first[order], second[order]
@@ -156,10 +157,12 @@ def _combined(a: list, b: list) -> pa.RecordBatch:
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(first)))
-    return pa.RecordBatch.from_arrays(
+    rows = pa.RecordBatch.from_arrays(
         [pa.array(first[at].view(np.int64)), pa.array(second[at]), pa.array(n)],
         names=["a", "b", "n"],
     )
+    for i in range(0, len(rows), _SENT):
+        yield rows.slice(i, _SENT)
 
 
 def _counter(now, before) -> Callable:
@@ -175,10 +178,10 @@ def _counter(now, before) -> Callable:
                     b.append(words.second(k)[at])
                     held += len(at)
                 if held >= _HELD:
-                    yield _combined(a, b)
+                    yield from _combined(a, b)
                     a, b, held = [], [], 0
         if held:
-            yield _combined(a, b)
+            yield from _combined(a, b)
 
     return run
 
