@@ -23,15 +23,15 @@ scored like others; columns of the input named like a result are replaced.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import BROADCAST_BYTES, cut_lineage, maybe_broadcast, received, send
+from tracewell.llm.shared import BROADCAST_BYTES, cut_lineage, received, send
 
 ORDER = 5
 #: Documents above this quantile of their language's trusted perplexities are rejected.
@@ -93,100 +93,135 @@ def _count(order: int):
     return run
 
 
+def _gram_parts(docs: DataFrame, order: int) -> DataFrame:
+    """``lang, g, raw`` with a row per task at least; sums are left to the caller."""
+    return docs.select("lang", "text").mapInArrow(_count(order), "lang string, g string, raw long")
+
+
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang, g, raw``: how often each n-gram of the highest order occurs in ``docs``."""
-    text = docs.select("lang", "text")
-    return (
-        text.mapInArrow(_count(order), "lang string, g string, raw long")
-        .groupBy("lang", "g")
-        .agg(F.sum("raw").alias("raw"))
-    )
+    return _gram_parts(docs, order).groupBy("lang", "g").agg(F.sum("raw").alias("raw"))
 
 
-def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",)) -> DataFrame:
     """``lang, k, g, logp, backoff`` of all n-grams of order ``k = 0 .. order``.
 
     ``logp`` is the interpolated log-probability of the last character of ``g`` after the
     others; ``backoff`` the log-weight that the shorter context gets after ``g``, where ``g``
     was seen as a context. Order 0 is the uniform distribution over seen characters and one.
+    All ``models`` are trained by the same joins: model ``m`` reads its counts from ``raw<m>``,
+    and its values, NULL for what it has not seen, are ``logp<m>`` and ``backoff<m>``.
     """
-    level = counts.select("lang", "g", "raw", F.col("raw").alias("adj"))
+
+    def each(build):
+        return [build(m) for m in models]
+
+    level = counts.select("lang", "g", *each(lambda m: F.col(f"raw{m}"))).select(
+        "*", *each(lambda m: F.col(f"raw{m}").alias(f"adj{m}"))
+    )
     levels = {order: level}
     for k in range(order - 1, 0, -1):
         # A gram's adjusted count is the number of different characters before it; one that
         # begins at the start of a word has no other context and keeps its raw count.
-        shorter = level.withColumn("g", F.substring("g", 2, k)).groupBy("lang", "g").agg(
-            F.sum("raw").alias("raw"), F.count("*").alias("types")
-        )
-        level = shorter.select(
-            "lang",
-            "g",
-            "raw",
-            F.when(F.col("g").startswith(START), F.col("raw"))
-            .otherwise(F.col("types"))
-            .alias("adj"),
+        shorter = (
+            level.withColumn("g", F.substring("g", 2, k))
+            .groupBy("lang", "g")
+            .agg(
+                *each(lambda m: F.sum(f"raw{m}").alias(f"raw{m}")),
+                *each(lambda m: F.sum((F.col(f"raw{m}") > 0).cast("long")).alias(f"types{m}")),
+            )
         )
+        first = F.col("g").startswith(START)
+
+        def adjusted(m):
+            return F.when(first, F.col(f"raw{m}")).otherwise(F.col(f"types{m}")).alias(f"adj{m}")
+
+        level = shorter.select("lang", "g", *each(lambda m: F.col(f"raw{m}")), *each(adjusted))
         level = cut_lineage(level, f"kn-counts-{k}")
         levels[k] = level
-    uniform = (
-        levels[1]
-        .groupBy("lang")
-        .agg((-F.log(F.count("*") + 1.0)).alias("logp"))
-        .select("lang", F.lit("").alias("g"), "logp")
+
+    def uniform_of(m):
+        # A model that has read nothing has no distribution at all.
+        seen = F.sum((F.col(f"adj{m}") > 0).cast("long"))
+        return F.when(seen > 0, -F.log(seen + 1.0)).alias(f"logp{m}")
+
+    below = (
+        levels[1].groupBy("lang").agg(*each(uniform_of)).withColumn("g", F.lit(""))
     )
-    known = [uniform.select("lang", F.lit(0).alias("k"), "g", "logp")]
+    logps = [f"logp{m}" for m in models]
+    known = [below.select("lang", F.lit(0).alias("k"), "g", *logps)]
     weights = []
-    below = uniform
     for k in range(1, order + 1):
         own = levels[k].select(
-            "lang", "g", "adj", F.expr("left(g, length(g) - 1)").alias("h")
+            "lang", "g", F.expr("left(g, length(g) - 1)").alias("h"), *each(lambda m: F.col(f"adj{m}"))
         )
         kinds = own.groupBy("lang").agg(
-            *[F.sum((F.col("adj") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+            *[
+                F.sum((F.col(f"adj{m}") == i).cast("double")).alias(f"n{i}{m}")
+                for i in (1, 2, 3, 4)
+                for m in models
+            ]
         )
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
-        def discount(i: int):
+        def discount(i: int, m: str):
             # Closed form; with too few counts of counts, half of the count's rank.
-            exact = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-            usable = (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & (F.col("n1") > 0)
+            n1, now, more = F.col(f"n1{m}"), F.col(f"n{i}{m}"), F.col(f"n{i + 1}{m}")
+            exact = i - (i + 1) * (n1 / (n1 + 2 * F.col(f"n2{m}"))) * more / now
+            usable = (now > 0) & (more > 0) & (n1 > 0)
             return F.greatest(
                 F.lit(0.05), F.least(F.lit(i - 0.05), F.when(usable, exact).otherwise(i * 0.5))
-            )
+            ).alias(f"d{i}{m}")
+
+        rates = kinds.select(
+            F.col("lang").alias("lang1"), *[discount(i, m) for i in (1, 2, 3) for m in models]
+        )
+
+        def cut(m: str):
+            adj = F.col(f"adj{m}")
+            rate = F.when(adj == 1, F.col(f"d1{m}")).when(adj == 2, F.col(f"d2{m}"))
+            return F.when(adj > 0, rate.otherwise(F.col(f"d3{m}"))).otherwise(0.0).alias(f"d{m}")
 
-        rates = kinds.select(F.col("lang").alias("lang1"), *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-        cut = F.when(F.col("adj") == 1, F.col("d1")).when(F.col("adj") == 2, F.col("d2"))
         own = own.join(F.broadcast(rates), F.col("lang").eqNullSafe(F.col("lang1"))).select(
-            "lang", "g", "h", "adj", cut.otherwise(F.col("d3")).alias("d")
+            "lang", "g", "h", *each(lambda m: F.col(f"adj{m}")), *each(cut)
         )
         contexts = own.groupBy("lang", "h").agg(
-            F.sum("adj").alias("total"), F.sum("d").alias("freed")
+            *each(lambda m: F.sum(f"adj{m}").alias(f"total{m}")),
+            *each(lambda m: F.sum(f"d{m}").alias(f"freed{m}")),
         )
         shorter = below.select(
-            F.col("lang").alias("lang2"), F.col("g").alias("g2"), F.col("logp").alias("logp2")
+            F.col("lang").alias("lang2"),
+            F.col("g").alias("g2"),
+            *each(lambda m: F.col(f"logp{m}").alias(f"low{m}")),
         )
         rejoined = contexts.withColumnsRenamed({"lang": "lang3", "h": "h3"})
+
+        def logp(m: str):
+            total = F.col(f"total{m}")
+            value = F.log(
+                (F.col(f"adj{m}") - F.col(f"d{m}")) / total
+                + F.col(f"freed{m}") / total * F.exp(f"low{m}")
+            )
+            return F.when(F.col(f"adj{m}") > 0, value).alias(f"logp{m}")
+
         scored = (
             own.withColumn("s", F.substring("g", 2, k))
             .join(rejoined, F.col("lang").eqNullSafe(F.col("lang3")) & (F.col("h") == F.col("h3")))
             .join(shorter, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("s") == F.col("g2")))
-            .select(
-                "lang",
-                "g",
-                F.log(
-                    (F.col("adj") - F.col("d")) / F.col("total")
-                    + F.col("freed") / F.col("total") * F.exp("logp2")
-                ).alias("logp"),
-            )
+            .select("lang", "g", *each(logp))
         )
         below = cut_lineage(scored, f"kn-order-{k}")
-        known.append(below.select("lang", F.lit(k).alias("k"), "g", "logp"))
+        known.append(below.select("lang", F.lit(k).alias("k"), "g", *logps))
+
+        def weight(m: str):
+            total = F.col(f"total{m}")
+            return F.when(total > 0, F.log(F.col(f"freed{m}") / total)).alias(f"backoff{m}")
+
         weights.append(
             contexts.select(
                 F.col("lang").alias("lang4"),
                 F.lit(k - 1).alias("k4"),
                 F.col("h").alias("g4"),
-                F.log(F.col("freed") / F.col("total")).alias("backoff"),
+                *each(weight),
             )
         )
     grams, backoffs = known[0], weights[0]
@@ -206,8 +241,8 @@ def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
         F.when(F.col("g").isNull(), F.col("lang4")).otherwise(F.col("lang")).alias("lang"),
         F.coalesce("k", "k4").alias("k"),
         F.coalesce("g", "g4").alias("g"),
-        "logp",
-        "backoff",
+        *logps,
+        *each(lambda m: F.col(f"backoff{m}")),
     )
 
 
@@ -218,16 +253,18 @@ class Model:
     """Sorted tables of one language; an n-gram's number is its place in its order's table.
 
     The key of a gram is the number of the gram before its last character, and that character,
-    so no hashing and no alphabet limit is involved.
+    so no hashing and no alphabet limit is involved. The tables hold the values of all ``names``;
+    what one of these models has not seen is NaN there.
     """
 
-    def __init__(self, rows: pd.DataFrame, order: int) -> None:
+    def __init__(self, rows: pd.DataFrame, order: int, names: Sequence[str] = ("",)) -> None:
         self.order = order
         base = rows[rows.k == 0].iloc[0]
-        self.uniform, self.free = base.logp, base.backoff
+        self.uniform = {m: base[f"logp{m}"] for m in names}
+        self.free = {m: base[f"backoff{m}"] for m in names}
         self.keys: list[np.ndarray] = []
-        self.logp: list[np.ndarray] = []
-        self.backoff: list[np.ndarray] = []
+        self.logp: list[dict[str, np.ndarray]] = []
+        self.backoff: list[dict[str, np.ndarray]] = []
         numbers = {"": 0}
         for k in range(1, order + 1):
             own = rows[rows.k == k]
@@ -237,52 +274,54 @@ class Model:
             by = np.argsort(keys)
             grams = own.g.to_numpy()[by]
             self.keys.append(keys[by])
-            self.logp.append(own.logp.to_numpy(np.float64)[by])
-            self.backoff.append(own.backoff.to_numpy(np.float64)[by])
+            self.logp.append({m: own[f"logp{m}"].to_numpy(np.float64)[by] for m in names})
+            self.backoff.append({m: own[f"backoff{m}"].to_numpy(np.float64)[by] for m in names})
             numbers = {g: i for i, g in enumerate(grams)}
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability and number of predicted characters of each word."""
+    def score(self, words: list[str], names: Sequence[str] = ("",)) -> tuple[list, np.ndarray]:
+        """Log-probabilities of each word, an array per name, and its predicted characters."""
         if not words:
-            return np.empty(0), np.empty(0, np.int64)
+            return [np.empty(0) for _ in names], np.empty(0, np.int64)
         n = np.array([len(w) + 1 for w in words], np.int64)
         text = "".join(padded(w, self.order) for w in words)
         chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-        total = np.full(len(chars), self.uniform)
+        totals = [np.full(len(chars), self.uniform[m]) for m in names]
         context = np.zeros(len(chars), np.int64)  # number of the gram before each character
         for k in range(1, self.order + 1):
-            keys, logp, backoff = self.keys[k - 1], self.logp[k - 1], self.backoff[k - 1]
+            keys = self.keys[k - 1]
             wanted = (context << 21) | chars
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             found = (keys[at] == wanted) & (context >= 0)
-            weight = (
-                np.full(len(chars), self.free)
-                if k == 1
-                else np.where(context >= 0, self.backoff[k - 2][context], np.nan)
-            )
-            seen = found & ~np.isnan(logp[at])
-            total = np.where(seen, logp[at], total + np.nan_to_num(weight, nan=0.0))
-            own = np.where(found, at, -1)
-            context = np.concatenate([[-1], own[:-1]])
-        width = n + self.order - 1
-        ends = np.cumsum(width)
-        sums = np.concatenate([[0.0], np.cumsum(total)])
-        return sums[ends] - sums[ends - n], n
+            for i, m in enumerate(names):
+                weight = (
+                    np.full(len(chars), self.free[m])
+                    if k == 1
+                    else np.where(context >= 0, self.backoff[k - 2][m][context], np.nan)
+                )
+                own = self.logp[k - 1][m][at]
+                lower = totals[i] + np.nan_to_num(weight, nan=0.0)
+                totals[i] = np.where(found & ~np.isnan(own), own, lower)
+            context = np.concatenate([[-1], np.where(found, at, -1)[:-1]])
+        ends = np.cumsum(n + self.order - 1)
+        sums = [np.concatenate([[0.0], np.cumsum(total)]) for total in totals]
+        return [s[ends] - s[ends - n] for s in sums], n
 
 
-def _scorer(sent):
+def _scorer(sent, names: Sequence[Sequence[str]]):
+    """``chars`` of each text, and its loss under each model of its fold: ``nll``, ``nll1``..."""
     held: list[dict] = []
+    losses = _losses(names)
 
-    @F.pandas_udf("nll double, chars long")
-    def run(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(", ".join(f"{n} double" for n in losses) + ", chars long")
+    def run(langs: pd.Series, folds: pd.Series, texts: pd.Series) -> pd.DataFrame:
         if not held:
             held.append(received(sent))
         models = held[0]
-        nll, chars = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
-        rows: dict[str | None, list[int]] = {}
-        for i, lang in enumerate(langs):
-            rows.setdefault(lang, []).append(i)
-        for lang, own in rows.items():
+        nll, chars = np.full((len(losses), len(texts)), np.nan), np.zeros(len(texts), np.int64)
+        rows: dict[tuple[str | None, int], list[int]] = {}
+        for i, key in enumerate(zip(langs, folds)):
+            rows.setdefault(key, []).append(i)
+        for (lang, fold), own in rows.items():
             if lang not in models:
                 continue
             number: dict[str, int] = {}
@@ -291,19 +330,28 @@ def _scorer(sent):
                 words = (texts.iat[i] or "").split()
                 waiting.append((i, [number.setdefault(w, len(number)) for w in words]))
                 if len(number) >= _AT_ONCE or i == own[-1]:
-                    logs, sizes = models[lang].score(list(number))
+                    logs, sizes = models[lang].score(list(number), names[fold])
                     for k, used in waiting:
                         if used:
-                            nll[k], chars[k] = -logs[used].sum(), sizes[used].sum()
+                            nll[:, k] = [-own_logs[used].sum() for own_logs in logs]
+                            chars[k] = sizes[used].sum()
                     number, waiting = {}, []
-        return pd.DataFrame({"nll": nll, "chars": chars})
+        # A model that has read nothing gives no loss, and so no verdict.
+        chars[np.isnan(nll[0])] = 0
+        return pd.DataFrame({**dict(zip(losses, nll)), "chars": chars})
 
     return run
 
 
-def _rounds(model: DataFrame, bound: int) -> tuple[list[list[str | None]], list[str | None]]:
+def _losses(names: Sequence[Sequence[str]]) -> list[str]:
+    return [f"nll{i or ''}" for i in range(len(names[0]))]
+
+
+def _rounds(
+    model: DataFrame, bound: int, row_bytes: int
+) -> tuple[list[list[str | None]], list[str | None]]:
     """Languages whose models fit the bound together, and those too large for it alone."""
-    sizes = [(r["count"] * _MODEL_ROW_BYTES, r["lang"]) for r in model.groupBy("lang").count().collect()]
+    sizes = [(r["count"] * row_bytes, r["lang"]) for r in model.groupBy("lang").count().collect()]
     rounds: list[list[str | None]] = []
     room = 0
     for size, lang in sorted(sizes, key=lambda x: (x[0], x[1] or "")):
@@ -396,47 +444,83 @@ _BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def scored(
-    docs: DataFrame, model: DataFrame, order: int = ORDER, bound: int = BROADCAST_BYTES
+    docs: DataFrame,
+    model: DataFrame,
+    order: int = ORDER,
+    bound: int = BROADCAST_BYTES,
+    names: Sequence[Sequence[str]] = (("",),),
+    fold: Column | None = None,
 ) -> DataFrame:
-    """``docs`` with ``_s``: the negative log-likelihood ``nll`` and characters ``chars``."""
+    """``docs`` with ``_s``: the negative log-likelihood ``nll`` and characters ``chars``.
+
+    A document of ``fold`` f is scored at once by all models ``names[f]`` of its language, the
+    later ones as ``nll1``, ``nll2`` and so on.
+    """
     spark = docs.sparkSession
-    rounds, large = _rounds(model, bound)
+    every = sorted({m for own in names for m in own})
+    fold = F.lit(0) if fold is None else fold
+    rounds, large = _rounds(model, bound, _MODEL_ROW_BYTES + 16 * (len(every) - 1))
+    losses = _losses(names)
     parts = []
     for langs in rounds:
         models = {}
         for lang in langs:  # one by one: the driver holds the rows of a single language
             rows = model.where(_of_langs(model, [lang])).drop("lang")
-            models[lang] = Model(rows.toArrow().to_pandas(), order)
-        run = _scorer(send(spark, models))
+            models[lang] = Model(rows.toArrow().to_pandas(), order, every)
+        run = _scorer(send(spark, models), names)
         own = docs.where(_of_langs(docs, langs))
-        parts.append(own.withColumn("_s", run("lang", "text")))
+        parts.append(own.withColumn("_s", run("lang", fold.cast("int"), "text")))
     for lang in large:
-        own = docs.where(_of_langs(docs, [lang]))
-        parts.append(_by_joins(own, model.where(_of_langs(model, [lang])), order))
+        mine = docs.where(_of_langs(docs, [lang]))
+        grams = model.where(_of_langs(model, [lang]))
+        for f, used in enumerate(names):
+            own, done = mine.where(fold == f), []
+            for i, m in enumerate(used):
+                seen = grams.select(
+                    "lang", "k", "g", F.col(f"logp{m}").alias("logp"), F.col(f"backoff{m}").alias("backoff")
+                )
+                own = _by_joins(own, seen.where("logp IS NOT NULL OR backoff IS NOT NULL"), order)
+                own = own.withColumnRenamed("_s", f"_s{i}")
+                done.append(F.col(f"_s{i}.nll").alias(losses[i]))
+            own = own.withColumn("_s", F.struct(*done, F.col("_s0.chars").alias("chars")))
+            parts.append(own.select(*docs.columns, "_s"))
     known = [lang for langs in rounds for lang in langs] + large
     rest = docs.where(~_of_langs(docs, known))
-    every = rest.withColumn("_s", F.lit(None).cast("struct<nll: double, chars: bigint>"))
+    empty = ", ".join(f"{n}: double" for n in losses)
+    whole = rest.withColumn("_s", F.lit(None).cast(f"struct<{empty}, chars: bigint>"))
     for p in parts:
-        every = every.unionByName(p)
-    return every
+        whole = whole.unionByName(p)
+    return whole
+
 
+#: Models of the trusted text alone, and of trusted and rejected text together.
+GOOD, BOTH = "g", "b"
 
-def _tag(fold, lang):
-    """Name of the model for the documents of a fold and language; NULL is a language too."""
-    return F.concat(fold.cast("string"), F.coalesce(F.concat(F.lit("="), lang), F.lit("")))
 
+def held_out(parts: DataFrame, folds: int, kinds: Sequence[str]) -> DataFrame:
+    """``lang, g`` and for the model of each kind and fold the count in the other folds.
 
-def held_out(counts: DataFrame, folds: int) -> DataFrame:
-    """For the model of each fold, the counts of the other folds; ``lang`` is a ``_tag``."""
-    fold = F.substring_index("lang", "=", 1)
-    others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), fold.cast("int"))
-    rest = F.expr("substring(lang, length(substring_index(lang, '=', 1)) + 1)")
-    return (
-        counts.select(F.explode(others).alias("_fold"), rest.alias("_rest"), "g", "raw")
-        .groupBy(F.concat(F.col("_fold").cast("string"), "_rest").alias("lang"), "g")
-        .agg(F.sum("raw").alias("raw"))
+    ``lang`` of ``parts`` is the mark of trusted (``GOOD``) or rejected text, the fold in one
+    digit, and ``=`` and the language unless that is NULL. Trusted text is read by the models of
+    all kinds, rejected text by ``BOTH``.
+    """
+    split = parts.select(
+        F.substring("lang", 1, 1).alias("_of"),
+        F.substring("lang", 2, 1).cast("int").alias("_fold"),
+        F.when(F.length("lang") > 2, F.expr("substring(lang, 4)")).alias("lang"),
+        "g",
+        "raw",
     )
 
+    def count(kind: str, f: int):
+        read = (F.col("_fold") != f) & (F.lit(kind == BOTH) | (F.col("_of") == GOOD))
+        return F.sum(F.when(read, F.col("raw")).otherwise(0)).alias(f"raw_{kind}{f}")
+
+    return split.groupBy("lang", "g").agg(*[count(k, f) for k in kinds for f in range(folds)])
+
+
+_RESULTS = ("trusted", "n_scored", "log_perplexity", "threshold", "kept", "suspect")
+
 
 def judged(
     docs: DataFrame,
@@ -457,63 +541,89 @@ def judged(
     Both are held against the trusted documents. ``suspect`` is the verdict to act on.
 
     ``docs`` needs ``doc_id``, ``lang`` and ``text``; ``trusted`` holds the ids of the trusted
-    documents in its column ``doc_id``. Without ``keep_text`` the text is left out.
+    documents in its column ``doc_id``. Without ``keep_text`` the text is left out. Columns of
+    ``docs`` named like a result are replaced, all others pass through whatever their names.
     """
-    results = ("trusted", "n_scored", "log_perplexity", "threshold", "kept", "suspect", "_s", "_lang")
-    own = docs.drop(*results)
-    passed = [c for c in own.columns if keep_text or c != "text"]
-    ids = cut_lineage(
-        trusted.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL").distinct(), "kn-ids"
+    passed = [c for c in docs.columns if c not in _RESULTS and (keep_text or c != "text")]
+    rows, places = _judged(
+        docs, passed, trusted, doc_id, order, quantile, suspect_quantile, folds, rejected
     )
-    ids = maybe_broadcast(ids, 16)
-    fold = F.pmod(F.xxhash64(doc_id), F.lit(folds))
-    tagged = own.withColumn("_lang", F.col("lang")).withColumn("lang", _tag(fold, F.col("lang")))
-
-    def counts_of(taught: DataFrame, label: str) -> DataFrame:
-        text = tagged.join(taught, F.col(doc_id) == F.col("_id"), "left_semi")
-        return cut_lineage(gram_counts(text, order), f"kn-{label}-counts")
+    return rows.select(*[F.col(p).alias(c) for p, c in zip(places, passed)], *_RESULTS)
 
-    def model_of(counts: DataFrame, label: str) -> DataFrame:
-        counts = cut_lineage(held_out(counts, folds), f"kn-{label}-others")
-        return cut_lineage(train(counts, order), f"kn-{label}-model")
 
-    counts = counts_of(ids, "good")
-    rows = scored(tagged, model_of(counts, "good"), order).withColumnRenamed("_s", "_good")
-    if rejected is None:
-        rows = rows.withColumn("_both", F.col("_good"))
-    else:
+def _judged(
+    docs: DataFrame,
+    passed: Sequence[str],
+    trusted: DataFrame,
+    doc_id: str,
+    order: int,
+    quantile: float,
+    suspect_quantile: float,
+    folds: int,
+    rejected: DataFrame | None,
+) -> tuple[DataFrame, list[str]]:
+    """The verdicts beside the columns ``passed``, and the names those go by meanwhile."""
+    places = [f"c{i}" for i in range(len(passed))]
+    kinds = [GOOD] if rejected is None else [GOOD, BOTH]
+    ids = cut_lineage(
+        trusted.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL").distinct(), "kn-ids"
+    )
+    taught = ids.withColumn("_kind", F.lit(GOOD))
+    if rejected is not None:
         bad = rejected.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL")
-        bad = cut_lineage(bad.join(ids, "_id", "left_anti").distinct(), "kn-bad-ids")
-        counts = counts.unionByName(counts_of(maybe_broadcast(bad, 16), "bad"))
-        rows = scored(rows, model_of(counts, "both"), order).withColumnRenamed("_s", "_both")
-    rows = rows.withColumn("lang", F.col("_lang"))
-    rows = rows.join(ids.withColumn("_t", F.lit(True)), F.col(doc_id) == F.col("_id"), "left")
+        bad = bad.join(ids, "_id", "left_anti").distinct()
+        taught = cut_lineage(
+            taught.unionByName(bad.withColumn("_kind", F.lit(BOTH))), "kn-taught"
+        )
+    taught = _if_small(taught)
+    fold = F.pmod(F.xxhash64(doc_id), F.lit(folds))
+    own = docs.select(
+        *[F.col(c).alias(p) for p, c in zip(places, passed)],
+        F.col(doc_id).alias("_key"),
+        fold.alias("_fold"),
+        "lang",
+        "text",
+    )
+    # One pass counts all text that any model reads; one chain of joins trains all models.
+    read = own.select("_key", "_fold", "lang", "text").join(taught, F.col("_key") == F.col("_id"))
+    tag = F.concat("_kind", F.col("_fold").cast("string"))
+    tag = F.concat(tag, F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")))
+    parts = _gram_parts(read.withColumn("lang", tag), order)
+    counts = cut_lineage(held_out(parts, folds, kinds), "kn-counts")
+    names = [[f"_{kind}{f}" for kind in kinds] for f in range(folds)]
+    model = cut_lineage(train(counts, order, [m for used in names for m in used]), "kn-model")
+    rows = scored(own, model, order, names=names, fold=F.col("_fold"))
+    rows = rows.withColumnRenamed("lang", "_lang").join(
+        taught, F.col("_key") == F.col("_id"), "left"
+    )
 
     def steps(nll):
-        return F.when(F.col("_good.chars") > 0, F.round(nll / F.col("_good.chars") / STEP).cast("long"))
+        return F.when(F.col("_s.chars") > 0, F.round(nll / F.col("_s.chars") / STEP).cast("long"))
 
+    gain = F.col("_s.nll") - F.col(f"_s.{_losses(names)[-1]}")
     rows = cut_lineage(
         rows.select(
-            *passed,
-            F.coalesce("_t", F.lit(False)).alias("trusted"),
-            F.coalesce("_good.chars", F.lit(0)).alias("n_scored"),
-            steps(F.col("_good.nll")).alias("_p"),
-            steps(F.col("_good.nll") - F.col("_both.nll")).alias("_c"),
+            *places,
+            "_lang",
+            F.coalesce(F.col("_kind") == GOOD, F.lit(False)).alias("trusted"),
+            F.coalesce("_s.chars", F.lit(0)).alias("n_scored"),
+            steps(F.col("_s.nll")).alias("_p"),
+            steps(gain).alias("_c"),
         ),
         "kn-scored",
     )
-    known = rows.where("trusted AND _p IS NOT NULL")
+    known = rows.where("trusted AND _p IS NOT NULL").withColumnRenamed("_lang", "lang")
     # Two bounds share what one alone may cost of the trusted documents.
     strict = suspect_quantile if rejected is None else (1 + suspect_quantile) / 2
     limits = thresholds(known, {"_limit": quantile, "_strict": strict})
     limits = limits.withColumnRenamed("lang", "_l")
     gains = known.select("lang", F.col("_c").alias("_p")).where("_p IS NOT NULL")
     gains = thresholds(gains, {"_most": strict}).withColumnRenamed("lang", "_m")
-    rows = rows.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_l")), "left")
-    rows = rows.join(F.broadcast(gains), F.col("lang").eqNullSafe(F.col("_m")), "left")
+    rows = rows.join(F.broadcast(limits), F.col("_lang").eqNullSafe(F.col("_l")), "left")
+    rows = rows.join(F.broadcast(gains), F.col("_lang").eqNullSafe(F.col("_m")), "left")
     odd = F.coalesce(F.col("_p") > F.col("_strict"), F.lit(False))
-    return rows.select(
-        *passed,
+    done = rows.select(
+        *places,
         "trusted",
         "n_scored",
         (F.col("_p") * STEP).alias("log_perplexity"),
@@ -521,6 +631,13 @@ def judged(
         F.coalesce(F.col("_p") <= F.col("_limit"), F.lit(True)).alias("kept"),
         (odd | F.coalesce(F.col("_c") > F.col("_most"), F.lit(False))).alias("suspect"),
     )
+    return done, places
+
+
+def _if_small(ids: DataFrame) -> DataFrame:
+    """A broadcast hint when the ids, measured as they are, weigh little."""
+    size = F.coalesce(F.sum(F.octet_length(F.col("_id").cast("string")) + 32), F.lit(0))
+    return F.broadcast(ids) if ids.agg(size).first()[0] <= BROADCAST_BYTES else ids
 
 
 def thresholds(rows: DataFrame, quantiles: dict[str, float]) -> DataFrame:
@@ -557,3 +674,21 @@ def verdicts(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> Data
     return judged(
         docs, trusted_ids(labels), keep_text=keep_text, rejected=rejected_ids(labels)
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those that ``verdicts`` calls suspect; all columns as they were."""
+    columns = docs.columns
+    rows, places = _judged(
+        docs,
+        columns,
+        trusted_ids(labels),
+        "doc_id",
+        ORDER,
+        QUANTILE,
+        SUSPECT_QUANTILE,
+        FOLDS,
+        rejected_ids(labels),
+    )
+    kept = rows.where("NOT suspect")
+    return kept.select(*[F.col(p).alias(c) for p, c in zip(places, columns)])
