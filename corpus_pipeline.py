@@ -15,8 +15,7 @@ from tracewell.llm.shared import cut_lineage, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like the trusted ones of their language; suspect ones go too."""
-    found = quality.verdicts(docs, table(spark, sf_dir, "labels"))
-    return found.where("NOT suspect").select(*docs.columns)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
