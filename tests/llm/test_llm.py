@@ -405,6 +405,28 @@ def test_quality_edges(spark, odd_docs, no_docs):
     assert none.where("kept").count() == 12 and none.where("suspect").count() == 0
 
 
+def test_columns_of_the_input_are_never_touched(spark):
+    rows = [(i, f"a b c d e f g {i % 3}", "en", -i, f"fp{i}", i * 7, "k", 0.5, "s") for i in range(12)]
+    names = "_row long, _fp string, _gone long, kept string, _p double, _s string"
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, {names}")
+    given = {r.doc_id: tuple(r) for r in docs.collect()}
+    labels = spark.createDataFrame(
+        [(i, 1, int(i == 3)) for i in range(8)], "doc_id long, quality int, toxic int"
+    )
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    found = [
+        quality.keep_good(docs, labels),
+        simhash.keep_one(docs),
+        decontam.drop_contaminated(docs, items),
+    ]
+    for out in found:
+        left = out.collect()
+        assert out.columns == docs.columns and left
+        assert all(tuple(r) == given[r.doc_id] for r in left)
+    judged = quality.judged(docs, quality.trusted_ids(labels))
+    assert [c for c in docs.columns if c != "kept"] == judged.columns[:8]
+
+
 def test_thresholds_are_exact_quantiles(spark):
     rows = [(lang, (i * 37) % 101) for lang in ("a", None) for i in range(101)] + [("b", 5)] * 3
     df = spark.createDataFrame(rows, "lang string, _p long")

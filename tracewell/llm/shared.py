@@ -106,12 +106,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, add: str)
     return met.select(*keep).unionByName(rest.select(*keep))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, dropped: DataFrame, key: str, row_bytes: int = 16) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``dropped``; broadcast only if that is small."""
-    names = dropped.select(F.col(key).alias("_gone")).distinct()
+    gone = unused(df, "_gone")
+    names = dropped.select(F.col(key).alias(gone)).distinct()
     names = cut_lineage(names, "dropped")
     return df.join(
-        maybe_broadcast(names, row_bytes), F.col(key).eqNullSafe(F.col("_gone")), "left_anti"
+        maybe_broadcast(names, row_bytes), F.col(key).eqNullSafe(F.col(gone)), "left_anti"
     )
 
 
@@ -153,5 +162,6 @@ __all__ = [
     "send",
     "shared_dir",
     "table",
+    "unused",
     "without",
 ]

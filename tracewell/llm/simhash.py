@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import attach, cut_lineage, without
+from tracewell.llm.shared import attach, cut_lineage, unused, without
 
 RADIUS = 3
 SEED = 42
@@ -224,7 +224,7 @@ def classes(
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS
 ) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id, n_same_print``."""
+    """One row per document: ``doc_id, fingerprint, component_id``."""
     printed = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), text), text)
     printed = cut_lineage(printed.select("doc_id", "fp"), "simhash-docs")
     groups = cut_lineage(classes(printed, radius=radius), "simhash-groups")
@@ -240,17 +240,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of repeated rows with the smallest id one stays. Other columns pass through unchanged.
     """
-    marked = fingerprints(docs, text, "_fp").withColumn(
-        "_row", F.monotonically_increasing_id()
-    )
+    row, fp = unused(docs, "_row"), unused(docs, "_fp")
+    marked = fingerprints(docs, text, fp).withColumn(row, F.monotonically_increasing_id())
     marked = cut_lineage(marked, "simhash-marked")
-    narrow = marked.select(F.col(doc_id).alias("doc_id"), F.col("_fp").alias("fp"), "_row")
+    narrow = marked.select(
+        F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row")
+    )
     groups = cut_lineage(classes(narrow), "simhash-groups")
     placed = cut_lineage(attach(narrow, groups, "fp", "n", "root"), "simhash-placed")
     best = placed.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))["_row"].alias(
-            "_row"
-        )
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"].alias("row")
     )
-    gone = placed.select("_row").join(best, "_row", "left_anti")
-    return without(marked, gone, "_row").select(*docs.columns)
+    gone = placed.select("row").join(best, "row", "left_anti")
+    return without(marked, gone.withColumnRenamed("row", row), row).select(*docs.columns)
