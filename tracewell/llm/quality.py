@@ -195,18 +195,30 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
         )
         rejoined = contexts.withColumnsRenamed({"lang": "lang3", "h": "h3"})
 
-        def logp(m: str):
-            total = F.col(f"total{m}")
-            value = F.log(
-                (F.col(f"adj{m}") - F.col(f"d{m}")) / total
-                + F.col(f"freed{m}") / total * F.exp(f"low{m}")
+        def share(m: str):
+            kept = (F.col(f"adj{m}") - F.col(f"d{m}")) / F.col(f"total{m}")
+            return F.when(F.col(f"adj{m}") > 0, kept).alias(f"share{m}")
+
+        def freed(m: str):
+            return F.when(F.col(f"total{m}") > 0, F.col(f"freed{m}") / F.col(f"total{m}")).alias(
+                f"free{m}"
             )
-            return F.when(F.col(f"adj{m}") > 0, value).alias(f"logp{m}")
 
+        def logp(m: str):
+            value = F.col(f"share{m}") + F.col(f"free{m}") * F.exp(f"low{m}")
+            return F.log(value).alias(f"logp{m}")
+
+        # Both sides grow with the vocabulary: they meet in tasks and are never sent to the driver.
         scored = (
-            own.withColumn("s", F.substring("g", 2, k))
-            .join(rejoined, F.col("lang").eqNullSafe(F.col("lang3")) & (F.col("h") == F.col("h3")))
-            .join(shorter, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("s") == F.col("g2")))
+            own.join(
+                rejoined.hint("merge"),
+                F.col("lang").eqNullSafe(F.col("lang3")) & (F.col("h") == F.col("h3")),
+            )
+            .select("lang", "g", F.substring("g", 2, k).alias("s"), *each(share), *each(freed))
+            .join(
+                shorter.hint("merge"),
+                F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("s") == F.col("g2")),
+            )
             .select("lang", "g", *each(logp))
         )
         below = cut_lineage(scored, f"kn-order-{k}")
@@ -501,7 +513,7 @@ def held_out(parts: DataFrame, folds: int, kinds: Sequence[str]) -> DataFrame:
     """``lang, g`` and for the model of each kind and fold the count in the other folds.
 
     ``lang`` of ``parts`` is the mark of trusted (``GOOD``) or rejected text, the fold in one
-    digit, and ``=`` and the language unless that is NULL. Trusted text is read by the models of
+    digit (ten folds at most), and ``=`` and the language unless that is NULL. Trusted text is read by the models of
     all kinds, rejected text by ``BOTH``.
     """
     split = parts.select(
