@@ -188,6 +188,19 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
             *each(lambda m: F.sum(f"adj{m}").alias(f"total{m}")),
             *each(lambda m: F.sum(f"d{m}").alias(f"freed{m}")),
         )
+
+        def freed(m: str):
+            return F.when(F.col(f"total{m}") > 0, F.col(f"freed{m}") / F.col(f"total{m}")).alias(
+                f"free{m}"
+            )
+
+        # Read by the joins of this order and once more when the model is put together.
+        contexts = cut_lineage(
+            contexts.select(
+                "lang", "h", *each(lambda m: F.col(f"total{m}")), *each(freed)
+            ),
+            f"kn-contexts-{k}",
+        )
         shorter = below.select(
             F.col("lang").alias("lang2"),
             F.col("g").alias("g2"),
@@ -199,11 +212,6 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
             kept = (F.col(f"adj{m}") - F.col(f"d{m}")) / F.col(f"total{m}")
             return F.when(F.col(f"adj{m}") > 0, kept).alias(f"share{m}")
 
-        def freed(m: str):
-            return F.when(F.col(f"total{m}") > 0, F.col(f"freed{m}") / F.col(f"total{m}")).alias(
-                f"free{m}"
-            )
-
         def logp(m: str):
             value = F.col(f"share{m}") + F.col(f"free{m}") * F.exp(f"low{m}")
             return F.log(value).alias(f"logp{m}")
@@ -214,7 +222,7 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
                 rejoined.hint("merge"),
                 F.col("lang").eqNullSafe(F.col("lang3")) & (F.col("h") == F.col("h3")),
             )
-            .select("lang", "g", F.substring("g", 2, k).alias("s"), *each(share), *each(freed))
+            .select("lang", "g", F.substring("g", 2, k).alias("s"), *each(share), *each(lambda m: F.col(f"free{m}")))
             .join(
                 shorter.hint("merge"),
                 F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("s") == F.col("g2")),
@@ -225,8 +233,7 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
         known.append(below.select("lang", F.lit(k).alias("k"), "g", *logps))
 
         def weight(m: str):
-            total = F.col(f"total{m}")
-            return F.when(total > 0, F.log(F.col(f"freed{m}") / total)).alias(f"backoff{m}")
+            return F.log(f"free{m}").alias(f"backoff{m}")
 
         weights.append(
             contexts.select(
