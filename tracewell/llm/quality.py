@@ -22,12 +22,14 @@ scored like others; columns of the input named like a result are replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -326,30 +328,43 @@ class Model:
         return [s[ends] - s[ends - n] for s in sums], n
 
 
+def _packer(order: int, names: Sequence[str]):
+    """``lang, model``: the tables of a language as compressed bytes, put together in a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        packed = zlib.compress(cloudpickle.dumps(Model(rows, order, names)), 1)
+        return pd.DataFrame({"lang": rows.lang.iloc[:1], "model": [packed]})
+
+    return run
+
+
 def _scorer(sent, names: Sequence[Sequence[str]]):
     """``chars`` of each text, and its loss under each model of its fold: ``nll``, ``nll1``..."""
     held: list[dict] = []
+    opened: dict[str | None, Model] = {}
     losses = _losses(names)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in losses) + ", chars long")
     def run(langs: pd.Series, folds: pd.Series, texts: pd.Series) -> pd.DataFrame:
         if not held:
             held.append(received(sent))
-        models = held[0]
+        packed = held[0]
         nll, chars = np.full((len(losses), len(texts)), np.nan), np.zeros(len(texts), np.int64)
         rows: dict[tuple[str | None, int], list[int]] = {}
         for i, key in enumerate(zip(langs, folds)):
             rows.setdefault(key, []).append(i)
         for (lang, fold), own in rows.items():
-            if lang not in models:
+            if lang not in packed:
                 continue
+            if lang not in opened:
+                opened[lang] = cloudpickle.loads(zlib.decompress(packed[lang]))
             number: dict[str, int] = {}
             waiting: list[tuple[int, list[int]]] = []
             for i in own:
                 words = (texts.iat[i] or "").split()
                 waiting.append((i, [number.setdefault(w, len(number)) for w in words]))
                 if len(number) >= _AT_ONCE or i == own[-1]:
-                    logs, sizes = models[lang].score(list(number), names[fold])
+                    logs, sizes = opened[lang].score(list(number), names[fold])
                     for k, used in waiting:
                         if used:
                             nll[:, k] = [-own_logs[used].sum() for own_logs in logs]
@@ -482,11 +497,10 @@ def scored(
     losses = _losses(names)
     parts = []
     for langs in rounds:
-        models = {}
-        for lang in langs:  # one by one: the driver holds the rows of a single language
-            rows = model.where(_of_langs(model, [lang])).drop("lang")
-            models[lang] = Model(rows.toArrow().to_pandas(), order, every)
-        run = _scorer(send(spark, models), names)
+        # A task per language, each within the bound; the driver only passes their bytes on.
+        rows = model.where(_of_langs(model, langs)).groupBy("lang")
+        built = rows.applyInPandas(_packer(order, every), "lang string, model binary")
+        run = _scorer(send(spark, dict(map(tuple, built.collect()))), names)
         own = docs.where(_of_langs(docs, langs))
         parts.append(own.withColumn("_s", run("lang", fold.cast("int"), "text")))
     for lang in large:
