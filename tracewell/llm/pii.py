@@ -2,10 +2,12 @@
 
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, URL schemes and
 the cues of identifiers. At each anchor a local parser expands to both sides, validates what it
-found and gives a span; between anchors no character is looked at twice.
+found and gives a span. A run of characters that was read in vain is remembered up to its end, so
+a text that only repeats a cue costs time in proportion to its length, like any other.
 
 Defined cases: a NULL text is empty and has no span; spans count code points with exclusive
-end; repeated rows are each handled on their own; other columns are not looked at.
+end; repeated rows are each handled on their own; other columns are not looked at; texts of any
+length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_TAIL = re.compile(r"[^\s<>\"'`|{}\\^]+")
-_HOST = re.compile(r"(?:[^\s/@]*@)?(?:[\w-]+\.)+\w{2,}|(?:[^\s/@]*@)?localhost\b")
-_SECRET = re.compile(r"[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_\-./+=~!@#$%^&*]{6,})")
+_HOST = re.compile(r"(?:[\w-]+\.)+\w{2,}")
+_LOCALHOST = re.compile(r"localhost\b")
+_LABELS = re.compile(r"(?:[\w-]+\.)*[\w-]*")
+_USER_END = re.compile(r"[\s/@]")
+_MAILBOX = re.compile(rf"[A-Za-z0-9._%+-]+@{_DOMAIN.pattern}")
+_ASSIGNED = re.compile(r"[\x20]?[:=][\x20]?[\"']?")
+_SECRET = re.compile(r"[A-Za-z0-9_\-./+=~!@#$%^&*]{6,}")
 _NUMBER = re.compile(
     r"(?:[\x20](?:no|nr|number|id))?[.:#=]?[\x20]?[:#]?[\x20]?"
     r"((?:[A-Z]{2})?[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])"
@@ -80,7 +87,9 @@ class _Finder:
     def __init__(self, text: str) -> None:
         self.text = text
         self.spans: list[tuple[str, int, int]] = []
-        self.done = dict.fromkeys((*KINDS, "ip_chain", "card_chain"), 0)
+        self.done = dict.fromkeys((*KINDS, "ip_chain", "card_chain", "no_secret"), 0)
+        self.no_host = {"user": (0, 0), "plain": (0, 0)}
+        self.user_run = (0, 0)
 
     def put(self, kind: str, start: int, end: int) -> None:
         self.spans.append((kind, start, end))
@@ -123,21 +132,47 @@ class _Finder:
         if begin < self.done["url"] or (begin and self.text[begin - 1] in _WORD):
             return
         if self.text[begin:end].lower() == "mailto:":
-            m = re.compile(rf"[A-Za-z0-9._%+-]+@{_DOMAIN.pattern}").match(self.text, end)
-            if m:
+            if m := _MAILBOX.match(self.text, end):
                 self.put("url", begin, m.end())
             return
         host = end if self.text[end - 1] == "/" else begin
-        if _HOST.match(self.text, host) and (m := _URL_TAIL.match(self.text, end)):
+        if self.has_host(host) and (m := _URL_TAIL.match(self.text, end)):
             body = m.group().rstrip(".,;:!?)]*_")
             if body:
                 self.put("url", begin, end + len(body))
 
+    def has_host(self, at: int) -> bool:
+        """Whether a host stands at ``at``, or after the ``user@`` that begins there."""
+        if not self.user_run[0] <= at < self.user_run[1]:
+            m = _USER_END.search(self.text, at)
+            self.user_run = (at, m.start() if m else len(self.text))
+        stop = self.user_run[1]
+        after_user = self.text[stop : stop + 1] == "@" and self.names_host(stop + 1, "user")
+        return after_user or self.names_host(at, "plain")
+
+    def names_host(self, at: int, which: str) -> bool:
+        if _LOCALHOST.match(self.text, at):
+            return True
+        first, last = self.no_host[which]
+        if first <= at < last:
+            return False  # what has no host from its first label has none from a later one
+        if _HOST.match(self.text, at):
+            return True
+        self.no_host[which] = (at, _LABELS.match(self.text, at).end())
+        return False
+
     def secret(self, begin: int, end: int) -> None:
-        if begin >= self.done["secret"] and (m := _SECRET.match(self.text, end)):
-            value = m.group(1).rstrip(".!")
-            if len(value) >= 6 and any(c.isdigit() for c in value):
-                self.put("secret", m.start(1), m.start(1) + len(value))
+        if begin < self.done["secret"] or not (m := _ASSIGNED.match(self.text, end)):
+            return
+        # A run without a secret has none from any of its later characters.
+        start = m.end()
+        if start < self.done["no_secret"] or not (m := _SECRET.match(self.text, start)):
+            return
+        value = m.group().rstrip(".!")
+        if len(value) >= 6 and any(c.isdigit() for c in value):
+            self.put("secret", start, start + len(value))
+        else:
+            self.done["no_secret"] = m.end()
 
     def key(self, begin: int) -> None:
         if begin >= self.done["secret"] and not (begin and self.text[begin - 1] in _WORD):
