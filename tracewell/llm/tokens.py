@@ -10,7 +10,9 @@ paths are equal exactly; among paths of the best score the one of fewest tokens
 
 Defined cases: a pre-token is a run of non-blanks behind a word mark; a NULL or blank text has
 none and no tokens; a character without a piece is spelled in UTF-8 bytes, a token each;
-repeated rows are counted one by one; other columns are not looked at.
+repeated rows are counted one by one; other columns are not looked at; an empty table gives no
+rows. Of a pre-token beyond ``SHARED`` characters only the first so many are shared; the rest is
+scored with memory for the longest piece alone.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SHIFT = 2.7
 BYTE_COST = 10.0
 #: Counts a task remembers before it starts over.
 REMEMBERED = 1 << 20
+#: Depth to which prefixes are shared, and length of the pre-tokens that are remembered.
+SHARED = 1 << 12
 
 
 def default_vocabulary() -> str:
@@ -80,13 +84,13 @@ def count_tokens(words: Iterable[str], trie: Trie) -> dict[str, int]:
     open_at: list[list[tuple[int, dict]]] = [[(0, root)]]
     before = ""
     for word in sorted(set(words)):
-        shared = 0
-        for a, b in zip(before, word):
+        shared, deep = 0, min(len(word), SHARED)
+        for a, b in zip(before, word[:deep]):
             if a != b:
                 break
             shared += 1
         del best[shared + 1 :], tokens[shared + 1 :], open_at[shared + 1 :]
-        for i in range(shared, len(word)):
+        for i in range(shared, deep):
             c = word[i]
             alone = root.get(c)
             score = n = None
@@ -108,11 +112,46 @@ def count_tokens(words: Iterable[str], trie: Trie) -> dict[str, int]:
             tokens.append(n)
             states.append((i + 1, root))
             open_at.append(states)
-        counts[word] = tokens[len(word)]
-        before = word
+        if deep < len(word):
+            open_now = [(best[start], tokens[start], node) for start, node in open_at[deep]]
+            counts[word] = _rest(word, deep, best[deep], tokens[deep], open_now, trie)
+        else:
+            counts[word] = tokens[deep]
+        before = word[:deep]
     return counts
 
 
+def _rest(
+    word: str, at: int, best: int, used: int, states: list[tuple[int, int, dict]], trie: Trie
+) -> int:
+    """Tokens of ``word`` whose first ``at`` characters have the score ``best`` by ``used`` tokens.
+
+    A state is a piece begun earlier: score and tokens before it, and its node in the trie.
+    """
+    root, byte = trie.root, trie.byte
+    for i in range(at, len(word)):
+        c = word[i]
+        alone = root.get(c)
+        score = n = None
+        if alone is None or "" not in alone:
+            size = len(c.encode())
+            score, n = best + byte * size, used + size
+        going = []
+        for before, count, node in states:
+            child = node.get(c)
+            if child is not None:
+                going.append((before, count, child))
+                own = child.get("")
+                if own is not None:
+                    own += before
+                    if score is None or own > score or (own == score and count + 1 < n):
+                        score, n = own, count + 1
+        best, used = score, n
+        going.append((best, used, root))
+        states = going
+    return used
+
+
 def _counter(sent):
     held: list[Trie] = []
     known: dict[str, int] = {}
@@ -127,12 +166,16 @@ def _counter(sent):
             new = {w for words in found for w in words}
         counts = count_tokens([MARK + w for w in new], held[0])
         known.update((w[1:], n) for w, n in counts.items())
-        return pd.DataFrame(
+        result = pd.DataFrame(
             {
                 "n_pretokens": [len(words) for words in found],
                 "n_tokens": [sum(map(known.__getitem__, words)) for words in found],
             }
         )
+        for w in new:
+            if len(w) > SHARED:
+                del known[w]
+        return result
 
     return run
 
