@@ -12,7 +12,8 @@ are applied by each piece's rank within its length, which comes from one range s
 
 Defined cases: a NULL length counts as 0 and every document ends with one separator token, so
 each has a piece; a document longer than the largest permitted length is cut into pieces of
-that length and a rest; repeated rows are packed one by one; other columns are not looked at.
+that length and a rest; repeated rows are packed one by one; other columns are not looked at;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,32 +49,51 @@ class Plan:
     cost: int
 
 
+def _contents(
+    length: int, left: dict[int, int], order: list[int], size: int
+) -> dict[int, int]:
+    """What one bin of ``size`` takes, longest first from ``length`` on: pieces by length."""
+    room, taken = size, {}
+    at = bisect.bisect_left(order, -length)
+    while at < len(order) and room:
+        own = -order[at]
+        n = min(left[own], room // own)
+        if n:
+            taken[own] = n
+            room -= own * n
+        at = max(at + 1, bisect.bisect_left(order, -room))
+    return taken
+
+
 def _least_cost(
     length: int, left: dict[int, int], order: list[int], sizes: Sequence[int], bin_cost: int
-) -> int:
-    """The size that costs least per token when one bin is filled longest first."""
-
-    def filled(size: int) -> int:
-        room = size
-        at = bisect.bisect_left(order, -length)
-        while at < len(order) and room:
-            own = -order[at]
-            if own <= room:
-                room -= own * min(left[own], room // own)
-            at = max(at + 1, bisect.bisect_left(order, -room))
-        return size - room
-
-    return min(
-        (s for s in sizes if s >= length), key=lambda s: ((s + bin_cost) / filled(s), s)
-    )
+) -> tuple[int, dict[int, int], int]:
+    """The size of least cost per token, its contents, and for how many bins that holds.
+
+    The choice can't change while every length still has as many pieces as any size would take.
+    """
+    fills = {s: _contents(length, left, order, s) for s in sizes if s >= length}
+
+    def rate(size: int) -> tuple[float, int]:
+        return (size + bin_cost) / sum(x * n for x, n in fills[size].items()), size
+
+    size = min(fills, key=rate)
+    most = {x: max(f.get(x, 0) for f in fills.values()) for x in fills[size]}
+    same = min((left[x] - most[x]) // n for x, n in fills[size].items())
+    return size, fills[size], same + 1
 
 
 def best_fit(
     histogram: dict[int, int], sizes: Sequence[int], permitted: Sequence[int], bin_cost: int
 ) -> Plan:
-    """Best-fit decreasing; bins open with one of ``sizes``, then shrink to ``permitted``."""
+    """Best-fit decreasing; bins open with one of ``sizes``, then shrink to ``permitted``.
+
+    Each bin's size is chosen on its own, by the pieces that earlier bins are not expected to
+    take; bins whose choice must be the same are opened together.
+    """
     order = sorted((-length for length in histogram if length > 0))
     left = dict(histogram)
+    free = dict(histogram)  # pieces that no open bin is expected to take
     runs: list[tuple[int, int, int, int, int, int]] = []
     rooms: dict[int, list[tuple[int, int, int]]] = {}  # room -> (first bin, bins, size)
     heap_of = []  # sorted rooms
@@ -90,10 +110,10 @@ def best_fit(
         while left[length]:
             at = bisect.bisect_left(heap_of, length)
             if at == len(heap_of):
-                size = _least_cost(length, left, order, sizes, bin_cost)
-                each = size // length
-                # One bin at a time only where the choice could change with what remains.
-                n = max(1, left[length] // each)
+                free[length] = left[length]
+                size, taken, n = _least_cost(length, free, order, sizes, bin_cost)
+                for own, count in taken.items():
+                    free[own] -= n * count
                 put(size, (next_bin, n, size))
                 next_bin += n
                 continue
