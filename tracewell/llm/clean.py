@@ -80,10 +80,12 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataF
         "clean_text",
         "kept",
     ]
-    passed = [c for c in docs.columns if c not in results]
+    # Columns of the input go by numbers meanwhile, so no helper column is named like one.
+    kept_names = [c for c in docs.columns if c not in results]
+    passed = [f"c{i}" for i in range(len(kept_names))]
     body = F.coalesce(F.col(text), F.lit(""))
     step = docs.select(
-        *passed,
+        *[F.col(f"`{c}`").alias(p) for p, c in zip(passed, kept_names)],
         words_of(body).alias("_words"),
         F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0).alias(
             "_lines"
@@ -134,9 +136,11 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataF
         F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_pct
     )
     enough = F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_pct
-    return step.withColumn("base_failed", failed).withColumn(
+    step = step.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & enough
     )
+    others = [c for c in step.columns if c not in passed]
+    return step.select(*[F.col(p).alias(c) for p, c in zip(passed, kept_names)], *others)
 
 
 def _word_chars(text: Column) -> Column:
