@@ -95,6 +95,77 @@ def best_fit(lengths, pick):
     return placed, bins
 
 
+def chosen_bins(lengths, sizes, bin_cost):
+    """Best fit piece by piece, each bin's size chosen when it opens; used room of each bin.
+
+    A bin is judged by filling it with the longest pieces that fit and that no earlier bin was
+    judged by; pieces of the length in hand are all that are left of it.
+    """
+    waiting = sorted(lengths, reverse=True)
+    free = list(waiting)
+    bins = []
+    for k, length in enumerate(waiting):
+        room = [(b[0] - b[1], i) for i, b in enumerate(bins) if b[0] - b[1] >= length]
+        if not room:
+            free = [x for x in free if x != length] + [x for x in waiting[k:] if x == length]
+            free.sort(reverse=True)
+            options = []
+            for size in sizes:
+                own, taken = size, []
+                for x in free:
+                    if x <= min(own, length):
+                        own -= x
+                        taken.append(x)
+                if size >= length:
+                    options.append(((size + bin_cost) / (size - own), size, taken))
+            _, size, taken = min(options)
+            for x in taken:
+                free.remove(x)
+            room = [(size, len(bins))]
+            bins.append([size, 0])
+        bins[min(room)[1]][1] += length
+    return [used for _, used in bins]
+
+
+def secret_spans(text):
+    """The words of a secret after each cue, every cue scanned on its own."""
+    spans, done = [], 0
+    cues = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key")
+    for at in range(len(text)):
+        for cue in cues:
+            m = re.match(
+                re.escape(cue)
+                + r"[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_\-./+=~!@#$%^&*]{6,})",
+                text[at:],
+                re.I | re.A,
+            )
+            value = m.group(1).rstrip(".!") if m else ""
+            if at >= done and len(value) >= 6 and re.search("[0-9]", value):
+                start = at + m.start(1)
+                done = start + len(value)
+                spans.append(("secret", start, done))
+    return spans
+
+
+def url_spans(text):
+    """Addresses from a scheme on, every scheme scanned on its own."""
+    host = re.compile(
+        r"(?:[^\s/@]*@)?(?:[\w-]+\.)+\w{2,}|(?:[^\s/@]*@)?localhost\b"
+    )
+    spans, done = [], 0
+    for at in range(len(text)):
+        m = re.compile(r"https?://|ftp://|www\.", re.I | re.A).match(text, at)
+        if not m or at < done or (at and re.match("[A-Za-z0-9_]", text[at - 1])):
+            continue
+        tail = re.compile(r"[^\s<>\"'`|{}\\^]+").match(text, m.end())
+        if tail and host.match(text, at if m.group()[-1] == "." else m.end()):
+            body = tail.group().rstrip(".,;:!?)]*_")
+            if body:
+                done = m.end() + len(body)
+                spans.append(("url", at, done))
+    return spans
+
+
 def tokens(word, scores, byte):
     best = [(0, 0)]
     for i in range(1, len(word) + 1):

@@ -6,6 +6,8 @@ import hashlib
 import os
 import random
 import sys
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -195,6 +197,33 @@ def test_anchor_parsers_equal_patterns_on_random_text():
         assert got == brute.base_spans(text), text
 
 
+def test_added_parsers_equal_one_scan_per_cue():
+    rng = random.Random(12)
+    parts = ["token=", "pwd: ", "ab", "12", ".", "!", " ", '"', "=", "x" * 7, "secret", "http://"]
+    more = ["www.", "http://", "localhost", "@", "-", "a", ".", "/", "é", " ", "_", "b1.c", "x:y@"]
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        got = [s for s in pii.spans_of(text) if s[0] == "secret"]
+        assert got == brute.secret_spans(text), text
+        text = "".join(rng.choice(more) for _ in range(rng.randrange(14)))
+        got = [s for s in pii.spans_of(text) if s[0] == "url"]
+        assert got == brute.url_spans(text), text
+
+
+@pytest.mark.parametrize(
+    "unit",
+    [
+        *("token=", "token=1", "secret", "password: ", "www.", "www.!", "-www.", "http://", "x@www."),
+        *("a@", "a@b.", "@", "+1", "+1(", "1.", "1 ", "mailto:", "mailto:a@", "iban ", "konto 1"),
+        *("akia", "localhost", "http://a@", "www._"),
+    ],
+)
+def test_repeated_cues_cost_time_in_proportion(unit):
+    began = time.thread_time()
+    pii.spans_of(unit * (1_000_000 // len(unit)))
+    assert time.thread_time() - began < 20  # a quadratic scan takes an hour
+
+
 def test_added_kinds_and_masks(spark, odd_docs, no_docs):
     text = (
         "see https://ex.org/a?b=1, login password=abc123def token = \"0f0f0f0f0f\" "
@@ -308,6 +337,24 @@ def test_plan_equals_piece_by_piece():
         assert sum(n for _, _, n, *_ in got.runs) == len(lengths)
 
 
+def test_sizes_are_chosen_bin_by_bin():
+    rng = random.Random(5)
+    for _ in range(150):
+        top = rng.choice([16, 40])
+        sizes = sorted({top, *(rng.randrange(2, top) for _ in range(2))})
+        pool = [rng.randrange(1, top + 1) for _ in range(rng.randrange(1, 6))]
+        lengths = [rng.choice(pool) for _ in range(rng.randrange(1, 150))]
+        histogram = {x: lengths.count(x) for x in lengths}
+        got = packing.best_fit(histogram, sizes, sizes, 3)
+        used = brute.chosen_bins(lengths, sizes, 3)
+        cost = sum(min(s for s in sizes if s >= u) + 3 for u in used)
+        assert got.cost == cost and sum(n for _, n, _ in got.bins) == len(used)
+    # Two fillers do not decide for a hundred thousand bins.
+    hot = packing.best_fit({700: 100_000, 324: 2}, (2048, 4096), (2048, 4096), 32)
+    one = packing.best_fit({700: 100_000, 324: 2}, (4096,), (2048, 4096), 32)
+    assert hot.cost < 1.001 * one.cost
+
+
 @needs_tables
 def test_packing_query(spark):
     rows = QUERIES["op1_best_fit_packing"](spark, SF).collect()
@@ -352,6 +399,25 @@ def test_token_counts_equal_plain_dynamic_programming(spark, odd_docs, no_docs):
     assert tokens.token_counts(no_docs, scores).count() == 0
 
 
+def test_long_pre_tokens_are_scored_in_bounded_memory(monkeypatch):
+    rng = random.Random(6)
+    scores = tokens.zipf_scores(["▁", "a", "b", "ab", "▁a", "aba", "bab", "▁ab", "abab", "c", "é"])
+    trie = tokens.Trie(scores)
+    words = {"▁" + "".join(rng.choice("abcéz") for _ in range(rng.randrange(30))) for _ in range(800)}
+    want = {w: brute.tokens(w, scores, trie.byte) for w in words}
+    for shared in (1, 3, 8):
+        monkeypatch.setattr(tokens, "SHARED", shared)
+        assert tokens.count_tokens(words, trie) == want
+    long = "▁" + "".join(rng.choice("abcéz") for _ in range(200_000))
+    monkeypatch.setattr(tokens, "SHARED", 1 << 30)
+    want = tokens.count_tokens([long], trie)
+    monkeypatch.undo()
+    tracemalloc.start()
+    assert tokens.count_tokens([long], trie) == want
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 @needs_tables
 def test_token_query(spark):
     scores = tokens.zipf_scores(tokens.read_pieces(tokens.default_vocabulary()))
@@ -423,6 +489,10 @@ def test_columns_of_the_input_are_never_touched(spark):
         left = out.collect()
         assert out.columns == docs.columns and left
         assert all(tuple(r) == given[r.doc_id] for r in left)
+    odd = docs.withColumnsRenamed({"_row": "_lines", "_fp": "_words", "_gone": "_sorted"})
+    cleaned = clean.judged(odd).select([c for c in odd.columns if c != "kept"]).collect()
+    names = [c for c in docs.columns if c != "kept"]
+    assert {tuple(r) for r in cleaned} == {tuple(r) for r in docs.select(names).collect()}
     judged = quality.judged(docs, quality.trusted_ids(labels))
     assert [c for c in docs.columns if c != "kept"] == judged.columns[:8]
 
