@@ -461,6 +461,31 @@ def test_model_equals_textbook_recursion(spark):
     assert sum(not got[i].kept for i in range(0, 900, 30)) == 0
 
 
+def test_folds_sent_one_by_one_score_alike(spark):
+    texts = ["the cat sat on the mat", "a dog ran", "cats and dogs sit", "mat and hat"] * 6
+    rows = [(i, ("en", None, "de")[i % 3], t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    docs = docs.withColumn("fold", F.col("doc_id") % 2)
+    counts = docs.transform(lambda d: quality.gram_counts(d, 3)).select(
+        "lang", "g", *[(F.col("raw") * n).alias(f"raw_{m}") for m, n in (("a", 1), ("b", 2), ("c", 5))]
+    )
+    model = quality.train(counts, 3, ("_a", "_b", "_c")).persist()
+    names = (("_a", "_b"), ("_c", "_a"))
+
+    def scores(bound):
+        got = quality.scored(docs, model, 3, bound, names, F.col("fold"))
+        return {r.doc_id: tuple(r._s) for r in got.collect()}
+
+    most = max(r["count"] for r in model.groupBy("lang").count().collect())
+    together = scores(1 << 25)
+    assert len(together) == len(rows) and all(c > 0 for *_, c in together.values())
+    assert scores(most * 64) == together  # two of three models fit the bound, so a fold alone
+    slow = scores(0)
+    for k, values in together.items():
+        assert slow[k] == pytest.approx(values, rel=1e-9)
+    model.unpersist()
+
+
 def test_quality_edges(spark, odd_docs, no_docs):
     trusted = spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")
     got = quality.judged(odd_docs, trusted)

@@ -10,8 +10,9 @@ perplexities of its language's trusted documents, which are held out like all ot
 model also reads the rejected documents of the other folds; what it gains over the first is a
 contrast that single insults in fluent text raise, while they hardly move the perplexity.
 
-Scoring sends the model to the tasks when its measured size allows, split into as many rounds
-of languages as the bound asks for.
+Scoring sends the models to the tasks in as many rounds as the bound of a broadcast asks for; a
+language whose folds together pass it is sent fold by fold, since a document needs the models of
+its own fold only. A fold that passes it alone is scored by joins.
 
 Defined cases: a document without words, or in a language without trusted text in the other
 folds, has no perplexity and is kept, not suspect; so is one whose language has no held-out
@@ -341,7 +342,7 @@ def _packer(order: int, names: Sequence[str]):
 def _scorer(sent, names: Sequence[Sequence[str]]):
     """``chars`` of each text, and its loss under each model of its fold: ``nll``, ``nll1``..."""
     held: list[dict] = []
-    opened: dict[str | None, Model] = {}
+    opened: dict[Unit, Model] = {}
     losses = _losses(names)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in losses) + ", chars long")
@@ -354,17 +355,18 @@ def _scorer(sent, names: Sequence[Sequence[str]]):
         for i, key in enumerate(zip(langs, folds)):
             rows.setdefault(key, []).append(i)
         for (lang, fold), own in rows.items():
-            if lang not in packed:
+            unit = (lang, None) if (lang, None) in packed else (lang, int(fold))
+            if unit not in packed:
                 continue
-            if lang not in opened:
-                opened[lang] = cloudpickle.loads(zlib.decompress(packed[lang]))
+            if unit not in opened:
+                opened[unit] = cloudpickle.loads(zlib.decompress(packed[unit]))
             number: dict[str, int] = {}
             waiting: list[tuple[int, list[int]]] = []
             for i in own:
                 words = (texts.iat[i] or "").split()
                 waiting.append((i, [number.setdefault(w, len(number)) for w in words]))
                 if len(number) >= _AT_ONCE or i == own[-1]:
-                    logs, sizes = opened[lang].score(list(number), names[fold])
+                    logs, sizes = opened[unit].score(list(number), names[fold])
                     for k, used in waiting:
                         if used:
                             nll[:, k] = [-own_logs[used].sum() for own_logs in logs]
@@ -381,27 +383,69 @@ def _losses(names: Sequence[Sequence[str]]) -> list[str]:
     return [f"nll{i or ''}" for i in range(len(names[0]))]
 
 
+#: A language and one of its folds, or None for all of them.
+Unit = tuple[str | None, int | None]
+
+
 def _rounds(
-    model: DataFrame, bound: int, row_bytes: int
-) -> tuple[list[list[str | None]], list[str | None]]:
-    """Languages whose models fit the bound together, and those too large for it alone."""
-    sizes = [(r["count"] * row_bytes, r["lang"]) for r in model.groupBy("lang").count().collect()]
-    rounds: list[list[str | None]] = []
+    model: DataFrame, names: Sequence[Sequence[str]], bound: int
+) -> tuple[list[list[Unit]], list[Unit]]:
+    """What fits the bound together, by rounds, and the folds too large for it alone."""
+
+    def weight(models: int) -> int:
+        return _MODEL_ROW_BYTES + 16 * (models - 1)
+
+    every = len({m for own in names for m in own})
+    sizes: list[tuple[int, Unit]] = []
+    for r in model.groupBy("lang").count().collect():
+        if r["count"] * weight(every) <= bound:
+            sizes.append((r["count"] * weight(every), (r["lang"], None)))
+        else:
+            sizes += [
+                (r["count"] * weight(len(own)), (r["lang"], f)) for f, own in enumerate(names)
+            ]
+    rounds: list[list[Unit]] = []
     room = 0
-    for size, lang in sorted(sizes, key=lambda x: (x[0], x[1] or "")):
+    for size, unit in sorted(sizes, key=lambda x: (x[0], x[1][0] or "", x[1][1] or 0)):
         if size > bound:
             continue
         if not rounds or size > room:
             rounds.append([])
             room = bound
-        rounds[-1].append(lang)
+        rounds[-1].append(unit)
         room -= size
-    return rounds, [lang for size, lang in sizes if size > bound]
+    return rounds, [unit for size, unit in sizes if size > bound]
 
 
 def _of_langs(df: DataFrame, langs: list[str | None]):
-    named = F.col("lang").isin([x for x in langs if x is not None])
-    return F.coalesce(named, F.lit(None in langs))
+    # NULL is asked for by itself: it is in no list, and not NULL in an empty one.
+    named = F.coalesce(F.col("lang").isin([x for x in langs if x is not None]), F.lit(False))
+    return named | F.col("lang").isNull() if None in langs else named
+
+
+def _of_units(df: DataFrame, units: list[Unit], fold: Column):
+    """Documents of these languages and folds."""
+    chosen = _of_langs(df, [lang for lang, f in units if f is None])
+    for f in sorted({f for _, f in units if f is not None}):
+        chosen |= (fold == f) & _of_langs(df, [lang for lang, g in units if g == f])
+    return chosen
+
+
+def _packed(
+    model: DataFrame, units: list[Unit], order: int, names: Sequence[Sequence[str]]
+) -> dict[Unit, bytes]:
+    """The compressed tables of each unit, put together by a task per language."""
+    found: dict[Unit, bytes] = {}
+    for f in sorted({f for _, f in units}, key=lambda f: -1 if f is None else f):
+        used = sorted({m for own in names for m in own}) if f is None else list(names[f])
+        rows = model.where(_of_langs(model, [lang for lang, g in units if g == f])).select(
+            "lang", "k", "g", *[f"{what}{m}" for m in used for what in ("logp", "backoff")]
+        )
+        built = rows.groupBy("lang").applyInPandas(
+            _packer(order, used), "lang string, model binary"
+        )
+        found |= {(lang, f): bytes(packed) for lang, packed in built.collect()}
+    return found
 
 
 def _by_joins(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -491,33 +535,28 @@ def scored(
     later ones as ``nll1``, ``nll2`` and so on.
     """
     spark = docs.sparkSession
-    every = sorted({m for own in names for m in own})
     fold = F.lit(0) if fold is None else fold
-    rounds, large = _rounds(model, bound, _MODEL_ROW_BYTES + 16 * (len(every) - 1))
+    rounds, large = _rounds(model, names, bound)
     losses = _losses(names)
     parts = []
-    for langs in rounds:
+    for units in rounds:
         # A task per language, each within the bound; the driver only passes their bytes on.
-        rows = model.where(_of_langs(model, langs)).groupBy("lang")
-        built = rows.applyInPandas(_packer(order, every), "lang string, model binary")
-        run = _scorer(send(spark, dict(map(tuple, built.collect()))), names)
-        own = docs.where(_of_langs(docs, langs))
+        run = _scorer(send(spark, _packed(model, units, order, names)), names)
+        own = docs.where(_of_units(docs, units, fold))
         parts.append(own.withColumn("_s", run("lang", fold.cast("int"), "text")))
-    for lang in large:
-        mine = docs.where(_of_langs(docs, [lang]))
+    for lang, f in large:
+        own, done = docs.where(_of_langs(docs, [lang]) & (fold == f)), []
         grams = model.where(_of_langs(model, [lang]))
-        for f, used in enumerate(names):
-            own, done = mine.where(fold == f), []
-            for i, m in enumerate(used):
-                seen = grams.select(
-                    "lang", "k", "g", F.col(f"logp{m}").alias("logp"), F.col(f"backoff{m}").alias("backoff")
-                )
-                own = _by_joins(own, seen.where("logp IS NOT NULL OR backoff IS NOT NULL"), order)
-                own = own.withColumnRenamed("_s", f"_s{i}")
-                done.append(F.col(f"_s{i}.nll").alias(losses[i]))
-            own = own.withColumn("_s", F.struct(*done, F.col("_s0.chars").alias("chars")))
-            parts.append(own.select(*docs.columns, "_s"))
-    known = [lang for langs in rounds for lang in langs] + large
+        for i, m in enumerate(names[f]):
+            seen = grams.select(
+                "lang", "k", "g", F.col(f"logp{m}").alias("logp"), F.col(f"backoff{m}").alias("backoff")
+            )
+            own = _by_joins(own, seen.where("logp IS NOT NULL OR backoff IS NOT NULL"), order)
+            own = own.withColumnRenamed("_s", f"_s{i}")
+            done.append(F.col(f"_s{i}.nll").alias(losses[i]))
+        own = own.withColumn("_s", F.struct(*done, F.col("_s0.chars").alias("chars")))
+        parts.append(own.select(*docs.columns, "_s"))
+    known = sorted({u[0] for u in [*sum(rounds, []), *large]}, key=lambda x: x or "")
     rest = docs.where(~_of_langs(docs, known))
     empty = ", ".join(f"{n}: double" for n in losses)
     whole = rest.withColumn("_s", F.lit(None).cast(f"struct<{empty}, chars: bigint>"))
