@@ -10,8 +10,8 @@ perplexities of its language's trusted documents, which are held out like all ot
 model also reads the rejected documents of the other folds; what it gains over the first is a
 contrast that single insults in fluent text raise, while they hardly move the perplexity.
 
-Scoring sends the models to the tasks in as many rounds as the bound of a broadcast asks for; a
-language whose folds together pass it is sent fold by fold, since a document needs the models of
+Scoring sends the models to the tasks in as many rounds as the bound of a broadcast asks for, one
+round after the other, so the driver never holds the bytes of more than one; a language whose folds together pass it is sent fold by fold, since a document needs the models of
 its own fold only. A fold that passes it alone is scored by joins.
 
 Defined cases: a document without words, or in a language without trusted text in the other
@@ -25,15 +25,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.cluster import scratch_path
 from tracewell.llm.shared import BROADCAST_BYTES, cut_lineage, received, send
 
 ORDER = 5
@@ -153,67 +154,82 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
     )
     logps = [f"logp{m}" for m in models]
     known = [below.select("lang", F.lit(0).alias("k"), "g", *logps)]
-    weights = []
-    for k in range(1, order + 1):
-        own = levels[k].select(
-            "lang", "g", F.expr("left(g, length(g) - 1)").alias("h"), *each(lambda m: F.col(f"adj{m}"))
-        )
-        kinds = own.groupBy("lang").agg(
-            *[
-                F.sum((F.col(f"adj{m}") == i).cast("double")).alias(f"n{i}{m}")
-                for i in (1, 2, 3, 4)
-                for m in models
-            ]
-        )
+    every = None
+    for k, grams in levels.items():
+        own = grams.select("lang", F.lit(k).alias("k"), "g", *each(lambda m: F.col(f"adj{m}")))
+        every = own if every is None else every.unionByName(own)
+    kinds = every.groupBy("lang", "k").agg(
+        *[
+            F.sum((F.col(f"adj{m}") == i).cast("double")).alias(f"n{i}{m}")
+            for i in (1, 2, 3, 4)
+            for m in models
+        ]
+    )
 
-        def discount(i: int, m: str):
-            # Closed form; with too few counts of counts, half of the count's rank.
-            n1, now, more = F.col(f"n1{m}"), F.col(f"n{i}{m}"), F.col(f"n{i + 1}{m}")
-            exact = i - (i + 1) * (n1 / (n1 + 2 * F.col(f"n2{m}"))) * more / now
-            usable = (now > 0) & (more > 0) & (n1 > 0)
-            return F.greatest(
-                F.lit(0.05), F.least(F.lit(i - 0.05), F.when(usable, exact).otherwise(i * 0.5))
-            ).alias(f"d{i}{m}")
-
-        rates = kinds.select(
-            F.col("lang").alias("lang1"), *[discount(i, m) for i in (1, 2, 3) for m in models]
-        )
+    def discount(i: int, m: str):
+        # Closed form; with too few counts of counts, half of the count's rank.
+        n1, now, more = F.col(f"n1{m}"), F.col(f"n{i}{m}"), F.col(f"n{i + 1}{m}")
+        exact = i - (i + 1) * (n1 / (n1 + 2 * F.col(f"n2{m}"))) * more / now
+        usable = (now > 0) & (more > 0) & (n1 > 0)
+        return F.greatest(
+            F.lit(0.05), F.least(F.lit(i - 0.05), F.when(usable, exact).otherwise(i * 0.5))
+        ).alias(f"d{i}{m}")
+
+    # A row per language and order.
+    rates = cut_lineage(
+        kinds.select(
+            F.col("lang").alias("lang1"),
+            F.col("k").alias("k1"),
+            *[discount(i, m) for i in (1, 2, 3) for m in models],
+        ),
+        "kn-rates",
+    )
 
-        def cut(m: str):
-            adj = F.col(f"adj{m}")
-            rate = F.when(adj == 1, F.col(f"d1{m}")).when(adj == 2, F.col(f"d2{m}"))
-            return F.when(adj > 0, rate.otherwise(F.col(f"d3{m}"))).otherwise(0.0).alias(f"d{m}")
+    def cut(m: str):
+        adj = F.col(f"adj{m}")
+        rate = F.when(adj == 1, F.col(f"d1{m}")).when(adj == 2, F.col(f"d2{m}"))
+        return F.when(adj > 0, rate.otherwise(F.col(f"d3{m}"))).otherwise(0.0).alias(f"d{m}")
 
-        own = own.join(F.broadcast(rates), F.col("lang").eqNullSafe(F.col("lang1"))).select(
-            "lang", "g", "h", *each(lambda m: F.col(f"adj{m}")), *each(cut)
-        )
-        contexts = own.groupBy("lang", "h").agg(
-            *each(lambda m: F.sum(f"adj{m}").alias(f"total{m}")),
-            *each(lambda m: F.sum(f"d{m}").alias(f"freed{m}")),
-        )
+    # A context has a row per character after it at most.
+    context = Window.partitionBy("lang", "k", "h")
 
-        def freed(m: str):
-            return F.when(F.col(f"total{m}") > 0, F.col(f"freed{m}") / F.col(f"total{m}")).alias(
-                f"free{m}"
-            )
+    def total(m: str):
+        return F.sum(f"adj{m}").over(context).alias(f"total{m}")
+
+    def freed(m: str):
+        return F.sum(f"d{m}").over(context).alias(f"freed{m}")
+
+    def share(m: str):
+        kept = (F.col(f"adj{m}") - F.col(f"d{m}")) / F.col(f"total{m}")
+        return F.when(F.col(f"adj{m}") > 0, kept).alias(f"share{m}")
 
-        # Read by the joins of this order and once more when the model is put together.
-        contexts = cut_lineage(
-            contexts.select(
-                "lang", "h", *each(lambda m: F.col(f"total{m}")), *each(freed)
-            ),
-            f"kn-contexts-{k}",
+    def free(m: str):
+        return F.when(F.col(f"total{m}") > 0, F.col(f"freed{m}") / F.col(f"total{m}")).alias(
+            f"free{m}"
         )
+
+    # All orders at once: fewer jobs, each of which costs the driver a plan and its broadcasts.
+    same = F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("k") == F.col("k1"))
+    shares = cut_lineage(
+        every.join(F.broadcast(rates), same)
+        .select(
+            "lang",
+            "k",
+            "g",
+            F.expr("left(g, length(g) - 1)").alias("h"),
+            *each(lambda m: F.col(f"adj{m}")),
+            *each(cut),
+        )
+        .select("*", *each(total), *each(freed))
+        .select("lang", "k", "g", "h", *each(share), *each(free)),
+        "kn-shares",
+    )
+    for k in range(1, order + 1):
         shorter = below.select(
             F.col("lang").alias("lang2"),
             F.col("g").alias("g2"),
             *each(lambda m: F.col(f"logp{m}").alias(f"low{m}")),
         )
-        rejoined = contexts.withColumnsRenamed({"lang": "lang3", "h": "h3"})
-
-        def share(m: str):
-            kept = (F.col(f"adj{m}") - F.col(f"d{m}")) / F.col(f"total{m}")
-            return F.when(F.col(f"adj{m}") > 0, kept).alias(f"share{m}")
 
         def logp(m: str):
             value = F.col(f"share{m}") + F.col(f"free{m}") * F.exp(f"low{m}")
@@ -221,36 +237,26 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
 
         # Both sides grow with the vocabulary: they meet in tasks and are never sent to the driver.
         scored = (
-            own.join(
-                rejoined.hint("merge"),
-                F.col("lang").eqNullSafe(F.col("lang3")) & (F.col("h") == F.col("h3")),
-            )
-            .select("lang", "g", F.substring("g", 2, k).alias("s"), *each(share), *each(lambda m: F.col(f"free{m}")))
+            shares.where(F.col("k") == k)
+            .withColumn("s", F.substring("g", 2, k))
             .join(
                 shorter.hint("merge"),
                 F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("s") == F.col("g2")),
             )
-            .select("lang", "g", *each(logp))
+            .select("lang", "k", "g", *each(logp))
         )
         below = cut_lineage(scored, f"kn-order-{k}")
-        known.append(below.select("lang", F.lit(k).alias("k"), "g", *logps))
+        known.append(below)
 
-        def weight(m: str):
-            return F.log(f"free{m}").alias(f"backoff{m}")
+    def weight(m: str):
+        return F.log(F.first(f"free{m}")).alias(f"backoff{m}")
 
-        weights.append(
-            contexts.select(
-                F.col("lang").alias("lang4"),
-                F.lit(k - 1).alias("k4"),
-                F.col("h").alias("g4"),
-                *each(weight),
-            )
-        )
-    grams, backoffs = known[0], weights[0]
+    backoffs = shares.groupBy(
+        F.col("lang").alias("lang4"), (F.col("k") - 1).alias("k4"), F.col("h").alias("g4")
+    ).agg(*each(weight))
+    grams = known[0]
     for more in known[1:]:
         grams = grams.unionByName(more)
-    for more in weights[1:]:
-        backoffs = backoffs.unionByName(more)
     # Contexts at the start of a word were never predicted and have a weight only.
     both = grams.join(
         backoffs,
@@ -534,16 +540,40 @@ def scored(
     A document of ``fold`` f is scored at once by all models ``names[f]`` of its language, the
     later ones as ``nll1``, ``nll2`` and so on.
     """
-    spark = docs.sparkSession
     fold = F.lit(0) if fold is None else fold
+    parts = [part for part, _ in _scored_parts(docs, model, order, bound, names, fold)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def _scored_parts(
+    docs: DataFrame,
+    model: DataFrame,
+    order: int,
+    bound: int,
+    names: Sequence[Sequence[str]],
+    fold: Column,
+) -> Iterator[tuple[DataFrame, Broadcast | None]]:
+    """The rows of ``scored`` in parts, each with the models sent for it, if any.
+
+    A round's models are put together when its part is asked for. Who writes a part and destroys
+    its models before the next one has one round of them in the driver, whatever their number.
+    """
+    spark = docs.sparkSession
     rounds, large = _rounds(model, names, bound)
     losses = _losses(names)
-    parts = []
+    known = sorted({u[0] for u in [*sum(rounds, []), *large]}, key=lambda x: x or "")
+    rest = docs.where(~_of_langs(docs, known))
+    empty = ", ".join(f"{n}: double" for n in losses)
+    yield rest.withColumn("_s", F.lit(None).cast(f"struct<{empty}, chars: bigint>")), None
     for units in rounds:
         # A task per language, each within the bound; the driver only passes their bytes on.
-        run = _scorer(send(spark, _packed(model, units, order, names)), names)
+        sent = send(spark, _packed(model, units, order, names))
+        run = _scorer(sent, names)
         own = docs.where(_of_units(docs, units, fold))
-        parts.append(own.withColumn("_s", run("lang", fold.cast("int"), "text")))
+        yield own.withColumn("_s", run("lang", fold.cast("int"), "text")), sent
     for lang, f in large:
         own, done = docs.where(_of_langs(docs, [lang]) & (fold == f)), []
         grams = model.where(_of_langs(model, [lang]))
@@ -555,14 +585,7 @@ def scored(
             own = own.withColumnRenamed("_s", f"_s{i}")
             done.append(F.col(f"_s{i}.nll").alias(losses[i]))
         own = own.withColumn("_s", F.struct(*done, F.col("_s0.chars").alias("chars")))
-        parts.append(own.select(*docs.columns, "_s"))
-    known = sorted({u[0] for u in [*sum(rounds, []), *large]}, key=lambda x: x or "")
-    rest = docs.where(~_of_langs(docs, known))
-    empty = ", ".join(f"{n}: double" for n in losses)
-    whole = rest.withColumn("_s", F.lit(None).cast(f"struct<{empty}, chars: bigint>"))
-    for p in parts:
-        whole = whole.unionByName(p)
-    return whole
+        yield own.select(*docs.columns, "_s"), None
 
 
 #: Models of the trusted text alone, and of trusted and rejected text together.
@@ -664,25 +687,26 @@ def _judged(
     counts = cut_lineage(held_out(parts, folds, kinds), "kn-counts")
     names = [[f"_{kind}{f}" for kind in kinds] for f in range(folds)]
     model = cut_lineage(train(counts, order, [m for used in names for m in used]), "kn-model")
-    rows = scored(own, model, order, names=names, fold=F.col("_fold"))
-    rows = rows.withColumnRenamed("lang", "_lang").join(
-        taught, F.col("_key") == F.col("_id"), "left"
-    )
 
     def steps(nll):
         return F.when(F.col("_s.chars") > 0, F.round(nll / F.col("_s.chars") / STEP).cast("long"))
 
     gain = F.col("_s.nll") - F.col(f"_s.{_losses(names)[-1]}")
-    rows = cut_lineage(
-        rows.select(
+
+    def measured(part: DataFrame) -> DataFrame:
+        return part.select(
             *places,
-            "_lang",
-            F.coalesce(F.col("_kind") == GOOD, F.lit(False)).alias("trusted"),
+            "_key",
+            F.col("lang").alias("_lang"),
             F.coalesce("_s.chars", F.lit(0)).alias("n_scored"),
             steps(F.col("_s.nll")).alias("_p"),
             steps(gain).alias("_c"),
-        ),
-        "kn-scored",
+        )
+
+    parts = _scored_parts(own, model, order, BROADCAST_BYTES, names, F.col("_fold"))
+    rows = _written((measured(part), sent) for part, sent in parts)
+    rows = rows.join(taught, F.col("_key") == F.col("_id"), "left").withColumn(
+        "trusted", F.coalesce(F.col("_kind") == GOOD, F.lit(False))
     )
     known = rows.where("trusted AND _p IS NOT NULL").withColumnRenamed("_lang", "lang")
     # Two bounds share what one alone may cost of the trusted documents.
@@ -706,6 +730,17 @@ def _judged(
     return done, places
 
 
+def _written(parts: Iterable[tuple[DataFrame, Broadcast | None]]) -> DataFrame:
+    """All parts, written one after the other; the models sent for a part are let go after it."""
+    path = ""
+    for part, sent in parts:
+        path = path or scratch_path(part.sparkSession, "kn-scored")
+        part.write.mode("append").parquet(path)
+        if sent is not None:
+            sent.destroy()
+    return part.sparkSession.read.schema(part.schema).parquet(path)
+
+
 def _if_small(ids: DataFrame) -> DataFrame:
     """A broadcast hint when the ids, measured as they are, weigh little."""
     size = F.coalesce(F.sum(F.octet_length(F.col("_id").cast("string")) + 32), F.lit(0))
