@@ -520,6 +520,53 @@ def test_driver_holds_the_models_of_one_round_and_few_plans(spark, monkeypatch):
     assert not [label for label in labels if label.startswith("kn-contexts")]
 
 
+def test_models_reach_the_driver_in_small_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(600)]
+    rows = [(i, ("en", None)[i % 2], " ".join(words[i : i + 9])) for i in range(0, 600, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = quality.train(quality.gram_counts(docs, 3), 3).persist()
+    want = {r.doc_id: tuple(r._s) for r in quality.scored(docs, model, 3).collect()}
+    monkeypatch.setattr(quality, "_PIECE", 1000)
+    en = model.where("lang = 'en'").toPandas()
+    cut = quality._packer(3, ("",))(en)
+    assert len(cut) > 3 and max(map(len, cut.model)) == 1000
+    opened = quality._unpacked(b"".join(cut.model))
+    assert [len(x) for x in opened.keys] == [int((en.k == k).sum()) for k in (1, 2, 3)]
+    got = {r.doc_id: tuple(r._s) for r in quality.scored(docs, model, 3).collect()}
+    assert got == want and all(c > 0 for _, c in got.values())
+    model.unpersist()
+
+
+def test_each_ngram_is_cut_and_looked_up_once(spark, monkeypatch):
+    rng = random.Random(6)
+    many = [chr(i) for i in range(33, 0xD7FF) if not chr(i).isspace()]
+    for letters, order in (("abc", 5), ("abc", 1), (many, 5), (["é", "𝄞", "z"], 3)):
+        words = ["".join(rng.choices(letters, k=rng.randrange(1, 8))) for _ in range(3000)]
+        chars, which, sizes = quality.distinct_grams(words, order)
+        text = chars.tobytes().decode("utf-32-le")
+        grams = [text[i : i + order] for i in range(0, len(text), order)]
+        padded = [quality.padded(w, order) for w in words]
+        want = [p[i : i + order] for w, p in zip(words, padded) for i in range(len(w) + 1)]
+        assert [grams[i] for i in which] == want and len(set(want)) == len(grams)
+        assert sizes.tolist() == [len(w) + 1 for w in words]
+    # Thousands of words of few letters: far fewer places are searched for than characters.
+    docs = spark.createDataFrame([("en", "abc cab bca")], "lang string, text string")
+    rows = quality.train(quality.gram_counts(docs, 3), 3).toPandas()
+    model = quality.Model(rows, 3)
+    words = sorted({"".join(rng.choices("abc", k=9)) for _ in range(3000)})
+    searched = []
+    search = np.searchsorted
+
+    def counted(keys, wanted):
+        searched.append(len(wanted))
+        return search(keys, wanted)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    model.score(words)
+    assert sum(searched) < len(words)
+
+
 def test_quality_edges(spark, odd_docs, no_docs):
     trusted = spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")
     got = quality.judged(odd_docs, trusted)

@@ -23,9 +23,9 @@ scored like others; columns of the input named like a result are replaced.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -47,10 +47,14 @@ FOLDS = 4
 #: Perplexities are compared by their logarithm in steps of this size.
 STEP = 1e-4
 START, END = "\x02", "\x03"
-#: Distinct words a task holds while it counts, and scores at once.
+#: Distinct words a task holds while it counts, and cuts into n-grams at once.
 _FLUSH = 1 << 18
 _AT_ONCE = 1 << 15
 _MODEL_ROW_BYTES = 48
+#: Models reach the driver in pieces of so many bytes, from so many tasks: the JVM makes room for
+#: large arrays by growing its heap, however soon they are let go.
+_PIECE = 1 << 18
+_PIECE_TASKS = 32
 
 
 def padded(word: str, order: int) -> str:
@@ -58,6 +62,34 @@ def padded(word: str, order: int) -> str:
     return START * (order - 1) + word + END
 
 
+def distinct_grams(words: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of ``words``, the one before each predicted character, and sizes.
+
+    An n-gram is a row of ``order`` characters, of which the last is predicted. Characters run
+    on from word to word; ``sizes`` has how many are predicted in each. No word may be missing.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    text = "".join([padded(w, order) for w in words])
+    chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    starts = np.arange(sizes.sum()) + np.repeat(np.arange(len(words)) * (order - 1), sizes)
+    used = np.zeros(int(chars.max()) + 1, np.int64)
+    used[chars] = 1
+    letters = int(used.sum())
+    codes = (np.cumsum(used) - 1)[chars]
+    numbers, span = codes[starts], letters
+    for i in range(1, order):
+        if span * letters >= 1 << 62:
+            # Too many letters for one number: go on from the place among what occurs.
+            numbers = np.unique(numbers, return_inverse=True)[1]
+            span = int(numbers.max()) + 1
+        numbers = numbers * letters + codes[starts + i]
+        span *= letters
+    different, which = np.unique(numbers, return_inverse=True)
+    begins = np.empty(len(different), np.int64)
+    begins[which] = starts  # any of its places will do
+    return chars[begins[:, None] + np.arange(order)], which, sizes
+
+
 # -- counting ------------------------------------------------------------------------------
 
 
@@ -68,11 +100,16 @@ def _count(order: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, own in words.items():
-                grams: Counter = Counter()
-                for word, n in own.items():
-                    text = padded(word, order)
-                    for i in range(len(text) - order + 1):
-                        grams[text[i : i + order]] += n
+                grams: dict[str, int] = defaultdict(int)
+                found = list(own)
+                times = np.fromiter(own.values(), np.int64, len(own))
+                for i in range(0, len(found), _AT_ONCE):
+                    chars, which, sizes = distinct_grams(found[i : i + _AT_ONCE], order)
+                    sums = np.zeros(len(chars), np.int64)
+                    np.add.at(sums, which, np.repeat(times[i : i + _AT_ONCE], sizes))
+                    text = chars.tobytes().decode("utf-32-le")
+                    for k, n in enumerate(sums.tolist()):
+                        grams[text[k * order : (k + 1) * order]] += n
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(grams), pa.string()),
@@ -307,44 +344,59 @@ class Model:
             numbers = {g: i for i, g in enumerate(grams)}
 
     def score(self, words: list[str], names: Sequence[str] = ("",)) -> tuple[list, np.ndarray]:
-        """Log-probabilities of each word, an array per name, and its predicted characters."""
+        """Log-probabilities of each word, an array per name, and its predicted characters.
+
+        What a character costs depends on its n-gram alone, so each n-gram is looked up once.
+        """
         if not words:
             return [np.empty(0) for _ in names], np.empty(0, np.int64)
-        n = np.array([len(w) + 1 for w in words], np.int64)
-        text = "".join(padded(w, self.order) for w in words)
-        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-        totals = [np.full(len(chars), self.uniform[m]) for m in names]
-        context = np.zeros(len(chars), np.int64)  # number of the gram before each character
+        grams, which, sizes = distinct_grams(words, self.order)
+        chars = np.ascontiguousarray(grams.T).astype(np.int64)
+        totals = [np.full(len(grams), self.uniform[m]) for m in names]
+        # The number of the gram of the k - 1 characters from each place on, or -1.
+        begun = [np.zeros(len(grams), np.int64) for _ in range(self.order)]
         for k in range(1, self.order + 1):
             keys = self.keys[k - 1]
-            wanted = (context << 21) | chars
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            found = (keys[at] == wanted) & (context >= 0)
+            for place in range(self.order - k + 1):
+                context = begun[place]
+                wanted = (context << 21) | chars[place + k - 1]
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found = (keys[at] == wanted) & (context >= 0)
+                begun[place] = np.where(found, at, -1)
+            # The last place reaches the predicted character.
             for i, m in enumerate(names):
                 weight = (
-                    np.full(len(chars), self.free[m])
+                    np.full(len(grams), self.free[m])
                     if k == 1
                     else np.where(context >= 0, self.backoff[k - 2][m][context], np.nan)
                 )
                 own = self.logp[k - 1][m][at]
                 lower = totals[i] + np.nan_to_num(weight, nan=0.0)
                 totals[i] = np.where(found & ~np.isnan(own), own, lower)
-            context = np.concatenate([[-1], np.where(found, at, -1)[:-1]])
-        ends = np.cumsum(n + self.order - 1)
-        sums = [np.concatenate([[0.0], np.cumsum(total)]) for total in totals]
-        return [s[ends] - s[ends - n] for s in sums], n
+        begins = np.cumsum(sizes) - sizes
+        return [np.add.reduceat(total[which], begins) for total in totals], sizes
 
 
 def _packer(order: int, names: Sequence[str]):
-    """``lang, model``: the tables of a language as compressed bytes, put together in a task."""
+    """``lang, piece, model``: the tables of a language as compressed bytes, cut into pieces."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        packed = zlib.compress(cloudpickle.dumps(Model(rows, order, names)), 1)
-        return pd.DataFrame({"lang": rows.lang.iloc[:1], "model": [packed]})
+        whole = cloudpickle.dumps(Model(rows, order, names))
+        # Each task that scores unpacks it again, which zstd does three times as fast as zlib.
+        packed = len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+        cut = [packed[i : i + _PIECE] for i in range(0, len(packed), _PIECE)]
+        return pd.DataFrame(
+            {"lang": [rows.lang.iloc[0]] * len(cut), "piece": range(len(cut)), "model": cut}
+        )
 
     return run
 
 
+def _unpacked(packed: bytes) -> Model:
+    size = int.from_bytes(packed[:8], "little")
+    return cloudpickle.loads(pa.decompress(packed[8:], size, codec="zstd", asbytes=True))
+
+
 def _scorer(sent, names: Sequence[Sequence[str]]):
     """``chars`` of each text, and its loss under each model of its fold: ``nll``, ``nll1``..."""
     held: list[dict] = []
@@ -365,19 +417,20 @@ def _scorer(sent, names: Sequence[Sequence[str]]):
             if unit not in packed:
                 continue
             if unit not in opened:
-                opened[unit] = cloudpickle.loads(zlib.decompress(packed[unit]))
-            number: dict[str, int] = {}
-            waiting: list[tuple[int, list[int]]] = []
+                opened[unit] = _unpacked(packed[unit])
+            number: dict[str, int] = defaultdict(count().__next__)
+            waiting: list[tuple[int, np.ndarray]] = []
             for i in own:
                 words = (texts.iat[i] or "").split()
-                waiting.append((i, [number.setdefault(w, len(number)) for w in words]))
+                used = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                waiting.append((i, used))
                 if len(number) >= _AT_ONCE or i == own[-1]:
                     logs, sizes = opened[unit].score(list(number), names[fold])
                     for k, used in waiting:
-                        if used:
+                        if len(used):
                             nll[:, k] = [-own_logs[used].sum() for own_logs in logs]
                             chars[k] = sizes[used].sum()
-                    number, waiting = {}, []
+                    number, waiting = defaultdict(count().__next__), []
         # A model that has read nothing gives no loss, and so no verdict.
         chars[np.isnan(nll[0])] = 0
         return pd.DataFrame({**dict(zip(losses, nll)), "chars": chars})
@@ -448,9 +501,12 @@ def _packed(
             "lang", "k", "g", *[f"{what}{m}" for m in used for what in ("logp", "backoff")]
         )
         built = rows.groupBy("lang").applyInPandas(
-            _packer(order, used), "lang string, model binary"
+            _packer(order, used), "lang string, piece long, model binary"
         )
-        found |= {(lang, f): bytes(packed) for lang, packed in built.collect()}
+        pieces: dict[Unit, list[tuple[int, bytes]]] = {}
+        for lang, i, piece in built.repartition(_PIECE_TASKS, "lang", "piece").collect():
+            pieces.setdefault((lang, f), []).append((i, bytes(piece)))
+        found |= {unit: b"".join(piece for _, piece in sorted(own)) for unit, own in pieces.items()}
     return found
 
 
