@@ -538,6 +538,28 @@ def test_models_reach_the_driver_in_small_pieces(spark, monkeypatch):
     model.unpersist()
 
 
+def test_rounds_of_stars_broadcast_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    plans = []
+    cut = simhash.cut_lineage
+
+    def written(df, label):
+        if label == "simhash-stars":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, label)
+
+    monkeypatch.setattr(simhash, "cut_lineage", written)
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    linked = {p for u, v in pairs for p in ((u, v), (v, u))}
+    nodes = sorted({x for u, v in pairs if u != v for x in (u, v)})
+    roots = brute.components(nodes, lambda a, b: (a, b) in linked)
+    least = {root: min(n for n in nodes if roots[n] == root) for root in set(roots.values())}
+    assert got == {n: least[root] for n, root in roots.items()}
+    assert plans and not any("Broadcast" in plan for plan in plans)
+
+
 def test_each_ngram_is_cut_and_looked_up_once(spark, monkeypatch):
     rng = random.Random(6)
     many = [chr(i) for i in range(33, 0xD7FF) if not chr(i).isspace()]

@@ -168,7 +168,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u, v``): alternating star contraction.
 
     Each round is written and read again. A round costs two grouped minima; hubs are joined
-    by inner equi-joins, whose large partitions adaptive execution splits.
+    by inner equi-joins, whose large partitions adaptive execution splits. The sides meet in
+    tasks also where they are small: a round would leave five tables broadcast by the driver.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -181,13 +182,15 @@ def components(edges: DataFrame) -> DataFrame:
     def large(df: DataFrame) -> DataFrame:
         both = df.union(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), "m")
+        met = both.where("v > u").join(least.hint("merge"), "u")
+        return met.select(F.col("v").alias("u"), "m")
 
     def small(df: DataFrame) -> DataFrame:
         down = df.select(F.greatest("u", "m").alias("u"), F.least("u", "m").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), "m")
-        return joined.union(least.select("u", "m"))
+        # The link to the least one is that of the node itself.
+        own = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u")
+        return down.join(least.hint("merge"), "u").select(own, "m")
 
     now = edges.where("u != v").select("u", "v").distinct()
     now = cut_lineage(now, "simhash-links")
