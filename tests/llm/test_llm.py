@@ -538,6 +538,56 @@ def test_models_reach_the_driver_in_small_pieces(spark, monkeypatch):
     model.unpersist()
 
 
+def test_models_that_fit_when_compressed_are_sent(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1500)]
+    rows = [(i, ("en", None)[i % 2], " ".join(words[i : i + 9])) for i in range(0, 1500, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    docs = docs.withColumn("fold", F.col("doc_id") % 2)
+    counts = docs.transform(lambda d: quality.gram_counts(d, 4)).select(
+        "lang", "g", *[(F.col("raw") * n).alias(f"raw_{m}") for m, n in (("a", 1), ("b", 2), ("c", 5))]
+    )
+    model = quality.train(counts, 4, ("_a", "_b", "_c")).persist()
+    names = (("_a", "_b"), ("_c", "_a"))
+    least = min(r["count"] for r in model.groupBy("lang").count().collect())
+
+    def scores(bound):
+        got = quality.scored(docs, model, 4, bound, names, F.col("fold"))
+        return {r.doc_id: tuple(r._s) for r in got.collect()}
+
+    joined = scores(0)
+
+    def refused(*_):
+        raise AssertionError("documents joined with a model that could be sent")
+
+    monkeypatch.setattr(quality, "_by_joins", refused)
+    # Compressed, a row of two models takes under 20 bytes.
+    sent = scores(least * 30)
+    assert len(sent) == len(rows) and all(c > 0 for *_, c in sent.values())
+    for k, values in joined.items():
+        assert sent[k] == pytest.approx(values, rel=1e-9)
+    model.unpersist()
+
+
+def test_tables_of_a_fold_hold_what_it_has_read(spark):
+    rows = [(1, "en", "abc abd"), (2, "de", "xyz"), (3, "de", "uvw")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    # Model _a reads the first document only, _b the others: de has no grams under _a.
+    first = F.col("g").rlike("[abd]").cast("long")
+    counts = quality.gram_counts(docs, 3).select(
+        "lang", "g", (F.col("raw") * first).alias("raw_a"), (F.col("raw") * (1 - first)).alias("raw_b")
+    )
+    model = quality.train(counts, 3, ("_a", "_b")).persist()
+    names, fold = (("_a",), ("_b",)), F.col("doc_id") % 2
+    got = quality.scored(docs, model, 3, 1 << 25, names, fold).collect()
+    slow = {r.doc_id: r._s for r in quality.scored(docs, model, 3, 0, names, fold).collect()}
+    fast = {r.doc_id: r._s for r in got}
+    assert fast[3].chars == 4 and fast[2].chars == 0  # the odd ids are of fold 1, scored by _b
+    assert fast[2].nll is None or fast[2].nll != fast[2].nll
+    assert fast[3].nll == pytest.approx(slow[3].nll, rel=1e-9)
+    model.unpersist()
+
+
 def test_rounds_of_stars_broadcast_nothing(spark, monkeypatch):
     rng = random.Random(5)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]

@@ -10,9 +10,10 @@ perplexities of its language's trusted documents, which are held out like all ot
 model also reads the rejected documents of the other folds; what it gains over the first is a
 contrast that single insults in fluent text raise, while they hardly move the perplexity.
 
-Scoring sends the models to the tasks in as many rounds as the bound of a broadcast asks for, one
-round after the other, so the driver never holds the bytes of more than one; a language whose folds together pass it is sent fold by fold, since a document needs the models of
-its own fold only. A fold that passes it alone is scored by joins.
+A document needs the models of its language and fold only. Tasks put the tables of each language
+and fold together and write them compressed; scoring sends them to the tasks in as many rounds as
+the bound of a broadcast asks for, one round after the other, so the driver never holds the bytes
+of more than one. A fold that would pass the bound alone is scored by joins.
 
 Defined cases: a document without words, or in a language without trusted text in the other
 folds, has no perplexity and is kept, not suspect; so is one whose language has no held-out
@@ -35,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.cluster import scratch_path
+from tracewell.llm.bytehash import bytes_of
 from tracewell.llm.shared import BROADCAST_BYTES, cut_lineage, received, send
 
 ORDER = 5
@@ -50,7 +52,9 @@ START, END = "\x02", "\x03"
 #: Distinct words a task holds while it counts, and cuts into n-grams at once.
 _FLUSH = 1 << 18
 _AT_ONCE = 1 << 15
-_MODEL_ROW_BYTES = 48
+#: What a row of a model weighs compressed: its key, and its values for each model.
+_KEY_BYTES = 2
+_VALUES_BYTES = 8
 #: Models reach the driver in pieces of so many bytes, from so many tasks: the JVM makes room for
 #: large arrays by growing its heap, however soon they are let go.
 _PIECE = 1 << 18
@@ -317,9 +321,10 @@ def train(counts: DataFrame, order: int = ORDER, models: Sequence[str] = ("",))
 class Model:
     """Sorted tables of one language; an n-gram's number is its place in its order's table.
 
-    The key of a gram is the number of the gram before its last character, and that character,
-    so no hashing and no alphabet limit is involved. The tables hold the values of all ``names``;
-    what one of these models has not seen is NaN there.
+    The key of a gram is the number of the gram after its first character, and that character,
+    so no hashing and no alphabet limit is involved: where a gram was seen, so was what it ends
+    with. The tables hold the values of all ``names``; what one of these models has not seen is
+    NaN there, and so is the last place, which the number -1 of unknown grams stands for.
     """
 
     def __init__(self, rows: pd.DataFrame, order: int, names: Sequence[str] = ("",)) -> None:
@@ -329,19 +334,36 @@ class Model:
         self.free = {m: base[f"backoff{m}"] for m in names}
         self.keys: list[np.ndarray] = []
         self.logp: list[dict[str, np.ndarray]] = []
+        #: Of the contexts, which are shorter than the longest grams.
         self.backoff: list[dict[str, np.ndarray]] = []
-        numbers = {"": 0}
         for k in range(1, order + 1):
-            own = rows[rows.k == k]
-            keys = np.array(
-                [(numbers.get(g[:-1], -1) << 21) | ord(g[-1]) for g in own.g], np.int64
-            )
+            chosen = np.flatnonzero(rows.k == k)
+            grams = pa.array(rows.g.iloc[chosen], pa.string())
+            if isinstance(grams, pa.ChunkedArray):
+                grams = grams.combine_chunks()
+            text = bytes_of(grams)[1].tobytes().decode()
+            chars = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(-1, k).T
+            rest = np.zeros(len(chosen), np.int64)
+            for i in range(1, k):
+                rest = self._longer(i, rest, chars[k - i])
+            keys = (rest << 21) | chars[0]
             by = np.argsort(keys)
-            grams = own.g.to_numpy()[by]
             self.keys.append(keys[by])
-            self.logp.append({m: own[f"logp{m}"].to_numpy(np.float64)[by] for m in names})
-            self.backoff.append({m: own[f"backoff{m}"].to_numpy(np.float64)[by] for m in names})
-            numbers = {g: i for i, g in enumerate(grams)}
+
+            def values(name: str, places: np.ndarray = chosen[by]) -> np.ndarray:
+                return np.append(rows[name].to_numpy(np.float64)[places], np.nan)
+
+            self.logp.append({m: values(f"logp{m}") for m in names})
+            if k < order:
+                self.backoff.append({m: values(f"backoff{m}") for m in names})
+
+    def _longer(self, k: int, rest: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Numbers of grams of order ``k``, by the number of what follows the first character."""
+        keys, wanted = self.keys[k - 1], (rest << 21) | first
+        if not len(keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at, -1)
 
     def score(self, words: list[str], names: Sequence[str] = ("",)) -> tuple[list, np.ndarray]:
         """Log-probabilities of each word, an array per name, and its predicted characters.
@@ -353,26 +375,19 @@ class Model:
         grams, which, sizes = distinct_grams(words, self.order)
         chars = np.ascontiguousarray(grams.T).astype(np.int64)
         totals = [np.full(len(grams), self.uniform[m]) for m in names]
-        # The number of the gram of the k - 1 characters from each place on, or -1.
-        begun = [np.zeros(len(grams), np.int64) for _ in range(self.order)]
+        # The numbers of the k characters up to the predicted one, and of those before it.
+        gram = context = np.zeros(len(grams), np.int64)
         for k in range(1, self.order + 1):
-            keys = self.keys[k - 1]
-            for place in range(self.order - k + 1):
-                context = begun[place]
-                wanted = (context << 21) | chars[place + k - 1]
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                found = (keys[at] == wanted) & (context >= 0)
-                begun[place] = np.where(found, at, -1)
-            # The last place reaches the predicted character.
+            gram = self._longer(k, gram, chars[self.order - k])
             for i, m in enumerate(names):
                 weight = (
-                    np.full(len(grams), self.free[m])
-                    if k == 1
-                    else np.where(context >= 0, self.backoff[k - 2][m][context], np.nan)
+                    np.full(len(grams), self.free[m]) if k == 1 else self.backoff[k - 2][m][context]
                 )
-                own = self.logp[k - 1][m][at]
+                own = self.logp[k - 1][m][gram]
                 lower = totals[i] + np.nan_to_num(weight, nan=0.0)
-                totals[i] = np.where(found & ~np.isnan(own), own, lower)
+                totals[i] = np.where(np.isnan(own), lower, own)
+            if k < self.order:
+                context = self._longer(k, context, chars[self.order - 1 - k])
         begins = np.cumsum(sizes) - sizes
         return [np.add.reduceat(total[which], begins) for total in totals], sizes
 
@@ -392,6 +407,20 @@ def _packer(order: int, names: Sequence[str]):
     return run
 
 
+def _lean_packer(order: int, names: Sequence[str]):
+    """``_packer`` of Arrow tables: no Python object per n-gram is made."""
+    run = _packer(order, names)
+
+    def packed(rows: pa.Table) -> pa.Table:
+        frame = rows.to_pandas(types_mapper={pa.string(): pd.ArrowDtype(pa.string())}.get)
+        schema = [("lang", pa.string()), ("piece", pa.int64()), ("model", pa.binary())]
+        built = run(frame)
+        built["lang"] = [rows.column("lang")[0].as_py()] * len(built)
+        return pa.Table.from_pandas(built, pa.schema(schema), preserve_index=False)
+
+    return packed
+
+
 def _unpacked(packed: bytes) -> Model:
     size = int.from_bytes(packed[:8], "little")
     return cloudpickle.loads(pa.decompress(packed[8:], size, codec="zstd", asbytes=True))
@@ -413,11 +442,11 @@ def _scorer(sent, names: Sequence[Sequence[str]]):
         for i, key in enumerate(zip(langs, folds)):
             rows.setdefault(key, []).append(i)
         for (lang, fold), own in rows.items():
-            unit = (lang, None) if (lang, None) in packed else (lang, int(fold))
+            unit = (lang, int(fold))
             if unit not in packed:
                 continue
             if unit not in opened:
-                opened[unit] = _unpacked(packed[unit])
+                opened[unit] = _unpacked(b"".join(packed[unit]))
             number: dict[str, int] = defaultdict(count().__next__)
             waiting: list[tuple[int, np.ndarray]] = []
             for i in own:
@@ -442,38 +471,30 @@ def _losses(names: Sequence[Sequence[str]]) -> list[str]:
     return [f"nll{i or ''}" for i in range(len(names[0]))]
 
 
-#: A language and one of its folds, or None for all of them.
-Unit = tuple[str | None, int | None]
+#: A language and one of its folds.
+Unit = tuple[str | None, int]
+
 
+def _values(names: Sequence[str]) -> list[str]:
+    return [f"{what}{m}" for m in names for what in ("logp", "backoff")]
 
-def _rounds(
+
+def _units(
     model: DataFrame, names: Sequence[Sequence[str]], bound: int
-) -> tuple[list[list[Unit]], list[Unit]]:
-    """What fits the bound together, by rounds, and the folds too large for it alone."""
-
-    def weight(models: int) -> int:
-        return _MODEL_ROW_BYTES + 16 * (models - 1)
-
-    every = len({m for own in names for m in own})
-    sizes: list[tuple[int, Unit]] = []
-    for r in model.groupBy("lang").count().collect():
-        if r["count"] * weight(every) <= bound:
-            sizes.append((r["count"] * weight(every), (r["lang"], None)))
-        else:
-            sizes += [
-                (r["count"] * weight(len(own)), (r["lang"], f)) for f, own in enumerate(names)
-            ]
-    rounds: list[list[Unit]] = []
-    room = 0
-    for size, unit in sorted(sizes, key=lambda x: (x[0], x[1][0] or "", x[1][1] or 0)):
-        if size > bound:
-            continue
-        if not rounds or size > room:
-            rounds.append([])
-            room = bound
-        rounds[-1].append(unit)
-        room -= size
-    return rounds, [unit for size, unit in sizes if size > bound]
+) -> tuple[list[Unit], list[Unit]]:
+    """The folds of each language that fit the bound, and those too large for it alone."""
+
+    def rows(own: Sequence[str]) -> Column:
+        return F.count(F.coalesce(*_values(own)))
+
+    fit: list[Unit] = []
+    large: list[Unit] = []
+    found = model.groupBy("lang").agg(*[rows(own).alias(f"n{f}") for f, own in enumerate(names)])
+    for r in sorted(found.collect(), key=lambda r: r["lang"] or ""):
+        for f, own in enumerate(names):
+            size = (1 + r[f"n{f}"]) * (_KEY_BYTES + _VALUES_BYTES * len(own))
+            (fit if size <= bound else large).append((r["lang"], f))
+    return fit, large
 
 
 def _of_langs(df: DataFrame, langs: list[str | None]):
@@ -483,31 +504,57 @@ def _of_langs(df: DataFrame, langs: list[str | None]):
 
 
 def _of_units(df: DataFrame, units: list[Unit], fold: Column):
-    """Documents of these languages and folds."""
-    chosen = _of_langs(df, [lang for lang, f in units if f is None])
-    for f in sorted({f for _, f in units if f is not None}):
+    """Rows of these languages and folds."""
+    chosen = F.lit(False)
+    for f in sorted({f for _, f in units}):
         chosen |= (fold == f) & _of_langs(df, [lang for lang, g in units if g == f])
     return chosen
 
 
 def _packed(
     model: DataFrame, units: list[Unit], order: int, names: Sequence[Sequence[str]]
-) -> dict[Unit, bytes]:
-    """The compressed tables of each unit, put together by a task per language."""
-    found: dict[Unit, bytes] = {}
-    for f in sorted({f for _, f in units}, key=lambda f: -1 if f is None else f):
-        used = sorted({m for own in names for m in own}) if f is None else list(names[f])
-        rows = model.where(_of_langs(model, [lang for lang, g in units if g == f])).select(
-            "lang", "k", "g", *[f"{what}{m}" for m in used for what in ("logp", "backoff")]
+) -> DataFrame:
+    """``fold, lang, piece, model``: the compressed tables of each unit, put together by a task."""
+    packed = None
+    for f in sorted({f for _, f in units}):
+        seen = F.coalesce(*_values(names[f])).isNotNull()
+        rows = (
+            model.where(_of_langs(model, [lang for lang, g in units if g == f]))
+            .where(seen | (F.col("k") == 0))
+            .select("lang", "k", "g", *_values(names[f]))
         )
-        built = rows.groupBy("lang").applyInPandas(
-            _packer(order, used), "lang string, piece long, model binary"
+        built = rows.groupBy("lang").applyInArrow(
+            _lean_packer(order, names[f]), "lang string, piece long, model binary"
         )
-        pieces: dict[Unit, list[tuple[int, bytes]]] = {}
-        for lang, i, piece in built.repartition(_PIECE_TASKS, "lang", "piece").collect():
-            pieces.setdefault((lang, f), []).append((i, bytes(piece)))
-        found |= {unit: b"".join(piece for _, piece in sorted(own)) for unit, own in pieces.items()}
-    return found
+        built = built.select(F.lit(f).alias("fold"), "*")
+        packed = built if packed is None else packed.unionByName(built)
+    return cut_lineage(packed, "kn-packed")
+
+
+def _rounds(packed: DataFrame, bound: int) -> list[list[Unit]]:
+    """Units that are sent together: half the bound, measured, or one alone."""
+    sizes = packed.groupBy("lang", "fold").agg(F.sum(F.length("model")).alias("size")).collect()
+    rounds: list[list[Unit]] = []
+    room = 0
+    for size, lang, f in sorted(
+        ((r["size"], r["lang"], r["fold"]) for r in sizes), key=lambda x: (x[0], x[1] or "", x[2])
+    ):
+        if not rounds or size > room:
+            rounds.append([])
+            room = bound // 2
+        rounds[-1].append((lang, f))
+        room -= size
+    return rounds
+
+
+def _sent(packed: DataFrame, units: list[Unit]) -> Broadcast:
+    """The tables of ``units``, which the driver only passes on, in the pieces they came in."""
+    found: dict[Unit, list[bytes]] = {}
+    own = packed.where(_of_units(packed, units, F.col("fold")))
+    rows = own.repartition(_PIECE_TASKS, "lang", "piece").collect()
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        found.setdefault((r["lang"], r["fold"]), []).append(r["model"])
+    return send(packed.sparkSession, found)
 
 
 def _by_joins(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -617,19 +664,20 @@ def _scored_parts(
     A round's models are put together when its part is asked for. Who writes a part and destroys
     its models before the next one has one round of them in the driver, whatever their number.
     """
-    spark = docs.sparkSession
-    rounds, large = _rounds(model, names, bound)
+    fit, large = _units(model, names, bound)
     losses = _losses(names)
-    known = sorted({u[0] for u in [*sum(rounds, []), *large]}, key=lambda x: x or "")
+    known = list({lang for lang, _ in [*fit, *large]})
     rest = docs.where(~_of_langs(docs, known))
     empty = ", ".join(f"{n}: double" for n in losses)
     yield rest.withColumn("_s", F.lit(None).cast(f"struct<{empty}, chars: bigint>")), None
-    for units in rounds:
-        # A task per language, each within the bound; the driver only passes their bytes on.
-        sent = send(spark, _packed(model, units, order, names))
-        run = _scorer(sent, names)
-        own = docs.where(_of_units(docs, units, fold))
-        yield own.withColumn("_s", run("lang", fold.cast("int"), "text")), sent
+    if fit:
+        # A task per language and fold, each within the bound; the driver only passes their bytes on.
+        packed = _packed(model, fit, order, names)
+        for units in _rounds(packed, bound):
+            sent = _sent(packed, units)
+            run = _scorer(sent, names)
+            own = docs.where(_of_units(docs, units, fold))
+            yield own.withColumn("_s", run("lang", fold.cast("int"), "text")), sent
     for lang, f in large:
         own, done = docs.where(_of_langs(docs, [lang]) & (fold == f)), []
         grams = model.where(_of_langs(model, [lang]))
